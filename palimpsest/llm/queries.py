@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import line_dedup, secret_scan, substring_dedup
+from palimpsest.llm import language_id, line_dedup, quality_rules, secret_scan, simhash, substring_dedup, warc
 from palimpsest.llm.common import table
 
 
@@ -22,5 +22,21 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.keep_bitmaps(table(spark, sf_dir, "documents"), min_chars=20, min_docs=3, with_text=True))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.digest(quality_rules.apply_rules(table(spark, sf_dir, "documents"), stats=True))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.held_out_query(table(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(warc.round_trip(table(spark, sf_dir, "pages")))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
