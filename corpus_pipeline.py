@@ -1,12 +1,73 @@
-"""Corpus pipeline over documents."""
+"""Corpus pipeline: documents in, a mixed training set out.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; run() writes each stage's rows as
+Parquet into the shared folder and reads them again.  Stages keep the columns of documents; the last adds its own.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.llm import decontamination, line_dedup, mixing, quality_classifier, simhash
+from palimpsest.llm.common import WORD, materialize, table
+
+KEEP_SCORE = 0.7
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble, fit on the labelled ones, scores under KEEP_SCORE go."""
+    model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
+    return quality_classifier.score(docs, model).where(F.col("score") >= KEEP_SCORE).select(docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of 20 characters or more in three documents or more stay in the largest id's only; no document goes."""
+    found = line_dedup.keep_bitmaps(docs, with_text=True)
+    kept = F.when((F.col("n_dropped") > 0), F.col("kept")).when(F.col("row._null"), F.lit(None)).otherwise(F.col("kept"))
+    columns = {"doc_id": F.col("doc_id"), "text": F.col("_text"), "n_chars": F.when(F.col("n_dropped") > 0, F.length("_text").cast("long")).otherwise(F.col("row.n_chars"))}
+    return found.withColumn("_text", kept).select(*(columns.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns))
+
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints the document of the least id stays."""
+    found = simhash.near_duplicates(docs)
+    copies = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_copy")).distinct()
+    return docs.join(copies, docs["doc_id"].eqNullSafe(copies["_copy"]), "left_anti")
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain four fifths or more of a benchmark item's shingles go."""
+    leaks = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leak")).distinct()
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["_leak"]), "left_anti")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes, with taken (words, repeats counted), copies and virtual finish time.
+
+    The document at which a source's target is reached within its first copy is cut to the words taken.
+    """
+    mixed = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), "size", "source_size", "target", "taken", "finish").dropDuplicates(["_id"])
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    text = F.when(F.col("taken") < F.col("size"), F.array_join(F.slice(words, 1, F.col("taken").cast("int")), " ")).otherwise(F.col("text"))
+    rows = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["_id"])).withColumn("text", text)
+    return rows.withColumns({"n_chars": F.length("text").cast("long"), "copies": F.ceil(F.col("taken") / F.col("size"))}).select(*docs.columns, "size", "source_size", "target", "taken", "copies", "finish")
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", lines),
+    ("SimHash near-dedup", near_copies),
+    ("benchmark decontamination", benchmark),
+    ("mixing sources", mix),
+]
+
+#: XXH64 fingerprints and the fitted classifier have no SQL; tests/llm holds the pipeline against brute force.
+ORACLE_SQL = None
 
-def run(spark, sf_dir):
-    from palimpsest.llm.common import table
 
-    return table(spark, sf_dir, "documents")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -120,13 +120,13 @@ def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     """One row per row of docs: doc_id, n_lines long, n_dropped long, keep (zlib of the packed bits, first line first).
 
     Lines whose key has min_chars code points or more and is held by min_docs documents or more go, but for those in the
-    document of the largest id.  with_text adds kept string (lines that stay) and row (struct of the other columns).
+    document of the largest id.  with_text adds kept string (lines that stay) and row (struct of the other columns, and _null: was the text null?).
     Null text: as empty, one empty line.  Null id: one document, larger than all others.  Rows of one id are one
     document; repeated rows have equal results.  Other columns, of any name, are left out or inside row.  No rows: none.
     """
     own = docs.select(
         F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("o"), F.xxhash64(F.col(text)).alias("th"),
-        F.col(text).alias("text"), F.struct(F.lit(0).alias("_"), *(F.col(c) for c in docs.columns if c not in (doc_id, text))).alias("row"))
+        F.col(text).alias("text"), F.struct(F.col(text).isNull().alias("_null"), *(F.col(c) for c in docs.columns if c not in (doc_id, text))).alias("row"))
     lines = own.select("o", "th", F.posexplode(line_keys(F.col("text"))).alias("pos", "key")).where(F.length("key") >= min_chars)
     lines = lines.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "o", "th", F.col("pos").cast("long").alias("pos"))
     order = [F.col("h1"), F.col("h2"), F.col("o").desc()]
