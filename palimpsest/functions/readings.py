@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.options import A_CHUNG, OMITTED, TSHEG, Options
 
-_STRINGS = "array<string>"
+#: Between parts; it is a blank to no one, and dropped from cells.
+_BREAK = "\x01"
 
 
 def comparison_key(cell: Column, o: Options) -> Column:
@@ -21,21 +22,12 @@ def comparison_key(cell: Column, o: Options) -> Column:
 def syllables(cell: Column, o: Options) -> Column:
     """Display syllables; a bare a-chung joins the one before it, or the first."""
     whole = F.translate(cell, o.shads, "") if o.ignore_shad else cell
-    parts = F.transform(F.split(F.coalesce(whole, F.lit("")), o.separator_regex, -1), lambda p: F.translate(p, o.ignored, ""))
+    parts = F.transform(F.split(F.coalesce(whole, F.lit("")), o.separator_regex, -1), lambda p: F.translate(p, o.ignored + _BREAK, ""))
     parts = F.filter(parts, lambda p: p != "")
-    start = F.struct(F.expr(f"cast(array() as {_STRINGS})").alias("m"), F.lit("").alias("p"))
-
-    def step(s: Column, p: Column) -> Column:
-        bare = F.translate(p, A_CHUNG, "") == ""
-        n = F.size(s["m"])
-        glued = F.transform(s["m"], lambda x, i: F.when(i == n - 1, F.concat(x, p)).otherwise(x))
-        return (
-            F.when(bare & (n > 0), F.struct(glued.alias("m"), s["p"].alias("p")))
-            .when(bare, F.struct(s["m"].alias("m"), F.concat(s["p"], p).alias("p")))
-            .otherwise(F.struct(F.concat(s["m"], F.array(F.concat(s["p"], p))).alias("m"), F.lit("").alias("p")))
-        )
-
-    return F.aggregate(parts, start, step, lambda s: F.when(s["p"] != "", F.concat(s["m"], F.array(s["p"]))).otherwise(s["m"]))
+    # a part that is nothing but a-chungs loses the break before it, and the first part the break after it
+    row = F.regexp_replace(F.array_join(parts, _BREAK), f"{_BREAK}([{A_CHUNG}]+)(?={_BREAK}|\\z)", "$1")
+    row = F.regexp_replace(row, f"^([{A_CHUNG}]+){_BREAK}", "$1")
+    return F.when(row == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(row, _BREAK, -1))
 
 
 def common_prefix(readings: Column) -> Column:

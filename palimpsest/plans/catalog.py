@@ -1,11 +1,385 @@
-"""Every registered query of the collation engine, with its SQL."""
+"""Every registered query of the collation engine, with its SQL.
+
+Witnesses come from documents: blocks of three neighbouring ids aligned by token position (which SQL can express), or
+documents whose lines of least hash agree, aligned by edit script.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.functions import preprocess, tibetan
+from palimpsest.functions import tokens as tok
+from palimpsest.functions.readings import comparison_key, syllables
+from palimpsest.operators import annotations, apparatus, serialize
+from palimpsest.operators.align import align, token_arrays
+from palimpsest.operators.diff import edit_scripts
+from palimpsest.operators.layout import long_rows, wide_rows, witness_rows
+from palimpsest.operators.merge import differs
+from palimpsest.operators.weigh import Weigher, count_weight, vote, weigh
+from palimpsest.options import COLORS, IGNORABLE, SHADS, Options
+from palimpsest.plans import collation
+from palimpsest.shipping import ship
+from palimpsest.sources import witnesses as sources
+
+#: The generic token pattern in a form that other engines read alike.
+TOKEN = r"[\p{L}\p{M}\p{Nd}\p{Pc}]+\s*|[^\p{L}\p{M}\p{Nd}\p{Pc}]+"
+_OPTIONS = Options()
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ship(spark).read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _tagged() -> Column:
+    """A folio tag at the start and one at the end, as the corpus has none."""
+    return F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit("] "), F.col("text"), F.lit("[end]"))
+
+
+def _norm(token):
+    return F.regexp_replace(F.lower(token), r"\s+$", "")
+
+
+_SQL_DOCS = "docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)"
+_SQL_TAGGED = _SQL_DOCS + ", t AS (SELECT doc_id, concat('[', doc_id, '] ', text, '[end]') AS x FROM docs)"
+_SQL_TAG = r"'\[[^\[\]\n]{1,40}\]'"
+_SQL_ARRAYS = _SQL_DOCS + f", a AS (SELECT doc_id, regexp_extract_all(text, '{TOKEN}') AS tokens FROM docs)"
+_SQL_TOKENS = _SQL_ARRAYS + (
+    ", u AS (SELECT doc_id, unnest(tokens) AS token, unnest(range(len(tokens))) AS pos FROM a)"
+    ", k AS (SELECT doc_id, pos, token, sum(length(token)) OVER (PARTITION BY doc_id ORDER BY pos) AS e FROM u)"
+)
+
+
+# preprocessing
+
+
+@_query(f"""WITH {_SQL_TAGGED} SELECT doc_id, CAST(len(regexp_extract_all(x, {_SQL_TAG})) AS INTEGER) AS tags,
+    CAST(length(x) - length(replace(x, '_', '')) AS INTEGER) AS underscores, CAST(length(x) - length(replace(x, '|', '')) AS INTEGER) AS pipes,
+    CAST(length(x) - length(regexp_replace(x, '[@#!]', '', 'g')) AS INTEGER) AS head_marks FROM t""")
+def prep_hits(spark, sf_dir):
+    return _documents(spark, sf_dir).withColumn("x", _tagged()).select("doc_id", *(c.alias(n) for n, c in preprocess.hits(F.col("x")).items()))
+
+
+@_query(f"WITH {_SQL_TAGGED} SELECT doc_id, md5(regexp_replace(x, {_SQL_TAG}, ' ', 'g')) AS stripped FROM t")
+def strip_tags(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", F.md5(preprocess.strip_tags(_tagged())).alias("stripped"))
+
+
+@_query(rf"""WITH {_SQL_TAGGED}, h AS (SELECT x, doc_id, len(regexp_extract_all(x, {_SQL_TAG})) AS a, length(x) - length(replace(x, '_', '')) AS b,
+    length(x) - length(replace(x, '|', '')) AS c, length(x) - length(regexp_replace(x, '[@#!]', '', 'g')) AS d FROM t)
+    SELECT doc_id, concat_ws(', ', CASE WHEN a > 0 THEN concat('folio/page tags [..]: ', a) END, CASE WHEN b > 0 THEN concat('underscores _: ', b) END,
+    CASE WHEN c > 0 THEN concat('pipes |: ', c) END, CASE WHEN d > 0 THEN concat('head marks @ # !: ', d) END) AS preview FROM h""")
+def prep_preview(spark, sf_dir):
+    return _documents(spark, sf_dir).withColumn("x", _tagged()).select("doc_id", preprocess.preview(F.col("x")).alias("preview"))
+
+
+@_query(f"""WITH {_SQL_TAGGED}, g AS (SELECT doc_id, regexp_extract_all(x, {_SQL_TAG}) AS tags, string_split_regex(x, {_SQL_TAG}) AS gaps FROM t),
+    i AS (SELECT *, unnest(range(1, len(tags) + 1)) AS i FROM g)
+    SELECT doc_id, CAST(list_sum(list_transform(gaps[1:i], lambda y: length(y))) + i - 1 AS INTEGER) AS "offset", tags[i] AS tag FROM i""")
+def milestones(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", F.inline(preprocess.milestones(_tagged())))
+
+
+@_query(f"""WITH {_SQL_DOCS} SELECT doc_id, md5(regexp_replace(text, 'tion', 'x', 'g')) AS filtered, CAST(len(regexp_extract_all(text, 'tion')) AS INTEGER) AS entries,
+    CAST(3 * len(regexp_extract_all(text, 'tion')) AS INTEGER) AS shift FROM docs""")
+def pattern_filter(spark, sf_dir):
+    row = _documents(spark, sf_dir).withColumn("f", preprocess.apply_pattern(F.col("text"), "tion", "x"))
+    return row.select("doc_id", F.md5("f.text").alias("filtered"), F.size("f.map").alias("entries"), F.coalesce(F.try_element_at("f.map", F.lit(-1))["diff"], F.lit(0)).alias("shift"))
+
+
+@_query(f"""WITH {_SQL_DOCS}, g AS (SELECT doc_id, string_split(text, 'tion') AS gaps FROM docs), i AS (SELECT *, unnest(range(1, len(gaps))) AS i FROM g)
+    SELECT doc_id, CAST(list_sum(list_transform(gaps[1:i], lambda y: length(y))) + i AS INTEGER) AS filtered_pos,
+    CAST(list_sum(list_transform(gaps[1:i], lambda y: length(y))) + 4 * i AS INTEGER) AS original_pos FROM i""")
+def offset_map(spark, sf_dir):
+    rows = _documents(spark, sf_dir).select("doc_id", preprocess.apply_pattern(F.col("text"), "tion", "x")["map"].alias("m")).select("doc_id", "m", F.explode("m").alias("p"))
+    return rows.select("doc_id", F.col("p.pos").alias("filtered_pos"), preprocess.corrected(F.col("p.pos"), F.col("m")).alias("original_pos"))
+
+
+# tokens
+
+
+@_query(f"""WITH {_SQL_TOKENS} SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(e - length(token) AS INTEGER) AS "start", CAST(e AS INTEGER) AS "end", token,
+    CASE WHEN regexp_replace(lower(token), '\\s+$', '') = '' THEN 0 ELSE 1 END AS incr FROM k""")
+def token_offsets(spark, sf_dir):
+    table = tok.tokens(_documents(spark, sf_dir), TOKEN, _norm, ("doc_id",))
+    return table.select("doc_id", "pos", "start", "end", "token", "incr")
+
+
+@_query(f"""WITH {_SQL_TOKENS} SELECT doc_id, count(*) AS tokens, count(DISTINCT regexp_replace(lower(token), '\\s+$', '')) AS norms FROM k GROUP BY doc_id""")
+def token_counts(spark, sf_dir):
+    rows = _documents(spark, sf_dir).select("doc_id", tok.token_array(F.col("text"), TOKEN).alias("t")).where(F.size("t") > 0)
+    return rows.select("doc_id", F.size("t").cast("long").alias("tokens"), F.size(F.array_distinct(F.transform("t", _norm))).cast("long").alias("norms"))
+
+
+@_query(f"WITH {_SQL_TOKENS} SELECT DISTINCT token, regexp_replace(lower(token), '\\s+$', '') AS norm FROM k")
+def normalized_vocab(spark, sf_dir):
+    rows = _documents(spark, sf_dir).select(F.explode(tok.token_array(F.col("text"), TOKEN)).alias("token"))
+    return tok.normalized_vocabulary(rows, lambda v: v.select("token", _norm(F.col("token")).alias("norm")))
+
+
+@_query(f"""WITH {_SQL_TOKENS}, v AS (SELECT DISTINCT doc_id // 3 AS collation_id, regexp_replace(lower(token), '\\s+$', '') AS norm FROM k)
+    SELECT collation_id, norm, CAST(dense_rank() OVER (PARTITION BY collation_id ORDER BY norm) AS INTEGER) AS code FROM v WHERE norm <> ''""")
+def encode(spark, sf_dir):
+    rows = sources.blocks(_documents(spark, sf_dir)).select("collation_id", F.explode(tok.token_array(F.col("text"), TOKEN)).alias("token"))
+    return tok.encode(rows.select("collation_id", _norm(F.col("token")).alias("norm")))
+
+
+@_query(f"""WITH {_SQL_TOKENS}, v AS (SELECT DISTINCT regexp_replace(lower(token), '\\s+$', '') AS norm FROM k),
+    s AS (SELECT * FROM (VALUES ('the', 'thee'), ('and', 'et'), ('der', 'die'), ('de', 'des')) AS x(form, lemma))
+    SELECT norm AS token, coalesce(lemma, norm) AS norm FROM v LEFT JOIN s ON norm = form""")
+def subst_lookup(spark, sf_dir):
+    table = spark.createDataFrame([("the", "thee"), ("and", "et"), ("der", "die"), ("de", "des")], "form string, lemma string")
+    rows = normalized_vocab(spark, sf_dir).select(F.col("norm").alias("token")).distinct().withColumn("norm", F.col("token"))
+    return tibetan.substitute(rows, table)
+
+
+@_query()
+def tibetan_vocab(spark, sf_dir):
+    rows = _documents(spark, sf_dir).select(F.explode(tok.token_array(F.col("text"), tok.TIBETAN)).alias("token"))
+    return tibetan.normalize_vocabulary(rows)
+
+
+# readings
+
+
+@_query(f"WITH {_SQL_DOCS} SELECT doc_id, md5(translate(text, '{IGNORABLE}_@#!{SHADS}|', '')) AS key FROM docs")
+def comparison_keys(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", F.md5(comparison_key(F.col("text"), _OPTIONS)).alias("key"))
+
+
+@_query(rf"""WITH {_SQL_DOCS}, p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(translate(text, '{SHADS}|', ''), '[་༌\s_]+'),
+    lambda x: translate(x, '{IGNORABLE}_@#!', '')), lambda x: x <> '') AS s FROM docs WHERE text NOT LIKE '%''%')
+    SELECT doc_id, CAST(len(s) AS INTEGER) AS n, md5(array_to_string(s, ' ')) AS joined FROM p""")
+def display_syllables(spark, sf_dir):
+    rows = _documents(spark, sf_dir).where(~F.col("text").contains("'")).select("doc_id", syllables(F.col("text"), _OPTIONS).alias("s"))
+    return rows.select("doc_id", F.size("s").alias("n"), F.md5(F.array_join("s", " ")).alias("joined"))
+
+
+# matrices by position
+
+_SQL_MATRIX = _SQL_TOKENS + (
+    ", b AS (SELECT doc_id // 3 AS collation_id, CAST(doc_id % 3 AS INTEGER) AS witness_id, pos AS row_id, token AS text FROM k)"
+    ", r AS (SELECT DISTINCT collation_id, row_id FROM b), w AS (SELECT DISTINCT doc_id // 3 AS collation_id, CAST(doc_id % 3 AS INTEGER) AS witness_id FROM docs)"
+    ", m AS (SELECT r.collation_id, CAST(r.row_id AS INTEGER) AS row_id, w.witness_id, b.text FROM r JOIN w USING (collation_id)"
+    " LEFT JOIN b ON b.collation_id = r.collation_id AND b.row_id = r.row_id AND b.witness_id = w.witness_id)"
+)
+_SQL_WEIGHTED = _SQL_MATRIX + (
+    ", g AS (SELECT *, CAST(floor(CAST(count(*) OVER (PARTITION BY collation_id, row_id, coalesce(text, '')) AS DOUBLE)"
+    " / count(*) OVER (PARTITION BY collation_id, row_id) * 100) AS INTEGER) AS weight FROM m)"
+)
+_SQL_VOTED = _SQL_WEIGHTED + (
+    ", o AS (SELECT *, row_number() OVER (PARTITION BY collation_id, row_id ORDER BY coalesce(weight, 0) DESC, witness_id) AS o FROM g)"
+    ", v AS (SELECT collation_id, row_id, witness_id AS top, coalesce(text, '') AS voted FROM o WHERE o = 1)"
+)
+_SQL_GROUPS = _SQL_VOTED + (
+    ", f AS (SELECT collation_id, row_id FROM m GROUP BY ALL HAVING count(DISTINCT coalesce(text, '')) > 1)"
+    ", e AS (SELECT collation_id, row_id, coalesce(text, '') AS reading, string_agg(concat('V', witness_id + 1), ',' ORDER BY witness_id) AS codes, min(witness_id) AS first"
+    " FROM m JOIN f USING (collation_id, row_id) GROUP BY ALL)"
+)
+
+
+def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long cells; a row is a token position, witnesses that have ended have gaps."""
+    texts = sources.blocks(_documents(spark, sf_dir))
+    rows = texts.select("collation_id", "witness_id", F.posexplode(tok.token_array(F.col("text"), TOKEN)).alias("row_id", "text"))
+    cells = rows.withColumns({"start": F.lit(0), "end": F.length("text"), "incr": F.lit(1)})
+    n = texts.groupBy("collation_id").agg((F.max("witness_id") + 1).alias("n"))
+    return long_rows(wide_rows(cells, n)).select("collation_id", "row_id", "witness_id", "text")
+
+
+def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weigh(_matrix(spark, sf_dir), [Weigher(count_weight())])
+
+
+@_query(f"WITH {_SQL_MATRIX} SELECT collation_id, row_id, witness_id, text FROM m")
+def positional_matrix(spark, sf_dir):
+    return _matrix(spark, sf_dir)
+
+
+@_query(f"WITH {_SQL_DOCS} SELECT doc_id // 3 AS collation_id, CAST(doc_id % 3 AS INTEGER) AS witness_id, md5(text) AS text FROM docs WHERE text <> ''")
+def transpose(spark, sf_dir):
+    cells = _matrix(spark, sf_dir).where("text is not null").withColumns({"start": F.lit(0), "end": F.lit(0), "incr": F.lit(1)})
+    return witness_rows(cells).select("collation_id", "witness_id", F.md5(F.array_join(F.transform("cells", lambda c: c["text"]), "")).alias("text"))
+
+
+@_query(f"WITH {_SQL_WEIGHTED} SELECT collation_id, row_id, witness_id, weight FROM g")
+def count_weights(spark, sf_dir):
+    return _weighted(spark, sf_dir).select("collation_id", "row_id", "witness_id", "weight")
+
+
+@_query(f"""WITH {_SQL_WEIGHTED}, x AS (SELECT *, CASE WHEN text IS NULL THEN NULL ELSE 10 * length(text) % 101 END AS y, CASE WHEN witness_id = 1 THEN 50 WHEN witness_id = 2 THEN 0 END AS z FROM g),
+    s AS (SELECT *, CAST(floor((2.0 * weight + coalesce(y, 0)) / (2 + CASE WHEN y IS NULL THEN 0 ELSE 1 END)) AS INTEGER) AS a FROM x)
+    SELECT collation_id, row_id, witness_id, CASE WHEN coalesce(z, 0) > 0 THEN CAST(floor(a * z / 100) AS INTEGER) ELSE a END AS weight FROM s""")
+def weighted_mean(spark, sf_dir):
+    length = F.when(F.col("text").isNotNull(), F.length("text") * 10 % 101)
+    half = F.when(F.col("witness_id") == 1, 50).when(F.col("witness_id") == 2, 0)
+    found = weigh(_matrix(spark, sf_dir), [Weigher(count_weight(), 2), Weigher(length), Weigher(half, 1, relative=True)])
+    return found.select("collation_id", "row_id", "witness_id", "weight")
+
+
+@_query(f"WITH {_SQL_VOTED} SELECT collation_id, row_id, top, voted FROM v")
+def top_reading(spark, sf_dir):
+    return vote(_weighted(spark, sf_dir))
+
+
+@_query(f"WITH {_SQL_VOTED} SELECT collation_id, md5(string_agg(voted, '' ORDER BY row_id)) AS voted_text FROM v GROUP BY collation_id")
+def voted_text(spark, sf_dir):
+    return serialize.plain_text(_weighted(spark, sf_dir)).select("collation_id", F.md5("voted_text").alias("voted_text"))
+
+
+@_query(f"""WITH {_SQL_VOTED}, c AS (SELECT g.*, top, concat(coalesce(text, ''), '_', coalesce(weight, 0), '_') AS body FROM g JOIN v USING (collation_id, row_id))
+    SELECT collation_id, row_id, witness_id, CASE WHEN witness_id = top THEN concat('[', body, ']') ELSE body END AS entry FROM c""")
+def csv_cells(spark, sf_dir):
+    return serialize.csv_entries(_weighted(spark, sf_dir))
+
+
+@_query(f"WITH {_SQL_GROUPS} SELECT collation_id, row_id, reading, codes FROM e")
+def note_groups(spark, sf_dir):
+    rows = serialize.voted_rows(_weighted(spark, sf_dir)).where("differs").select("collation_id", "row_id", F.inline("groups"))
+    return rows.select("collation_id", "row_id", "reading", F.array_join("codes", ",").alias("codes"))
+
+
+@_query(f"""WITH {_SQL_GROUPS}, n AS (SELECT collation_id, row_id, string_agg(concat(codes, ': ', reading, ';'), ' ' ORDER BY first) AS tail FROM e GROUP BY ALL)
+    SELECT collation_id, row_id, CAST(row_number() OVER (PARTITION BY collation_id ORDER BY row_id) AS INTEGER) AS n, concat(voted, ']', tail) AS note FROM n JOIN v USING (collation_id, row_id)""")
+def md_notes(spark, sf_dir):
+    return serialize.md_notes(serialize.voted_rows(_weighted(spark, sf_dir)))
+
+
+@_query(f"""WITH {_SQL_GROUPS}, n AS (SELECT collation_id, row_id, concat('<', string_agg(concat(replace(codes, ',', ''), reading), '' ORDER BY first), '>') AS note
+    FROM e JOIN v USING (collation_id, row_id) WHERE reading <> voted GROUP BY ALL)
+    SELECT collation_id, row_id, CAST(row_number() OVER (PARTITION BY collation_id ORDER BY row_id) AS INTEGER) AS n, note FROM n""")
+def hfml_notes(spark, sf_dir):
+    return serialize.hfml_notes(serialize.voted_rows(_weighted(spark, sf_dir))).where("note is not null").select("collation_id", "row_id", "n", "note")
+
+
+@_query(f"""WITH {_SQL_MATRIX}, d AS (SELECT collation_id, row_id, count(DISTINCT translate(coalesce(text, ''), '{IGNORABLE}_@#!{SHADS}|', '')) > 1 AS differs FROM m GROUP BY ALL),
+    c AS (SELECT *, CAST(sum(CAST(differs AS INTEGER)) OVER (PARTITION BY collation_id ORDER BY row_id) AS INTEGER) AS note_no FROM d)
+    SELECT collation_id, row_id, note_no, {list(COLORS)}[(note_no - 1) % {len(COLORS)} + 1] AS color FROM c WHERE differs""")
+def note_numbers(spark, sf_dir):
+    cells = _matrix(spark, sf_dir)
+    rows = cells.groupBy("collation_id", "row_id").agg(F.array_sort(F.collect_list(F.struct("witness_id", F.coalesce("text", F.lit("")).alias("t")))).alias("r"))
+    rows = rows.select("collation_id", "row_id", F.transform("r", lambda x: x["t"]).alias("segs"))
+    names = apparatus.labels(sources.blocks(_documents(spark, sf_dir)))
+    return apparatus.apparatus(rows, names, _OPTIONS).where("differs").select("collation_id", "row_id", "note_no", "color")
+
+
+@_query(f"""WITH {_SQL_TOKENS}, n AS (SELECT doc_id, unnest(range(length(text) // 37 + 1)) AS i FROM docs), ann AS (SELECT doc_id, 37 * i AS mark, CAST(floor((i * 7 % 100) / 100.0::DOUBLE * 100) AS INTEGER) AS c FROM n),
+    s AS (SELECT doc_id, CAST(e - length(token) AS INTEGER) AS st, CAST(e AS INTEGER) AS en FROM k)
+    SELECT s.doc_id, st AS "start", en AS "end", coalesce(min(c), 100) AS confidence FROM s LEFT JOIN ann ON ann.doc_id = s.doc_id AND mark > st AND mark <= en GROUP BY ALL""")
+def confidence_min(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    cells = tok.tokens(docs, TOKEN, _norm, ("doc_id",)).select("doc_id", "start", "end", F.col("token").alias("text"))
+    marks = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / 37).cast("int"))).alias("i"))
+    marks = marks.select("doc_id", (F.col("i") * 37).alias("start"), ((F.col("i") * 7 % 100) / F.lit(100.0)).alias("confidence"))
+    return annotations.confidence_min(cells, marks, ("doc_id",)).select("doc_id", "start", "end", "confidence")
+
+
+# alignments
+
+_SQL_COPIES = _SQL_DOCS + (
+    ", l AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: length(x) >= 20) AS lines FROM docs)"
+    ", q AS (SELECT doc_id, text, list_sort(list_distinct(list_transform(lines, lambda x: md5(x))))[1:2] AS k FROM l WHERE len(lines) > 0)"
+    ", h AS (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY k) AS collation_id, count(*) OVER (PARTITION BY k) AS n FROM q)"
+    ", c AS (SELECT collation_id, CAST(row_number() OVER (PARTITION BY collation_id ORDER BY doc_id) - 1 AS INTEGER) AS witness_id, doc_id, text FROM h WHERE n > 1)"
+)
+
+
+def _copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.near_copies(_documents(spark, sf_dir))
+
+
+@_query(f"WITH {_SQL_COPIES} SELECT collation_id, witness_id, doc_id FROM c")
+def near_copies(spark, sf_dir):
+    return _copies(spark, sf_dir).select("collation_id", "witness_id", "doc_id")
+
+
+@_query(f"WITH {_SQL_COPIES} SELECT collation_id, witness_id, md5(text) AS text FROM c")
+def align_roundtrip(spark, sf_dir):
+    cells = long_rows(align(_copies(spark, sf_dir), TOKEN, _norm))
+    return witness_rows(cells).select("collation_id", "witness_id", F.md5(F.array_join(F.transform("cells", lambda c: c["text"]), "")).alias("text"))
+
+
+@_query(f"""WITH {_SQL_COPIES}, z AS (SELECT collation_id, witness_id, len(regexp_extract_all(text, '{TOKEN}')) AS n, len(list_filter(regexp_extract_all(text, '{TOKEN}'), lambda x: regexp_replace(lower(x), '\\s+$', '') = '')) AS blank FROM c)
+    SELECT z.collation_id, z.witness_id, y.n - y.blank AS base_tokens, z.n - z.blank AS own_tokens FROM z JOIN z AS y ON y.collation_id = z.collation_id AND y.witness_id = 0 WHERE z.witness_id > 0""")
+def script_coverage(spark, sf_dir):
+    """What edit scripts delete, keep and insert adds up to both texts."""
+    arrays = token_arrays(_copies(spark, sf_dir), TOKEN, _norm)
+    found = edit_scripts(arrays.withColumn("norms", F.filter("norms", lambda x: x != "")))
+
+    def total(without: str) -> Column:
+        return F.aggregate(F.filter("script", lambda s: s["op"] != without), F.lit(0).cast("long"), lambda n, s: n + s["n"])
+
+    return found.select("collation_id", "witness_id", total("+").alias("base_tokens"), total("-").alias("own_tokens"))
+
+
+@_query()
+def alignment(spark, sf_dir):
+    wide = align(_copies(spark, sf_dir))
+    return wide.select("collation_id", "row_id", F.transform("cells", lambda c: c["text"]).alias("texts"), differs(F.col("cells")).alias("differs"))
+
+
+@_query()
+def alignment_layout(spark, sf_dir):
+    wide = align(_copies(spark, sf_dir), merged=False)
+    return wide.select("collation_id", "row_id", F.transform("cells", lambda c: c["text"]).alias("texts"))
+
+
+@_query()
+def common_spelling(spark, sf_dir):
+    found = collation.common_spelling(_copies(spark, sf_dir).select("collation_id", "witness_id", "text"), [(" +", " ")], bo=False)
+    return serialize.plain_text(found)
+
+
+@_query()
+def markdown(spark, sf_dir):
+    found = collation.common_spelling(_copies(spark, sf_dir).select("collation_id", "witness_id", "text"), bo=False)
+    return serialize.markdown(serialize.voted_rows(found))
+
+
+@_query()
+def hfml(spark, sf_dir):
+    found = collation.common_spelling(_copies(spark, sf_dir).select("collation_id", "witness_id", "text"), bo=False)
+    return serialize.hfml(serialize.voted_rows(found))
+
+
+def _apparatus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collation.apparatus(_copies(spark, sf_dir).select("collation_id", "witness_id", "text"))
+
+
+@_query()
+def apparatus_notes(spark, sf_dir):
+    return apparatus.notes(_apparatus(spark, sf_dir))
+
+
+@_query()
+def apparatus_rows(spark, sf_dir):
+    return _apparatus(spark, sf_dir).select("collation_id", "row_id", "segs", "note_no", "color", "shaded", "marked", "base_start", "cut")
+
+
+@_query()
+def golden_text(spark, sf_dir):
+    tagged = _copies(spark, sf_dir).select("collation_id", "witness_id", F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit("] "), F.col("text"), F.lit("[end]")).alias("text"))
+    return collation.golden_text(tagged)
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)

@@ -47,14 +47,15 @@ def blocks(documents: DataFrame, size: int = 3) -> DataFrame:
     return documents.select((F.floor(F.col("doc_id") / size)).cast("long").alias("collation_id"), (F.col("doc_id") % size).cast("int").alias("witness_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def near_copies(documents: DataFrame, min_line: int = 40) -> DataFrame:
-    """Documents that share their longest line (of min_line characters or more) as collations; the base has the least id.
+def near_copies(documents: DataFrame, min_line: int = 20, sketch: int = 2) -> DataFrame:
+    """Documents whose `sketch` lines of least hash agree (of distinct lines of min_line characters or more) as collations.
 
-    collation_id is that id.  Equal lengths: the first in code point order.
+    The base has the least id, which is the collation_id.  A document of fewer such lines is known by those it has; one
+    without any is no witness.
     """
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.length(x) >= min_line)
-    longest = F.array_min(F.transform(lines, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("line"))))["line"]
-    keyed = documents.where("text is not null").select("doc_id", "text", F.sha2(longest, 256).alias("k")).where("k is not null")
+    least = F.slice(F.array_sort(F.array_distinct(F.transform(lines, lambda x: F.md5(x)))), 1, sketch)
+    keyed = documents.where("text is not null").select("doc_id", "text", F.array_join(least, "").alias("k")).where("k <> ''")
     groups = keyed.groupBy("k").agg(F.min("doc_id").alias("collation_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
     rank = F.row_number().over(Window.partitionBy("collation_id").orderBy("doc_id")) - 1
     return keyed.join(groups, "k").select("collation_id", rank.cast("int").alias("witness_id"), "doc_id", "text")
