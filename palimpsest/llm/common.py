@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,14 +39,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/palimpsest/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs no more than its own tasks."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     release(spark)
-    return spark.read.schema(schema).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table of materialize() that nothing reads any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -54,6 +64,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def settle(spark: SparkSession, seconds: float = 1.0) -> None:
+    """release(), once the listeners have let go of the last query's plan; for phases that leave much on disk."""
+    time.sleep(seconds)
+    release(spark)
+    time.sleep(seconds)
+
+
 def row_key(*cols: str | Column) -> Column:
     """A 128-bit key of the values, nulls told apart from texts; equal rows get equal keys."""
     parts = []

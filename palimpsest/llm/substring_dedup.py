@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import materialize
+from palimpsest.llm.common import discard, materialize, settle
 
 GRAM = 5
 HOT = 1000
@@ -141,7 +141,7 @@ def _repeated(hot: int):
 def _stretches(size: int):
     """The words of each marked stretch, or of each of its windows."""
     names = ["key", "sh", "seg", "o", "th", "s", "n"]
-    types = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[] for _ in names]
@@ -152,8 +152,8 @@ def _stretches(size: int):
                     s, n, a = m["s"], m["n"], m["a"]
                     for at, k in [(s, n)] if not m["route"] else [(s + i, 1) for i in range(n)]:
                         seg = b" ".join(words[at : at + size + k - 1])
-                        key = a if not m["route"] else xxhash.xxh3_64_intdigest(seg) - 2**63
-                        for column, x in zip(out, (key, xxhash.xxh3_128_digest(seg, m["route"]), seg, o, th, at, k), strict=True):
+                        key = a if not m["route"] else xxhash.xxh3_64_intdigest(seg, 1) - 2**63
+                        for column, x in zip(out, (key, xxhash.xxh3_64_intdigest(seg) - 2**63, seg, o, th, at, k), strict=True):
                             column.append(x)
                 if len(out[0]) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
@@ -230,11 +230,11 @@ class Automaton:
 def _judged(size: int):
     """Per distinct stretch, the first document of each of its windows; rows come by shard key."""
 
-    def shard(rows: list[tuple]) -> Iterator[tuple]:
+    def shard(key: int, rows: list[tuple]) -> Iterator[tuple]:
         if len(rows) == 1:  # every window of it is first in its first document
             sh, seg, first, last, n = rows[0]
             if last > first:
-                yield sh, [first] * n
+                yield key, sh, [first] * n
             return
         known = Automaton()
         split = [seg.split() for _, seg, *_ in rows]
@@ -244,7 +244,7 @@ def _judged(size: int):
         for words, (sh, _, _, last, _) in zip(split, rows, strict=True):
             firsts = [first for matched, first in known.statistics(words, size) if matched >= size]
             if last > min(firsts):
-                yield sh, firsts
+                yield key, sh, firsts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, out = None, [], []
@@ -252,7 +252,7 @@ def _judged(size: int):
             columns = [batch.column(i).to_pylist() for i in range(6)]
             for k, *row in zip(*columns, strict=True):
                 if k != key and rows:
-                    out += shard(rows)
+                    out += shard(key, rows)
                     rows = []
                 key = k
                 rows.append(tuple(row))
@@ -260,7 +260,7 @@ def _judged(size: int):
                 yield _verdicts(out)
                 out = []
         if rows:
-            out += shard(rows)
+            out += shard(key, rows)
         if out:
             yield _verdicts(out)
 
@@ -268,7 +268,8 @@ def _judged(size: int):
 
 
 def _verdicts(out: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.list_(pa.int64()))], ["sh", "firsts"])
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "sh", "firsts"])
 
 
 def _removed(size: int):
@@ -312,20 +313,29 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """
     if not GRAM <= min_words <= 60:
         raise ValueError("min_words must be 5 to 60")
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("o"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
+    spark = docs.sparkSession
+    # rows of one id are told apart by a hash of the text; where ids are unique it is left out of what is shuffled
+    ids = docs.groupBy(F.col(doc_id).alias("i")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    th = F.lit(0).cast("long") if ids.isEmpty() else F.xxhash64(F.col(text))
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("o"), th.alias("th"), F.col(text).alias("text"))
     anchors = own.select("o", "th", "text").mapInArrow(_anchors(min_words, GRAM), "a long, o long, th long, s int, n int")
     repeated = anchors.repartitionByRange("a", "o").sortWithinPartitions("a", "o").mapInArrow(_repeated(hot), "a long, o long, th long, s int, n int, route int")
     marks = repeated.groupBy("o", "th").agg(F.collect_set(F.struct("s", "n", "a", "route")).alias("marks"))
     cut = own.select("o", "th", "text").join(marks.hint("shuffle_hash"), ["o", "th"]).select("o", "th", "text", "marks")
-    cut = materialize(cut.mapInArrow(_stretches(min_words), "key long, sh binary, seg binary, o long, th long, s int, n int"), "stretches")
+    cut = materialize(cut.mapInArrow(_stretches(min_words), "key long, sh long, seg binary, o long, th long, s int, n int"), "stretches", "zstd")
+    settle(spark)
 
     distinct = cut.groupBy("key", "sh", "seg").agg(F.min("o").alias("first"), F.max("o").alias("last"), F.max("n").alias("n"))
     shards = distinct.select("key", "sh", "seg", "first", "last", "n").repartition("key").sortWithinPartitions("key", "first", "sh")
-    verdicts = materialize(shards.mapInArrow(_judged(min_words), "sh binary, firsts array<long>"), "verdicts")
+    verdicts = materialize(shards.mapInArrow(_judged(min_words), "key long, sh long, firsts array<long>"), "verdicts")
+    settle(spark)
 
     mask = F.aggregate(F.transform("firsts", lambda m, i: F.when(m < F.col("o"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
-    covered = cut.select("sh", "o", "th", "s").join(verdicts, "sh").select("o", "th", "s", mask.alias("mask")).where("mask <> 0")
+    covered = cut.select("key", "sh", "o", "th", "s").join(verdicts, ["key", "sh"]).select("o", "th", "s", mask.alias("mask")).where("mask <> 0")
     covered = materialize(covered.groupBy("o", "th").agg(F.collect_set(F.struct("s", "mask")).alias("marks")), "covered")
+    discard(cut)
+    discard(verdicts)
+    settle(spark)
     whole = own.join(covered.hint("shuffle_hash"), ["o", "th"], "left").select("doc_id", "text", "marks")
     return whole.mapInArrow(_removed(min_words), "doc_id long, n_words long, spans array<struct<start:int,end:int>>, kept string")
 
