@@ -8,8 +8,6 @@ that several owners hold is an example that has been copied.  Base spans stay ei
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,6 +101,10 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ow
 
 def digest(found: DataFrame) -> DataFrame:
     """The contract's columns of what scan_secrets() returns."""
-    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k][0]}") for k in range(BASE)]
+
+    def of_kind(name: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["name"] == name)).cast("long").alias(f"n_{name}")
+
+    count = [of_kind(name) for name, _ in KINDS[:BASE]]
     return found.select(
         "doc_id", *count, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.array_sort(F.concat("base", "added"))).alias("spans"), "n_live", "n_copied")
