@@ -139,31 +139,49 @@ def _repeated(hot: int):
 
 
 def _stretches(size: int):
-    """The words of each marked stretch, or of each of its windows."""
+    """The words of each marked stretch, or of each of its windows, as slices of the text with single blanks."""
     names = ["key", "sh", "seg", "o", "th", "s", "n"]
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[] for _ in names]
+        held = 0
         for batch in batches:
-            for o, th, text, marks in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            own, th = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            marks = batch.column(3)
+            bounds = marks.offsets.to_numpy() - marks.offsets[0].as_py()
+            first, n_windows, anchor, route = (marks.flatten().field(x).to_numpy(zero_copy_only=False) for x in ("s", "n", "a", "route"))
+            for i, text in enumerate(batch.column(2).to_pylist()):
                 words = text.encode().split()
-                for m in marks:
-                    s, n, a = m["s"], m["n"], m["a"]
-                    for at, k in [(s, n)] if not m["route"] else [(s + i, 1) for i in range(n)]:
-                        seg = b" ".join(words[at : at + size + k - 1])
-                        key = a if not m["route"] else xxhash.xxh3_64_intdigest(seg, 1) - 2**63
-                        for column, x in zip(out, (key, xxhash.xxh3_64_intdigest(seg) - 2**63, seg, o, th, at, k), strict=True):
-                            column.append(x)
-                if len(out[0]) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
-                    out = [[] for _ in names]
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
+                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+                starts = np.r_[0, ends[:-1] + 1]
+                here = slice(bounds[i], bounds[i + 1])
+                s, n, a, one_by_one = first[here], n_windows[here], anchor[here], route[here] > 0
+                single = n[one_by_one]
+                each = np.repeat(s[one_by_one], single) + np.arange(single.sum()) - np.repeat(np.cumsum(single) - single, single)
+                at = np.concatenate([s[~one_by_one], each])
+                k = np.concatenate([n[~one_by_one], np.ones(len(each), n.dtype)])
+                whole = b" ".join(words)
+                segs = [whole[x:y] for x, y in zip(starts[at].tolist(), ends[at + size + k - 2].tolist(), strict=True)]
+                sh = np.fromiter(map(xxhash.xxh3_64_intdigest, segs), np.uint64, len(segs)).view(np.int64)
+                key = np.fromiter((xxhash.xxh3_64_intdigest(x, 1) for x in segs[len(segs) - len(each) :]), np.uint64, len(each)).view(np.int64)
+                row = (np.concatenate([a[~one_by_one], key]), sh, segs, np.full(len(at), own[i]), np.full(len(at), th[i]), at.astype(np.int32), k.astype(np.int32))
+                for column, x in zip(out, row, strict=True):
+                    column.append(x)
+                held += len(at)
+                if held > 50_000:
+                    yield _batch(out, names)
+                    out, held = [[] for _ in names], 0
+        if held:
+            yield _batch(out, names)
 
     return run
 
 
+def _batch(columns: list[list], names: list[str]) -> pa.RecordBatch:
+    joined = [pa.array([y for x in c for y in x], pa.binary()) if name == "seg" else pa.array(np.concatenate(c)) for c, name in zip(columns, names, strict=True)]
+    return pa.RecordBatch.from_arrays(joined, names)
+
+
 class Automaton:
     """Generalised suffix automaton over words; each state knows the least document that holds its sequences."""
 
@@ -280,8 +298,13 @@ def _removed(size: int):
             n_words, spans, kept = [], [], []
             for text, marks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = text.encode().split() if text else []
+                n_words.append(len(words))
+                if not marks:
+                    spans.append([])
+                    kept.append(b" ".join(words).decode())
+                    continue
                 cover = np.zeros(len(words) + 1, np.int32)
-                for m in marks or []:
+                for m in marks:
                     for i in range(m["mask"].bit_length()):
                         if m["mask"] >> i & 1:
                             cover[m["s"] + i] += 1
@@ -293,9 +316,8 @@ def _removed(size: int):
                 for a, b in ends:
                     stay += words[at:a]
                     at = b
-                n_words.append(len(words))
                 spans.append([{"start": a, "end": b} for a, b in ends])
-                kept.append(b" ".join(stay + words[at:] if ends else words).decode())
+                kept.append(b" ".join(stay + words[at:]).decode())
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.string())], ["doc_id", "n_words", "spans", "kept"])
 
