@@ -83,17 +83,14 @@ def golden(found: DataFrame, milestones: DataFrame | None = None) -> DataFrame:
     mark = F.when(F.col("note_no").isNotNull(), F.array(F.struct(F.col("cut").alias("at"), F.lit(0).alias("kind"), F.concat(F.lit("[^"), F.col("note_no").cast("string"), F.lit("]")).alias("put")))).otherwise(F.expr("cast(array() as array<struct<at:int,kind:int,put:string>>)"))
     rows = rows.withColumn("puts", mark)
     if milestones is not None:
-        last = found.groupBy("collation_id").agg(F.max("base_end").alias("whole"), F.max("row_id").alias("last"))
-        stones = milestones.join(last, "collation_id")
-        inside = stones.where("offset < whole").join(rows.select("collation_id", "row_id", "base_start", "base_end"), "collation_id").where("offset >= base_start and offset < base_end")
-        inside = inside.select("collation_id", "row_id", (F.col("offset") - F.col("base_start")).alias("at"), "tag", "offset")
-        after = stones.where("offset >= whole").select("collation_id", F.col("last").alias("row_id"), F.lit(2**30).alias("at"), "tag", "offset")
-        put = inside.unionByName(after).groupBy("collation_id", "row_id").agg(F.array_sort(F.collect_list(F.struct("at", F.lit(1).alias("kind"), "offset", "tag"))).alias("s"))
-        put = put.withColumn("s", F.transform("s", lambda x: F.struct(x["at"].cast("int").alias("at"), x["kind"].alias("kind"), x["tag"].alias("put"))))
-        rows = rows.join(put, ["collation_id", "row_id"], "left")
-        merged = F.concat("puts", F.coalesce("s", F.expr("cast(array() as array<struct<at:int,kind:int,put:string>>)")))
-        # stable by place and kind: stones of one place keep their order
-        numbered = F.transform(merged, lambda x, i: F.struct(x["at"].alias("at"), x["kind"].alias("kind"), i.alias("i"), x["put"].alias("put")))
+        last = F.col("row_id") == F.max("row_id").over(Window.partitionBy("collation_id"))
+        rows = rows.withColumn("last", last).alias("r").join(milestones.alias("s"), (F.col("r.collation_id") == F.col("s.collation_id")) & (F.col("offset") >= F.col("base_start")) & ((F.col("offset") < F.col("base_end")) | F.col("last")), "left")
+        stone = F.struct((F.col("offset") - F.col("base_start")).alias("at"), F.lit(1).alias("kind"), "offset", F.col("tag").alias("put"))
+        kept = [F.first(c).alias(c) for c in ("base", "puts")]
+        rows = rows.groupBy("r.collation_id", "row_id").agg(*kept, F.array_sort(F.collect_list(F.when(F.col("offset").isNotNull(), stone))).alias("stones"))
+        # stones of one place keep their order; a mark goes before them
+        placed = F.transform("stones", lambda x: F.struct(x["at"].cast("int").alias("at"), x["kind"].alias("kind"), x["put"].alias("put")))
+        numbered = F.transform(F.concat("puts", placed), lambda x, i: F.struct(x["at"].alias("at"), x["kind"].alias("kind"), i.alias("i"), x["put"].alias("put")))
         rows = rows.withColumn("puts", F.transform(F.array_sort(numbered), lambda x: F.struct(x["at"].alias("at"), x["kind"].alias("kind"), x["put"].alias("put"))))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     base = F.col("base")

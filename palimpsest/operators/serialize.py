@@ -20,10 +20,10 @@ def plain_text(weighted: DataFrame) -> DataFrame:
 
 def csv_entries(weighted: DataFrame) -> DataFrame:
     """collation_id, row_id, witness_id, entry: text_weight_, in brackets for the winner; a gap weighs 0."""
-    top = vote(weighted).select("collation_id", "row_id", "top")
+    best = F.max(F.struct(F.coalesce("weight", F.lit(0)).alias("w"), (-F.col("witness_id")).alias("n"))).over(Window.partitionBy("collation_id", "row_id"))
     body = F.concat(F.coalesce("text", F.lit("")), F.lit("_"), F.coalesce("weight", F.lit(0)).cast("string"), F.lit("_"))
-    entry = F.when(F.col("witness_id") == F.col("top"), F.concat(F.lit("["), body, F.lit("]"))).otherwise(body)
-    return weighted.join(top, ["collation_id", "row_id"]).select("collation_id", "row_id", "witness_id", entry.alias("entry"))
+    entry = F.when(F.col("witness_id") == -F.col("best.n"), F.concat(F.lit("["), body, F.lit("]"))).otherwise(body)
+    return weighted.withColumn("best", best).select("collation_id", "row_id", "witness_id", entry.alias("entry"))
 
 
 def csv_lines(weighted: DataFrame) -> DataFrame:
@@ -41,15 +41,15 @@ def voted_rows(weighted: DataFrame, versions: DataFrame | None = None, codes: di
     """
     if codes:
         table = F.create_map(*(F.lit(x) for pair in codes.items() for x in pair))
-        named = weighted.join(versions.select("collation_id", "witness_id", F.try_element_at(table, F.col("name")).alias("code")), ["collation_id", "witness_id"])
+        named = weighted.join(versions.select("collation_id", "witness_id", F.try_element_at(table, F.col("name")).alias("code")), ["collation_id", "witness_id"], "left")
     else:
         named = weighted.withColumn("code", F.concat(F.lit("V"), (F.col("witness_id") + 1).cast("string")))
     cell = F.struct("witness_id", F.coalesce("text", F.lit("")).alias("text"), "code")
-    rows = named.groupBy("collation_id", "row_id").agg(F.array_sort(F.collect_list(cell)).alias("c"))
-    rows = rows.join(vote(weighted), ["collation_id", "row_id"])
+    best = F.max(F.struct(F.coalesce("weight", F.lit(0)).alias("w"), (-F.col("witness_id")).alias("n"), F.coalesce("text", F.lit("")).alias("t")))
+    rows = named.groupBy("collation_id", "row_id").agg(F.array_sort(F.collect_list(cell)).alias("c"), best.alias("best"))
     differs = F.size(F.array_distinct(F.transform("c", lambda x: x["text"]))) > 1
     shown = F.filter("c", lambda x: x["code"].isNotNull())
-    rows = rows.select("collation_id", "row_id", "voted", differs.alias("differs"), shown.alias("c"))
+    rows = rows.select("collation_id", "row_id", F.col("best.t").alias("voted"), differs.alias("differs"), shown.alias("c"))
     groups = F.transform(F.array_distinct(F.transform("c", lambda x: x["text"])), lambda t: F.struct(t.alias("reading"), F.transform(F.filter("c", lambda x: x["text"] == t), lambda x: x["code"]).alias("codes")))
     return rows.select("collation_id", "row_id", "voted", "differs", F.when(F.col("differs"), groups).alias("groups"))
 
@@ -59,20 +59,24 @@ def _numbered(rows: DataFrame, counts: Column) -> DataFrame:
     return rows.withColumn("n", F.when(counts, F.sum(counts.cast("int")).over(order).cast("int")))
 
 
+def _md_noted(rows: DataFrame) -> DataFrame:
+    parts = F.transform("groups", lambda g: F.concat(F.array_join(g["codes"], ","), F.lit(": "), g["reading"], F.lit(";")))
+    return _numbered(rows, F.col("differs")).withColumn("note", F.when(F.col("differs"), F.concat("voted", F.lit("]"), F.array_join(parts, " "))))
+
+
 def md_notes(rows: DataFrame) -> DataFrame:
     """collation_id, row_id, n, note: one for each differing row, agreeing versions included."""
-    numbered = _numbered(rows, F.col("differs")).where("differs")
-    parts = F.transform("groups", lambda g: F.concat(F.array_join(g["codes"], ","), F.lit(": "), g["reading"], F.lit(";")))
-    return numbered.select("collation_id", "row_id", "n", F.concat("voted", F.lit("]"), F.array_join(parts, " ")).alias("note"))
+    return _md_noted(rows).where("differs").select("collation_id", "row_id", "n", "note")
 
 
 def markdown(rows: DataFrame) -> DataFrame:
     """collation_id, md: the voted text with note marks, a blank line, the notes."""
-    numbered = _numbered(rows, F.col("differs"))
-    mark = F.when(F.col("differs"), F.concat(F.lit("[^"), F.col("n").cast("string"), F.lit("]"))).otherwise("")
-    body = _in_rows(numbered, F.concat("voted", mark), "body")
-    lines = md_notes(rows).select("collation_id", "row_id", F.concat(F.lit("[^"), F.col("n").cast("string"), F.lit("]: "), "note", F.lit("\n")).alias("line"))
-    return body.join(_in_rows(lines, F.col("line"), "notes"), "collation_id", "left").select("collation_id", F.concat("body", F.lit("\n\n"), F.coalesce("notes", F.lit(""))).alias("md"))
+    number = F.col("n").cast("string")
+    body = F.concat("voted", F.when(F.col("differs"), F.concat(F.lit("[^"), number, F.lit("]"))).otherwise(""))
+    line = F.when(F.col("differs"), F.concat(F.lit("[^"), number, F.lit("]: "), "note", F.lit("\n"))).otherwise("")
+    joined = _md_noted(rows).groupBy("collation_id").agg(F.array_sort(F.collect_list(F.struct("row_id", body.alias("b"), line.alias("l")))).alias("r"))
+    put = [F.array_join(F.transform("r", lambda x: x["b"]), ""), F.lit("\n\n"), F.array_join(F.transform("r", lambda x: x["l"]), "")]
+    return joined.select("collation_id", F.concat(*put).alias("md"))
 
 
 def single_syllable(text: Column) -> Column:
