@@ -5,10 +5,12 @@ through one broadcast shard after another would cost documents times shards.  So
 
 1. Every window of min_words words has an anchor, its least-hashed word 5-gram.  Equal windows have equal anchors, so a
    window needs no other shard than its anchor's.
-2. Anchors are range-partitioned with secondary sort by document and streamed; those of two documents or more stay.
+2. Anchors are partitioned with secondary sort by document and streamed; those of two documents or more stay.  Those
+   that a bounded sample shows in too many documents for one task are told beforehand: they pass, spread by document.
 3. Of their windows alone the words are cut out, as stretches of windows that share an anchor; equal stretches are
    combined to one with its first document before any of them is sorted, so copies by the thousand cost one row.
-   An anchor held more than HOT times deals its windows one by one, each to a shard of its own words.
+   An anchor held more than HOT times deals its windows one by one, each to a shard of its own words.  (An anchor is
+   dealt one way in the whole corpus: either it is told beforehand, or all its rows are in one stream.)
 4. A shard's distinct stretches make one generalised suffix automaton, whose states know their first document; the
    stretches are streamed through it, and where the matching statistics reach min_words the state tells which document
    has that window first.
@@ -31,6 +33,8 @@ from palimpsest.llm.common import discard, materialize, settle
 
 GRAM = 5
 HOT = 1000
+#: Documents sampled for anchors held too often, by least hash; a fixed number finds any held by a thousandth of the corpus.
+SAMPLE = 5000
 _MIX, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 _LAST = 2**63 - 1
 _MARKS = pa.list_(pa.struct([("s", pa.int32()), ("mask", pa.int64())]))
@@ -54,11 +58,23 @@ def _anchored(words: list[bytes], size: int, gram: int) -> tuple[np.ndarray, np.
     return grams[at[first]].view(np.int64), first.astype(np.int32), np.diff(first, append=len(at)).astype(np.int32)
 
 
-def _anchors(size: int, gram: int):
+def _anchors(size: int, gram: int, frequent: np.ndarray):
+    """Rows a, o, th, s, n, route; route 1 for the frequent anchors (a sorted array)."""
+    names = ["a", "o", "th", "s", "n", "route"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in names[:5]]
             held = 0
+
+            def batched(out: list[list]) -> pa.RecordBatch:
+                columns = [np.concatenate(x) for x in out]
+                route = np.zeros(len(columns[0]), np.int32)
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(frequent, columns[0]), len(frequent) - 1)
+                    route[frequent[at] == columns[0]] = 1
+                return pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, route)], names)
+
             for o, th, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 words = text.encode().split() if text else []
                 if len(words) < size:
@@ -68,72 +84,76 @@ def _anchors(size: int, gram: int):
                     column.append(x)
                 held += len(n)
                 if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["a", "o", "th", "s", "n"])
-                    out, held = [[], [], [], [], []], 0
+                    yield batched(out)
+                    out, held = [[] for _ in names[:5]], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["a", "o", "th", "s", "n"])
+                yield batched(out)
 
     return run
 
 
+_ANCHORS = "a long, o long, th long, s int, n int, route int"
+
+
+def _frequent(own: DataFrame, size: int, hot: int) -> np.ndarray:
+    """Anchors that more than `hot` documents, by estimate from SAMPLE documents, hold (three of those at least)."""
+    total = own.count()
+    share = min(1.0, 1.2 * SAMPLE / max(1, total))
+    picked = own.where(F.pmod(F.xxhash64("o"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("o", "th", "text").limit(SAMPLE)
+    least = max(3.0, hot * min(1.0, SAMPLE / max(1, total)))
+    found = picked.mapInArrow(_anchors(size, GRAM, np.zeros(0, np.int64)), _ANCHORS).groupBy("a").agg(F.count_distinct("o").alias("n")).where(F.col("n") >= least)
+    return np.sort(found.select("a").toArrow()["a"].to_numpy().astype(np.int64))
+
+
 def _repeated(hot: int):
-    """Rows sorted by anchor and document in; out go those whose anchor two documents hold; route 1 deals windows one by one.
+    """Rows sorted by route, anchor and document in; those of route 1 pass, of the others those whose anchor two documents hold.
 
-    A run at either end of the partition may go on in the next one: it is kept, and goes both ways unless it is hot here.
+    A run of more than `hot` rows is turned to route 1; no more than `hot` rows and a batch are held.
     """
+    names = ["a", "o", "th", "s", "n", "route"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "o", "th", "s", "n"]
-
-        def told(x: np.ndarray, route: int) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in x[:3]), *(pa.array(c.astype(np.int32)) for c in x[3:]), pa.array(np.full(x.shape[1], route, np.int32))], [*names, "route"])
+    def told(x: np.ndarray, route: int) -> pa.RecordBatch:
+        whole = [pa.array(np.ascontiguousarray(c)) for c in x[:3]]
+        return pa.RecordBatch.from_arrays([*whole, *(pa.array(c.astype(np.int32)) for c in x[3:5]), pa.array(np.full(x.shape[1], route, np.int32))], names)
 
-        def ended(run: np.ndarray, edge: bool) -> Iterator[pa.RecordBatch]:
-            if run.shape[1] > hot and run[1, 0] != run[1, -1]:
-                yield told(run, 1)
-            elif edge or run[1, 0] != run[1, -1]:
-                yield told(run, 0)
-                if edge:
-                    yield told(run, 1)
+    def ended(run: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if run[1, 0] != run[1, -1]:
+            yield told(run, int(run.shape[1] > hot))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: np.ndarray | None = None
-        edge = True
-        flowing = False  # the held run is hot, and its rows are told as they come
+        flowing: int | None = None  # anchor of a run known to be hot: its rows pass as they come
         for batch in batches:
-            x = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)])
-            while x.shape[1]:
-                if held is not None or flowing:
-                    same = x[0] == (anchor if flowing else held[0, 0])
-                    n = len(same) if same.all() else int(same.argmin())
-                    if flowing:
-                        if n:
-                            yield told(x[:, :n], 1)
-                    else:
-                        held = np.concatenate([held, x[:, :n]], 1)
-                    x = x[:, n:]
-                    if not flowing and held.shape[1] > hot and held[1, 0] != held[1, -1]:
-                        anchor, flowing = held[0, 0], True
-                        yield told(held, 1)
-                        held = None
-                    if x.shape[1]:
-                        if not flowing:
-                            yield from ended(held, edge)
-                        held, flowing, edge = None, False, False
-                    continue
-                starts = np.flatnonzero(np.r_[True, x[0, 1:] != x[0, :-1]])
-                if edge and len(starts) > 1:
-                    yield from ended(x[:, : starts[1]], True)
-                    edge, x = False, x[:, starts[1] :]
-                    continue
-                if len(starts) > 1:
-                    sizes, ends = np.diff(starts), starts[1:] - 1
-                    many = x[1, starts[:-1]] != x[1, ends]
-                    for route, pick in ((0, many & (sizes <= hot)), (1, many & (sizes > hot))):
-                        if pick.any():
-                            yield told(x[:, : starts[-1]][:, np.repeat(pick, sizes)], route)
-                held, x = x[:, starts[-1] :], x[:, :0]
+            x = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6)])
+            sure = x[5] == 1
+            if sure.any():
+                yield told(x[:, sure], 1)
+                x = x[:, ~sure]
+            if flowing is not None and x.shape[1]:
+                same = x[0] == flowing
+                n = len(same) if same.all() else int(same.argmin())
+                if n:
+                    yield told(x[:, :n], 1)
+                x = x[:, n:]
+                if x.shape[1]:
+                    flowing = None
+            if not x.shape[1]:
+                continue
+            if held is not None:
+                x = np.concatenate([held, x], 1)
+            starts = np.flatnonzero(np.r_[True, x[0, 1:] != x[0, :-1]])
+            if len(starts) > 1:
+                sizes, ends = np.diff(starts), starts[1:] - 1
+                many = x[1, starts[:-1]] != x[1, ends]
+                for route, pick in ((0, many & (sizes <= hot)), (1, many & (sizes > hot))):
+                    if pick.any():
+                        yield told(x[:, : starts[-1]][:, np.repeat(pick, sizes)], route)
+            held = x[:, starts[-1] :]
+            if held.shape[1] > hot and held[1, 0] != held[1, -1]:
+                yield told(held, 1)
+                flowing, held = held[0, 0], None
         if held is not None:
-            yield from ended(held, True)
+            yield from ended(held)
 
     return run
 
@@ -340,11 +360,15 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     ids = docs.groupBy(F.col(doc_id).alias("i")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     th = F.lit(0).cast("long") if ids.isEmpty() else F.xxhash64(F.col(text))
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("o"), th.alias("th"), F.col(text).alias("text"))
-    anchors = own.select("o", "th", "text").mapInArrow(_anchors(min_words, GRAM), "a long, o long, th long, s int, n int")
-    repeated = anchors.repartitionByRange("a", "o").sortWithinPartitions("a", "o").mapInArrow(_repeated(hot), "a long, o long, th long, s int, n int, route int")
+    anchors = own.select("o", "th", "text").mapInArrow(_anchors(min_words, GRAM, _frequent(own, min_words, hot)), _ANCHORS)
+    dealt = anchors.repartition(F.when(F.col("route") == 1, F.xxhash64("o", "s")).otherwise(F.col("a")))
+    repeated = dealt.sortWithinPartitions("route", "a", "o").mapInArrow(_repeated(hot), _ANCHORS)
     marks = repeated.groupBy("o", "th").agg(F.collect_set(F.struct("s", "n", "a", "route")).alias("marks"))
+    marks = materialize(marks, "marks", "zstd")
+    settle(spark)
     cut = own.select("o", "th", "text").join(marks.hint("shuffle_hash"), ["o", "th"]).select("o", "th", "text", "marks")
     cut = materialize(cut.mapInArrow(_stretches(min_words), "key long, sh long, seg binary, o long, th long, s int, n int"), "stretches", "zstd")
+    discard(marks)
     settle(spark)
 
     distinct = cut.groupBy("key", "sh", "seg").agg(F.min("o").alias("first"), F.max("o").alias("last"), F.max("n").alias("n"))
