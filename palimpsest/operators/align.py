@@ -11,6 +11,7 @@ from palimpsest.operators.layout import layout, wide_rows
 from palimpsest.operators.merge import merge_rows
 from palimpsest.options import A_CHUNG, Options
 from palimpsest.shipping import ship
+from palimpsest.tables import written
 
 
 def token_arrays(witnesses: DataFrame, pattern: str = GENERIC, norm=generic_norm) -> DataFrame:
@@ -29,7 +30,8 @@ def align(witnesses: DataFrame, pattern: str = GENERIC, norm=generic_norm, merge
     ship(witnesses.sparkSession)
     arrays = token_arrays(witnesses, pattern, norm)
     n = witnesses.groupBy("collation_id").agg((F.max("witness_id").cast("int") + 1).alias("n"))
-    wide = wide_rows(layout(place(arrays)), n)
+    placed = written(place(arrays), "cells")  # edit scripts are computed once; the layout reads their cells twice
+    wide = wide_rows(layout(placed), n)
     return merge_rows(wide) if merged else wide
 
 

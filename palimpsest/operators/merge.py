@@ -3,19 +3,15 @@
 Rows are scanned with the last output row in mind: a row joins it if both differ, or if the row has a gap; else it
 starts a new one.  A row whose cells are all there and equal always starts a new row and forgets what was before, so
 the rows of a collation fall into islands that begin at such rows; islands are numbered by a running count and folded
-independently, each a short sequential scan.
+independently by an expression, each a short sequential scan.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _CELLS = "array<struct<start:int,end:int,incr:int,text:string>>"
-_KIND = pa.list_(pa.struct([*((x, pa.int32()) for x in ("start", "end", "incr")), ("text", pa.string())]))
 
 
 def differs(cells: Column) -> Column:
@@ -33,42 +29,36 @@ def islands(wide: DataFrame) -> DataFrame:
     return wide.withColumn("island", F.sum(complete_equal(F.col("cells")).cast("int")).over(order))
 
 
-def fold(rows: list[list[dict | None]]) -> list[list[dict]]:
-    """The output rows of one island's rows in order; no gap survives."""
+def fold(rows: Column) -> Column:
+    """The output rows of one island's rows (array of arrays of cells) in order; no gap survives.
+
+    A step copies what is done only where a new row starts, which within an island is rare.
+    """
+    empty = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(1).alias("incr"), F.lit("").alias("text"))
+    start = F.struct(F.expr(f"cast(array() as array<{_CELLS}>)").alias("done"), F.expr(f"cast(null as {_CELLS})").alias("last"))
 
-    def apart(row: list) -> bool:
-        return len({c["text"] if c else "" for c in row}) > 1
+    def joined(p: Column, c: Column) -> Column:
+        more = F.struct(p["start"].alias("start"), c["end"].alias("end"), c["incr"].alias("incr"), F.concat(p["text"], c["text"]).alias("text"))
+        return F.when(c.isNull(), p).otherwise(more)
 
-    out: list[list[dict]] = []
-    last_apart = False
-    for row in rows:
-        if out and (None in row or last_apart and apart(row)):
-            out[-1] = [
-                p if c is None else {"start": p["start"], "end": c["end"], "incr": c["incr"], "text": p["text"] + c["text"]}
-                for p, c in zip(out[-1], row, strict=True)
-            ]
-        else:
-            out.append([c or {"start": 0, "end": 0, "incr": 1, "text": ""} for c in row])
-        last_apart = apart(out[-1])
-    return out
+    def finished(s: Column) -> Column:
+        return F.when(s["last"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["last"])))
 
+    def step(s: Column, row: Column) -> Column:
+        joins = s["last"].isNotNull() & (F.exists(row, lambda c: c.isNull()) | differs(s["last"]) & differs(row))
+        merged = F.struct(s["done"].alias("done"), F.zip_with(s["last"], row, joined).alias("last"))
+        fresh = F.struct(finished(s).alias("done"), F.transform(row, lambda c: F.coalesce(c, empty)).alias("last"))
+        return F.when(joins, merged).otherwise(fresh)
 
-def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [fold(x) for x in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(_KIND))], ["collation_id", "island", "rows"])
+    return F.aggregate(rows, start, step, finished)
 
 
 def merge_rows(wide: DataFrame) -> DataFrame:
     """collation_id, row_id, cells: the merged matrix, rows numbered anew from 0; every cell is there."""
-    marked = islands(wide)
-    grouped = marked.groupBy("collation_id", "island").agg(F.array_sort(F.collect_list(F.struct("row_id", "cells"))).alias("r"))
-    kinds = dict(marked.dtypes)
+    grouped = islands(wide).groupBy("collation_id", "island").agg(F.array_sort(F.collect_list(F.struct("row_id", "cells"))).alias("r"))
+    rows = grouped.withColumn("rows", F.transform("r", lambda x: x["cells"]))
     # most islands are a single complete row: those need no fold
-    single = grouped.where((F.size("r") == 1) & complete_equal(F.get(F.col("r"), F.lit(0))["cells"]))
-    single = single.select("collation_id", "island", F.lit(0).alias("at"), F.get(F.col("r"), F.lit(0))["cells"].alias("cells"))
-    several = grouped.where(~((F.size("r") == 1) & complete_equal(F.get(F.col("r"), F.lit(0))["cells"]))).select("collation_id", "island", F.transform("r", lambda x: x["cells"]).alias("rows"))
-    folded = several.mapInArrow(_folded, f"collation_id {kinds['collation_id']}, island {kinds['island']}, rows array<{_CELLS}>")
-    folded = folded.select("collation_id", "island", F.posexplode("rows").alias("at", "cells"))
+    alone = (F.size("rows") == 1) & complete_equal(F.get("rows", F.lit(0)))
+    rows = rows.select("collation_id", "island", F.posexplode(F.when(alone, F.col("rows")).otherwise(fold(F.col("rows")))).alias("at", "cells"))
     number = F.row_number().over(Window.partitionBy("collation_id").orderBy("island", "at")) - 1
-    return single.unionByName(folded).select("collation_id", number.cast("int").alias("row_id"), "cells")
+    return rows.select("collation_id", number.cast("int").alias("row_id"), "cells")
