@@ -377,6 +377,15 @@ def golden_text(spark, sf_dir):
     return collation.golden_text(tagged)
 
 
+@_query()
+def scan_layers(spark, sf_dir):
+    """Near copies taken for scans, with a confidence every 50 characters."""
+    texts = _copies(spark, sf_dir).select("collation_id", "witness_id", "text")
+    marks = texts.select("collation_id", "witness_id", F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / 50).cast("int"))).alias("i"))
+    marks = marks.select("collation_id", "witness_id", (F.col("i") * 50).alias("start"), ((F.col("i") * 7 % 50 + 50) / F.lit(100.0)).alias("confidence"))
+    return collation.merge_scans(texts, marks, tok.GENERIC, tok.generic_norm)[1]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import preprocess, tibetan
 from palimpsest.functions.tokens import GENERIC, TIBETAN, generic_norm
 from palimpsest.operators import apparatus as app
 from palimpsest.operators.align import align
+from palimpsest.operators.annotations import confidence_layer, confidence_min
 from palimpsest.operators.layout import long_rows
 from palimpsest.operators.weigh import Weigher, count_weight, weigh
 from palimpsest.options import Options
+from palimpsest.tables import written
 
 
 def prepare(witnesses: DataFrame, o: Options = Options()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
@@ -45,3 +47,25 @@ def common_spelling(witnesses: DataFrame, patterns: list[tuple[str, str]] = (),
     texts = filtered.select("collation_id", "witness_id", F.col("_filtered").alias("text"))
     wide = align(texts, TIBETAN, tibetan_norm) if bo else align(texts)
     return weigh(long_rows(wide), weighers or [Weigher(count_weight())])
+
+
+def collate_texts(spark: SparkSession, texts: dict[str, str], pattern: str = GENERIC, norm=generic_norm) -> DataFrame:
+    """Aligned rows of a few texts by name, a column each, before the merge (gaps null); the first text is the base."""
+    names = list(texts)
+    frame = spark.createDataFrame([(0, i, texts[n]) for i, n in enumerate(names)], "collation_id long, witness_id int, text string")
+    wide = align(frame, pattern, norm, merged=False)
+    return wide.select("row_id", *(F.get("cells", F.lit(i))["text"].alias(n) for i, n in enumerate(names))).orderBy("row_id")
+
+
+def merge_scans(witnesses: DataFrame, confidences: DataFrame, pattern: str = TIBETAN, norm=tibetan_norm, bucket: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Base texts and annotation layers voted from scans of one text.
+
+    confidences: collation_id, witness_id, start, confidence (0 to 1), of spans of each witness's text.  A reading weighs
+    by count, scaled by the least confidence of its span; the voted text keeps that confidence.
+    """
+    cells = written(long_rows(align(witnesses, pattern, norm)), "scan-cells")
+    known = confidence_min(cells, confidences, bucket=bucket)
+    weighted = weigh(known, [Weigher(count_weight()), Weigher(F.col("confidence"), relative=True)])
+    best = F.max(F.struct(F.coalesce("weight", F.lit(0)).alias("w"), (-F.col("witness_id")).alias("n"), F.coalesce("text", F.lit("")).alias("t"), F.col("confidence").alias("c"))).alias("b")
+    voted = weighted.groupBy("collation_id", "row_id").agg(best)
+    return confidence_layer(voted.select("collation_id", "row_id", F.col("b.t").alias("voted"), F.col("b.c").alias("confidence"), F.lit(None).cast("string").alias("page")))

@@ -366,3 +366,16 @@ def test_transposition_is_the_inverse(spark):
     cells = long_rows(align(frame))
     for r in witness_rows(cells).collect():
         assert "".join(c.text for c in r.cells) == ["a b c", "a x c d"][r.witness_id]
+
+
+def test_texts_by_name(spark):
+    rows = [tuple(r)[1:] for r in collation.collate_texts(spark, {"one": "the brown fox", "two": "the quick fox jumps"}).collect()]
+    assert rows == [("the ", "the "), ("brown ", "quick "), ("fox", "fox "), (None, "jumps")]
+
+
+def test_scans_are_merged_by_confidence(spark):
+    frame = spark.createDataFrame([(0, 0, "one two tree"), (0, 1, "one two three"), (0, 2, "one to three")], "collation_id long, witness_id int, text string")
+    marks = spark.createDataFrame([(0, 0, 10, 0.2), (0, 1, 10, 0.9), (0, 2, 9, 0.5)], "collation_id long, witness_id int, start int, confidence double")
+    base, spans = collation.merge_scans(frame, marks, GENERIC, lambda t: F.regexp_replace(F.lower(t), r"\s+$", ""))
+    assert base.first().base == "one two three"
+    assert {r.kind for r in spans.collect()} == {"ocr_confidence"}
