@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import WORD, materialize
 
-BLOCK = 4096
+BLOCK = 1024
 CYCLE = (3, 1, 2)
 
 

@@ -426,7 +426,7 @@ def test_components_of_chains_and_stars(spark):
 # 9
 
 
-@pytest.mark.parametrize("block", [4096, 3])
+@pytest.mark.parametrize("block", [1024, 3])
 def test_mixing(docs, none, monkeypatch, block):
     monkeypatch.setattr(mixing, "BLOCK", block)
     rows = texts()
