@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import remainder
 
 BUCKETS = 1 << 15
+SLICES = 50
 
 
 @cache
@@ -49,13 +50,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows_a_language: int = 500) -> tuple[list[str], np.ndarray]:
     """Languages, and likelihoods as buckets x languages.
 
-    Learned from at most rows_a_language documents of each language, those of least hash; the limit is applied before
-    the shuffle, so a language with most of the rows is no burden.
+    Learned from at most rows_a_language documents of each language: of SLICES slices of the ids' hash, the rows of least
+    hash in each.  The limit holds before the shuffle too, and a language's slices are dealt to many tasks.
     """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull())
     ids = labelled.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang")).withColumn("h", F.xxhash64("id"))
-    first = Window.partitionBy("lang").orderBy("h", "id")
-    ids = ids.withColumn("r", F.row_number().over(first)).where(F.col("r") <= rows_a_language).select("id").distinct()
+    first = Window.partitionBy("lang", F.pmod("h", F.lit(SLICES))).orderBy("h", "id")
+    ids = ids.withColumn("r", F.row_number().over(first)).where(F.col("r") <= max(1, rows_a_language // SLICES)).select("id").distinct()
     chosen = labelled.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(F.broadcast(ids), "id", "left_semi")
     rows = chosen.select("lang", "text").mapInArrow(_counted, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(rows["lang"].to_pylist()))
