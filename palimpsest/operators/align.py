@@ -64,4 +64,6 @@ def reattach_achung(segs: Column, o: Options) -> Column:
         )
 
     # what found no further cell goes back to where it was
-    return F.aggregate(segs, start, step, lambda s: F.transform(s["done"], lambda x, i: F.when((s["held"] != "") & (i == s["at"]), F.concat(x, s["held"])).otherwise(x)))
+    moved = F.aggregate(segs, start, step, lambda s: F.transform(s["done"], lambda x, i: F.when((s["held"] != "") & (i == s["at"]), F.concat(x, s["held"])).otherwise(x)))
+    # the scan copies what it has done, so texts without an a-chung at a cell's end are left alone
+    return F.when(F.exists(segs, lambda c: F.coalesce(c, F.lit("")).rlike(f"{chung}\\z")), moved).otherwise(segs)

@@ -24,6 +24,7 @@ from palimpsest.options import COLORS, IGNORABLE, SHADS, Options
 from palimpsest.plans import collation
 from palimpsest.shipping import ship
 from palimpsest.sources import witnesses as sources
+from palimpsest.tables import written
 
 #: The generic token pattern in a form that other engines read alike.
 TOKEN = r"[\p{L}\p{M}\p{Nd}\p{Pc}]+\s*|[^\p{L}\p{M}\p{Nd}\p{Pc}]+"
@@ -300,7 +301,8 @@ _SQL_COPIES = _SQL_DOCS + (
 
 
 def _copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources.near_copies(_documents(spark, sf_dir))
+    """Written once, as an alignment reads its witnesses several times and the grouping reads the whole corpus."""
+    return written(sources.near_copies(_documents(spark, sf_dir)), "near-copies")
 
 
 @_query(f"WITH {_SQL_COPIES} SELECT collation_id, witness_id, doc_id FROM c")
