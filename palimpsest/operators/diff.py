@@ -2,7 +2,7 @@
 
 Minimal scripts by the greedy O(ND) algorithm, deletes before inserts.  Beyond MAX_EDITS differences a stretch is cut
 at tokens that both sides hold exactly once, in their longest common order, so that the time stays near linear; what
-has no such token left is one replacement.
+has no such token left gets a minimal script by halving, in memory linear in its length.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,6 +79,37 @@ def _anchors(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
+def _common(a: Sequence, b: Sequence) -> np.ndarray:
+    """Length of the longest common subsequence of a and each prefix of b: a bit a token of b, a sum a token of a."""
+    places: dict = {}
+    for j, t in enumerate(b):
+        places.setdefault(t, []).append(j)
+    masks = {}
+    for t in set(a) & places.keys():
+        bits = np.zeros(len(b), np.uint8)
+        bits[places[t]] = 1
+        masks[t] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    full = row = (1 << len(b)) - 1
+    for t in a:
+        if t in masks:
+            met = row & masks[t]
+            row = ((row + met) | (row - met)) & full
+    bits = np.frombuffer(row.to_bytes((len(b) + 7) // 8, "little"), np.uint8)
+    return np.r_[0, np.cumsum(np.unpackbits(bits, bitorder="little")[: len(b)] == 0)]
+
+
+def _halved(a: Sequence, b: Sequence) -> list[str]:
+    """A minimal script: b is cut where the halves of a have most in common with its sides."""
+    if not a or not b:
+        return ["-"] * len(a) + ["+"] * len(b)
+    if len(a) == 1:
+        at = next((j for j, t in enumerate(b) if t == a[0]), -1)
+        return ["-"] + ["+"] * len(b) if at < 0 else ["+"] * at + ["="] + ["+"] * (len(b) - at - 1)
+    half = len(a) // 2
+    cut = int(np.argmax(_common(a[:half], b) + _common(a[half:][::-1], b[::-1])[::-1]))
+    return _halved(a[:half], b[:cut]) + _halved(a[half:], b[cut:])
+
+
 def _steps(a: Sequence, b: Sequence) -> list[str]:
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
@@ -94,7 +126,7 @@ def _steps(a: Sequence, b: Sequence) -> list[str]:
             middle, i, j = [], 0, 0
             chain = _anchors(x, y)
             if not chain:
-                middle = ["-"] * len(x) + ["+"] * len(y)
+                middle = _halved(x, y)
             else:
                 for p, q in chain:
                     middle += [*_steps(x[i:p], y[j:q]), "="]
