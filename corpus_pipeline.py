@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontamination, line_dedup, mixing, quality_classifier, simhash
+from palimpsest.llm import decontamination, line_dedup, mixing, quality_classifier
+from palimpsest.llm import near_copies as near
 from palimpsest.llm.common import WORD, materialize, table
 
 KEEP_SCORE = 0.7
@@ -30,8 +31,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document of the least id stays."""
-    found = simhash.near_duplicates(docs)
+    """Of each group of texts linked at a 5-word Jaccard similarity of 0.8 or more the document of the least id stays."""
+    found = near.near_copies(docs)
     copies = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_copy")).distinct()
     return docs.join(copies, docs["doc_id"].eqNullSafe(copies["_copy"]), "left_anti")
 

@@ -1,0 +1,164 @@
+"""Near copies by the Jaccard similarity of word shingles: MinHash bands find candidates, exact similarity decides.
+
+Texts of one set of shingles are one node.  20 bands of 4 minima miss a pair at 0.8 with a chance of 3 in 100,000, and
+fewer above it.  Only nodes that share a band have their sets computed again and dealt to the bands they share (bands of
+equal members count once); what meets in a band is linked by a spanning forest of exact similarities, not by all pairs.
+A band's sets are held by one task, 8 bytes a shingle.  Components of the links are found in Spark.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from palimpsest.llm.common import connected_components, materialize
+
+SIMILARITY = 0.8
+SHINGLE = 5
+BANDS, ROWS = 20, 4
+_RNG = np.random.default_rng(42)
+_TIMES, _PLUS = (_RNG.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of the lower-cased words; fewer words than that are one shingle."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
+    n = max(1, len(h) - shingle + 1)
+    sums = np.full(n, min(len(h), shingle), np.uint64)
+    for k in range(min(len(h), shingle)):
+        sums = _mixed((sums ^ h[k : k + n]) * _ODD)
+    return np.unique(sums)
+
+
+def _key(own: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(own.tobytes(), 7)
+
+
+def _bands(own: np.ndarray) -> np.ndarray:
+    least = np.full(BANDS * ROWS, np.uint64(2**64 - 1))
+    for at in range(0, len(own), 4096):  # bounded memory for very long texts
+        least = np.minimum(least, (own[at : at + 4096, None] * _TIMES + _PLUS).min(0))
+    rows = least.reshape(BANDS, ROWS)
+    out = np.arange(BANDS, dtype=np.uint64)
+    for k in range(ROWS):
+        out = _mixed((out ^ rows[:, k]) * _ODD)
+    return out.view(np.int64)
+
+
+def _signed(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(x, shingle) for x in batch.column(1).to_pylist()]
+            keys = np.array([_key(x) for x in sets], np.uint64).view(np.int64)
+            bands = pa.array([_bands(x) if len(x) else [] for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), bands], ["doc_id", "key", "bands"])
+
+    return run
+
+
+def _sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                sets = [shingles(x, shingle) for x in batch.column(0).slice(at, 1000).to_pylist()]
+                keys = np.array([_key(x) for x in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([x.tobytes() for x in sets], pa.binary())], ["key", "own"])
+
+    return run
+
+
+def _links(keys: list[int], sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the pairs at the similarity or above: each search compares with what is not yet reached."""
+    sizes = np.array([len(x) for x in sets])
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    parts = np.split(codes, np.cumsum(sizes)[:-1])
+    held = np.zeros(codes.max() + 1, bool)
+    left = np.arange(len(keys))
+    flat, starts = codes, np.r_[0, np.cumsum(sizes)[:-1]]
+
+    def keep(some: np.ndarray) -> None:
+        nonlocal left, flat, starts
+        flat = flat[np.repeat(some, sizes[left])]
+        left = left[some]
+        starts = np.r_[0, np.cumsum(sizes[left])[:-1]] if len(left) else left
+
+    while len(left) > 1:
+        queue = [left[0]]
+        keep(left != queue[0])
+        while queue and len(left):
+            at = queue.pop()
+            held[parts[at]] = True
+            both = np.add.reduceat(held[flat], starts, dtype=np.int64)
+            held[parts[at]] = False
+            near = both >= similarity * (sizes[left] + sizes[at] - both)
+            if near.any():
+                yield from ((keys[at], keys[x]) for x in left[near])
+                queue.extend(left[near])
+                keep(~near)
+
+
+def _forest(similarity: float):
+    def told(keys: list[int], sets: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if len(keys) > 1:
+            found = list(_links(keys, [np.frombuffer(x, np.uint64) for x in sets], similarity))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        band, keys, sets = None, [], []
+        for batch in batches:
+            for b, k, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if b != band:
+                    yield from told(keys, sets)
+                    band, keys, sets = b, [], []
+                keys.append(k)
+                sets.append(x)
+        yield from told(keys, sets)
+
+    return run
+
+
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """One row per row of docs: doc_id, component_id, the least doc_id among those reachable over pairs of the similarity.
+
+    Null or empty texts are copies of each other.  Null id: never a component's name unless no document of it has an id.
+    Repeated rows: a row each.  Other columns are left out.  No rows: none.
+    """
+    kind = dict(docs.dtypes)[doc_id]
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    own = materialize(texts.mapInArrow(_signed(shingle), f"doc_id {kind}, key long, bands array<long>"), "signatures")
+    nodes = materialize(own.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "nodes")
+    members = nodes.select(F.explode("bands").alias("band"), "key")
+    # bands of equal members are told by count and sums of hashes, and one of each is kept
+    sums = [F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y")]
+    bands = members.groupBy("band").agg(*sums).where("n > 1").groupBy("n", "lo", "hi", "x", "y").agg(F.min("band").alias("band")).select("band")
+    met = materialize(members.join(bands, "band"), "met")
+    asked = met.select("key").distinct().join(nodes.select("key", "least"), "key")
+    some = asked.select(F.col("least").alias("_least")).distinct()
+    again = texts.join(some, texts["doc_id"].eqNullSafe(some["_least"]), "left_semi").select("text")
+    sets = again.mapInArrow(_sets(shingle), "key long, own binary").join(asked.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    dealt = met.join(materialize(sets, "sets"), "key").select("band", "key", "own")
+    links = dealt.repartition("band").sortWithinPartitions("band", "key").mapInArrow(_forest(similarity), "a long, b long")
+    roots = connected_components(links).withColumnRenamed("node", "key")
+    placed = nodes.select("key", "least").join(roots, "key", "left").withColumn("root", F.coalesce("component", "key"))
+    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    told = materialize(placed.select("key", "root").join(least, "root").select("key", "component_id"), "components")
+    # a text that a third of the corpus has is dealt to many tasks by salt
+    told = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    asking = own.select("doc_id", "key", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int").alias("salt"))
+    return asking.join(told, ["key", "salt"]).select("doc_id", "component_id")
