@@ -6,13 +6,17 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_leaving: set[str] = set()
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df and read it back: what several steps need is computed once, and survives a lost executor."""
-    spark = df.sparkSession
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only where none is set on a local master."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
@@ -21,7 +25,51 @@ def written(df: DataFrame, name: str) -> DataFrame:
         base = tempfile.mkdtemp(prefix="palimpsest-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{str(base).rstrip('/')}/palimpsest/{sc.applicationId}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return str(base).rstrip("/")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _leave(spark: SparkSession, folder: str) -> None:
+    with suppress(Exception):  # the session may have ended
+        _delete(spark, folder)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path under this application's own folder, which goes when Python ends."""
+    folder = f"{scratch_dir(spark)}/palimpsest/{spark.sparkContext.applicationId}"
+    if folder not in _leaving:
+        _leaving.add(folder)
+        atexit.register(_leave, spark, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def own_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside remove their shuffle files as they end."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+    """Write df and read it back: lineage ends there, and what several steps need is computed once and survives a lost executor."""
+    spark = df.sparkSession
+    path, schema = scratch_path(spark, name), df.schema
+    with own_shuffles(spark):
+        df.write.option("compression", codec).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing reads any more."""
+    for table in tables:
+        _delete(table.sparkSession, table._scratch_path)
