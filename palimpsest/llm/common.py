@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import gc
-import shutil
-import tempfile
-import time
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.shipping import ship
+from palimpsest.tables import discard, scratch_path  # noqa: F401
+from palimpsest.tables import written as materialize
 
 #: A word, wherever a contract speaks of words (fixed pattern).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,53 +18,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set on a local master."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="palimpsest-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return str(base).rstrip("/")
+def named(column: str) -> Column:
+    """The column of exactly that name, dots included."""
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/palimpsest/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with underscores put before it, whichever df has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
-def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs no more than its own tasks."""
+def small(df: DataFrame, limit: int = 64 << 20) -> DataFrame:
+    """df, to be broadcast if the files of this table of materialize() hold at most limit / 4 bytes.
+
+    Decoded rows of numbers and short texts take about four times what their compressed files do.
+    """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
-    schema = df.schema
-    df.write.option("compression", codec).parquet(path)
-    release(spark)
-    table = spark.read.schema(schema).parquet(path)
-    table._scratch_path = path
-    return table
+    at = spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+    size = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    return F.broadcast(df) if 4 * size <= limit else df
 
 
-def discard(table: DataFrame) -> None:
-    """Delete a table of materialize() that nothing reads any more."""
-    spark = table.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def numbered(docs: DataFrame, name: str = "_row") -> tuple[DataFrame, str]:
+    """docs with a column that tells any two rows apart, equal ones too, and its name, which no other column has.
 
+    The column is the hash of the row's file and its number there, which every scan of the same files finds again; rows
+    that come from no file are written first.
+    """
+    name = fresh(docs, name)
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i")).alias(name)
+    try:
+        return docs.select("*", place), name
+    except AnalysisException:
+        return materialize(docs, "rows").select("*", place), name
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished phases now, not when the driver happens to collect garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
 
+def prefix_sums(sums: DataFrame, block: str, value: str, by: str | None = None) -> DataFrame:
+    """sums, a row for each block (and by), with before: the sum of value over earlier blocks.
 
-def settle(spark: SparkSession, seconds: float = 1.0) -> None:
-    """release(), once the listeners have let go of the last query's plan; for phases that leave much on disk."""
-    time.sleep(seconds)
-    release(spark)
-    time.sleep(seconds)
+    Blocks are added up in runs of 1024, then the runs, so that no task sorts all blocks.
+    """
+    own = [by] if by else []
+    sums = sums.withColumn("_run", F.shiftright(block, 10))
+    runs = sums.groupBy(*own, "_run").agg(F.sum(value).alias("_words"))
+    earlier = Window.partitionBy(*own).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(*(F.col(c).alias(f"_{c}") for c in own), F.col("_run").alias("_at"), F.coalesce(F.sum("_words").over(earlier), F.lit(0)).alias("_early"))
+    within = Window.partitionBy(*own, "_run").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("before", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    same = [F.col("_run") == F.col("_at"), *(F.col(c).eqNullSafe(F.col(f"_{c}")) for c in own)]
+    sums = sums.join(runs, same)
+    return sums.withColumn("before", F.col("before") + F.col("_early")).drop("_run", "_at", "_early", *(f"_{c}" for c in own))
 
 
 def row_key(*cols: str | Column) -> Column:
@@ -91,8 +93,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Each round hooks every root to its least neighbour, halves the pointer chains until they are flat, and
     contracts the edges to roots.  The roots of a component at least halve in a round, so there are as many
-    rounds as the logarithm of the largest component; nothing but counts reaches the driver.  Nodes are unsigned
-    where the caller maps them so; order here is that of long.
+    rounds as the logarithm of the largest component; nothing but counts reaches the driver.  Where components are left
+    after max_rounds, an error is raised.  Nodes are unsigned where the caller maps them so; order here is that of long.
     """
     live = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     whole = None
@@ -103,19 +105,28 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         hooks = materialize(up.unionByName(live.select(F.col("b").alias("node"), F.col("b").alias("parent"))).groupBy("node").agg(F.min("parent").alias("parent")), "hooks")
         while True:
             above = hooks.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-            flat = materialize(hooks.join(above, "parent").select("node", F.col("grand").alias("parent"), (F.col("grand") != F.col("parent")).alias("moved")), "flat")
-            hooks = flat.select("node", "parent")
-            if flat.where("moved").isEmpty():
+            # a star's hub is the parent of all its nodes: its one row goes to where they are
+            far = hooks.where("node <> parent").join(above, "parent").select("node", F.col("grand").alias("parent"), (F.col("grand") != F.col("parent")).alias("moved"))
+            flat = materialize(far.unionByName(hooks.where("node = parent").withColumn("moved", F.lit(False))), "flat")
+            discard(hooks)
+            hooks, still = flat, flat.where("moved").isEmpty()
+            if still:
                 break
+        flat = hooks.select("node", "parent")
         if whole is None:
-            whole = hooks
+            whole = materialize(flat, "whole")
         else:
-            step = hooks.select(F.col("node").alias("parent"), F.col("parent").alias("root"))
-            whole = materialize(whole.join(step, "parent", "left").select("node", F.coalesce("root", "parent").alias("parent")), "whole")
-        to = hooks.withColumnRenamed("node", "a").withColumnRenamed("parent", "ra")
-        tb = hooks.withColumnRenamed("node", "b").withColumnRenamed("parent", "rb")
-        live = live.join(to, "a").join(tb, "b").where("ra <> rb")
-        live = materialize(live.select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct(), "edges")
+            step = flat.select(F.col("node").alias("parent"), F.col("parent").alias("root"))
+            last, whole = whole, materialize(whole.join(step, "parent", "left").select("node", F.coalesce("root", "parent").alias("parent")), "whole")
+            discard(last)
+        to = flat.withColumnRenamed("node", "a").withColumnRenamed("parent", "ra")
+        tb = flat.withColumnRenamed("node", "b").withColumnRenamed("parent", "rb")
+        last, live = live, materialize(live.join(to, "a").join(tb, "b").where("ra <> rb").select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct(), "edges")
+        discard(last, hooks)
+    else:
+        if not live.isEmpty():
+            raise RuntimeError(f"components are unfinished after {max_rounds} rounds")
+    discard(live)
     if whole is None:
         return edges.sparkSession.createDataFrame([], "node long, component long")
     return whole.select("node", F.col("parent").alias("component"))

@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from palimpsest.llm.common import materialize
+from palimpsest.llm.common import materialize, named
 
 _LAST = 2**63 - 1
 _NAMES = ["h1", "h2", "o", "th", "pos", "lead", "docs"]
@@ -107,7 +108,7 @@ def _bitmaps(with_text: bool):
                 keep.append(zlib.compress(np.packbits(stays).tobytes()))
                 dropped.append(int(n - stays.sum()))
                 if with_text:
-                    kept.append((text or "") if not drop else "\n".join(x for x, y in zip((text or "").split("\n"), stays, strict=True) if y))
+                    kept.append(text if not drop else "\n".join(x for x, y in zip((text or "").split("\n"), stays, strict=True) if y))
             columns = [batch.column(0), batch.column(1), pa.array(dropped, pa.int64()), pa.array(keep, pa.binary())]
             if with_text:
                 columns += [pa.array(kept, pa.string()), batch.column(4)]
@@ -120,13 +121,13 @@ def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     """One row per row of docs: doc_id, n_lines long, n_dropped long, keep (zlib of the packed bits, first line first).
 
     Lines whose key has min_chars code points or more and is held by min_docs documents or more go, but for those in the
-    document of the largest id.  with_text adds kept string (lines that stay) and row (struct of the other columns, and _null: was the text null?).
+    document of the largest id.  with_text adds kept string (lines that stay; null for a null text) and row (struct of the other columns).
     Null text: as empty, one empty line.  Null id: one document, larger than all others.  Rows of one id are one
-    document; repeated rows have equal results.  Other columns, of any name, are left out or inside row.  No rows: none.
+    document; repeated rows have equal results; ids are integers.  Other columns, of any name, are left out or inside row.  No rows: none.
     """
     own = docs.select(
-        F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("o"), F.xxhash64(F.col(text)).alias("th"),
-        F.col(text).alias("text"), F.struct(F.col(text).isNull().alias("_null"), *(F.col(c) for c in docs.columns if c not in (doc_id, text))).alias("row"))
+        named(doc_id).alias("doc_id"), F.coalesce(named(doc_id).cast("long"), F.lit(_LAST)).alias("o"), F.xxhash64(named(text)).alias("th"), named(text).alias("text"),
+        F.struct(*(named(c) for c in docs.columns if c != text)).alias("row"))
     lines = own.select("o", "th", F.posexplode(line_keys(F.col("text"))).alias("pos", "key")).where(F.length("key") >= min_chars)
     lines = lines.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "o", "th", F.col("pos").cast("long").alias("pos"))
     order = [F.col("h1"), F.col("h2"), F.col("o").desc()]
@@ -137,12 +138,11 @@ def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     drops = drops.groupBy("o", "th").agg(F.collect_set("pos").alias("drops"))
     n = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines")
     whole = own.join(drops.hint("shuffle_hash"), ["o", "th"], "left").select("doc_id", n, "drops", *(["text", "row"] if with_text else []))
-    schema = "doc_id long, n_lines long, n_dropped long, keep binary"
-    if with_text:
-        schema += f", kept string, row {own.schema['row'].dataType.simpleString()}"
-    return whole.mapInArrow(_bitmaps(with_text), schema)
+    kinds = [("doc_id", whole.schema["doc_id"].dataType), ("n_lines", T.LongType()), ("n_dropped", T.LongType()), ("keep", T.BinaryType())]
+    kinds += [("kept", T.StringType()), ("row", own.schema["row"].dataType)] if with_text else []
+    return whole.mapInArrow(_bitmaps(with_text), T.StructType([T.StructField(*x) for x in kinds]))
 
 
 def digest(found: DataFrame) -> DataFrame:
     """The contract's columns of what keep_bitmaps(with_text=True) returns."""
-    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))

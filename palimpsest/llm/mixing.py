@@ -1,13 +1,16 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Targets: sources share the budget by weight, none above `repeats` times its size, the excess shared anew (water level,
-found in closed form over one row per source).  Each source's documents are shuffled by a hash of their id; a document's
-virtual finish time is the words of its source up to it, over the source's target.  Served in that order, every source
-reaches its target at virtual time 1, which is where the total budget is spent, so truncation at the budget takes what
-starts before time 1; the document that time 1 falls into is taken in part.
-
-The running sums are not one window per source, which would put a source with a third of all rows into one task: the
-hash order is cut into blocks of about BLOCK rows, block sums are accumulated, then each block by itself.
+found in closed form over one row per source).  Each source's documents are shuffled by a hash of their id and queued
+`repeats` times; each copy's virtual finish time is the words of its source up to its end, over the source's target.  The
+copies of all sources are put in order of finish time, words are summed up in that order over all sources, and the queue
+is cut at the total budget, the sum of the targets' whole words.  The copy in which a source reaches its target
+(virtual time 1) is queued as two packets, cut there, so that each source gets its target to the word and not to the
+document.
+
+Neither running sum is one window over all rows, or over a source that may have a third of them: both orders are cut
+into blocks of about BLOCK rows (ranges of the hash, ranges of the finish time), blocks are summed up, runs of blocks
+next, and each block is sorted by itself.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import WORD, materialize
+from palimpsest.llm.common import WORD, discard, materialize, named, prefix_sums
 
 BLOCK = 1024
 CYCLE = (3, 1, 2)
@@ -44,32 +47,49 @@ def targets(sizes: DataFrame, share: float = 1.5, repeats: int = 2, weights: Col
     return s.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(level).alias("target"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.5, repeats: int = 2, weights: Column | None = None, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.5, repeats: int = 2, weights: Column | None = None, seed: str = "mix", row: str | None = None) -> DataFrame:
     """One row per row of docs, range-sorted by finish: doc_id, source, size, source_size long, target double,
     taken long (words, repeats counted), finish double (virtual finish time of the first copy; null without a target).
 
     taken sums to floor(target) for each source; no document exceeds repeats times its size.  Reruns agree.
-    Null text: size 0.  Null source: a source of its own, last.  Null id: shuffled as the empty id.  Rows of one id
-    follow each other; repeated rows: a row each.  Other columns, of any name, are left out.  No rows: none.
+    row: a column that tells all rows apart, returned as row.
+    Null text: size 0.  Null source: a source of its own, last.  Null id: shuffled by the text.  Rows of one id follow
+    each other, in order of their sizes and hashes of their texts (one id's rows have to fit one task); repeated rows: a
+    row each.  Other columns, of any name, are left out.  No rows: none.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary"))
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), key.alias("key"))
-    own = materialize(own, "sizes")
-    blocks = max(1, -(-own.count() // BLOCK))
-    own = own.withColumn("block", F.shiftright(F.conv(F.substring("key", 1, 7), 16, 10).cast("long") * blocks, 28))
-    sums = materialize(own.groupBy("source", "block").agg(F.sum("size").alias("words")), "blocks")
-    aims = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), share, repeats, weights)
-    before = F.sum("words").over(Window.partitionBy("source").orderBy("block")) - F.col("words")
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(named(doc_id).cast("string"), F.concat(F.lit(":"), F.xxhash64(named(text)).cast("string")))).cast("binary"))
+    whole = docs.select(named(doc_id).alias("doc_id"), named(source).alias("source"), n_words(named(text)).alias("size"), key.alias("key"), F.xxhash64(named(text)).alias("th"), (named(row) if row else F.lit(None)).alias("row"))
+    own = materialize(whole.withColumn("no", F.monotonically_increasing_id()), "sizes")
+    n = own.count()
+    blocks = max(1, -(-n // BLOCK))
+    hashed = own.withColumn("block", F.shiftright(F.conv(F.substring("key", 1, 7), 16, 10).cast("long") * blocks, 28))
+    sums = materialize(hashed.groupBy("source", "block").agg(F.sum("size").alias("words")), "blocks")
+    aims = materialize(targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), share, repeats, weights), "targets")
     null_safe = [F.col("l.source").eqNullSafe(F.col("r.source"))]
-    sums = sums.withColumn("words_before", before).alias("l").join(aims.alias("r"), null_safe).select("l.source", "block", "words_before", "source_size", "target")
-    placed = own.alias("l").join(sums.alias("r"), [*null_safe, F.col("l.block") == F.col("r.block")]).select("doc_id", "l.source", "l.block", "size", "key", "words_before", "source_size", "target")
-    upto = F.col("words_before") + F.sum("size").over(Window.partitionBy("source", "block").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    placed = placed.withColumn("upto", upto)
-    start = F.col("upto") - F.col("size")
+    sums = prefix_sums(sums, "block", "words", "source").alias("l").join(aims.alias("r"), null_safe).select("l.source", "block", F.col("before").alias("words_before"), "source_size", "target")
+    placed = hashed.alias("l").join(sums.alias("r"), [*null_safe, F.col("l.block") == F.col("r.block")]).select("no", "doc_id", "row", "l.source", "l.block", "size", "key", "th", "words_before", "source_size", "target")
+    upto = F.col("words_before") + F.sum("size").over(Window.partitionBy("source", "block").orderBy("key", "doc_id", "size", "th", "no").rowsBetween(Window.unboundedPreceding, 0))
+    placed = materialize(placed.withColumn("upto", upto).drop("words_before", "block", "th"), "queue")
+
+    # packets: each copy, cut where its source reaches its target
+    copies = placed.where("size > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    end = F.col("upto") + F.col("copy") * F.col("source_size")
     room = F.floor("target").cast("long")
-    taken = sum((F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), room - F.col("source_size") * i - start)) for i in range(repeats)), F.lit(0).cast("long"))
+    cut = F.greatest(end - F.col("size"), F.least(end, room))
+    parts = F.array(F.struct((cut - end + F.col("size")).alias("words"), cut.alias("end")), F.struct((end - cut).alias("words"), end.alias("end")))
+    packets = copies.select("no", "source", "key", "copy", "target", F.explode(parts).alias("p")).where("p.words > 0")
+    packets = packets.select("no", "source", "key", "copy", F.col("p.words").alias("words"), (F.col("p.end") / F.col("target")).alias("finish"))
+    packets = packets.withColumn("block", F.floor(F.col("finish") * F.lit(float(max(1, -(-3 * n // (2 * BLOCK)))))).cast("long"))
+    served = prefix_sums(materialize(packets.groupBy("block").agg(F.sum("words").alias("words")), "served"), "block", "words").select("block", "before")
+    order = Window.partitionBy("block").orderBy("finish", "source", "key", "no", "copy").rowsBetween(Window.unboundedPreceding, 0)
+    packets = packets.join(served, "block").withColumn("before", F.col("before") + F.sum("words").over(order) - F.col("words"))
+    budget = aims.agg(F.coalesce(F.sum(room), F.lit(0)).alias("n")).first().n
+    got = packets.where(F.col("before") < budget).withColumn("got", F.least("words", F.lit(budget) - F.col("before")))
+    taken = got.groupBy("no").agg(F.sum("got").alias("taken"))
     finish = F.when(F.col("target") > 0, F.col("upto") / F.col("target"))
-    mixed = placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), finish.alias("finish"))
+    mixed = placed.join(taken, "no", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), finish.alias("finish"), *(["row"] if row else []))
+    mixed = materialize(mixed, "mixed")
+    discard(own, placed)
     return mixed.repartitionByRange("finish", "source", "doc_id").sortWithinPartitions("finish", "source", "doc_id")
 
 

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import remainder
+from palimpsest.llm.common import named, remainder
 
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -172,22 +172,22 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, penalty:
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = 20_000) -> Ensemble:
     """Fit on at most max_rows labelled documents, those whose ids have the least hashes.  Null labels and ids are left out."""
-    named = labels.select(F.col(doc_id).alias("_id"), F.col(label).alias("_y")).where("_id is not null and _y is not null")
-    chosen = named.orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_rows)
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
+    known = labels.select(named(doc_id).alias("_id"), named(label).alias("_y")).where("_id is not null and _y is not null")
+    chosen = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_rows)
+    rows = docs.select(named(doc_id).alias("_id"), named(text).alias("_text")).join(F.broadcast(chosen), "_id")
     # rows of one id beyond max_rows in all would come from repeated documents; they are cut by the same order
     data = with_features(rows, "_text").select("_id", "_y", *FEATURES).orderBy(F.xxhash64("_id"), "_id", "_y", *FEATURES).limit(max_rows).toPandas()
     return fit(data[list(FEATURES)].to_numpy(float), data["_y"].to_numpy(float))
 
 
-def score(docs: DataFrame, model: Ensemble, text: str = "text") -> DataFrame:
-    """docs with a column score double (0 to 1, higher: label 1 likelier), which replaces one of that name.
+def score(docs: DataFrame, model: Ensemble, text: str = "text", name: str = "score") -> DataFrame:
+    """docs with a column `name` double (0 to 1, higher: label 1 likelier), which replaces one of that name.
 
-    Null text scores as empty; null ids and repeated rows: a row each; all columns stay.  No rows: none.
+    Null text scores as empty; null ids and repeated rows: a row each; all columns, of any name, stay.  No rows: none.
     """
-    columns = [F.col(f"_row.{c}").alias(c) for c in docs.columns if c != "score"]
-    held = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))
-    return with_features(held, "_text").select(*columns, model.score().alias("score"))
+    columns = [F.col("_row").getField(c).alias(c) for c in docs.columns if c != name]
+    held = docs.select(F.struct(*(named(c) for c in docs.columns)).alias("_row"), named(text).alias("_text"))
+    return with_features(held, "_text").select(*columns, model.score().alias(name))
 
 
 def held_out_query(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:

@@ -11,9 +11,9 @@ through one broadcast shard after another would cost documents times shards.  So
    combined to one with its first document before any of them is sorted, so copies by the thousand cost one row.
    An anchor held more than HOT times deals its windows one by one, each to a shard of its own words.  (An anchor is
    dealt one way in the whole corpus: either it is told beforehand, or all its rows are in one stream.)
-4. A shard's distinct stretches make one generalised suffix automaton, whose states know their first document; the
-   stretches are streamed through it, and where the matching statistics reach min_words the state tells which document
-   has that window first.
+4. Anchors are dealt into shards of about SHARD_BYTES of distinct stretches.  A shard makes one generalised suffix
+   automaton, whose states know their first document; its stretches are streamed through it, and where the matching
+   statistics reach min_words the state tells which document has that window first.
 5. The verdicts return to the documents, which drop the words of maximal spans.
 
 Every step moves rows of windows that repeat, not the corpus; no group of unbounded size meets in one task.
@@ -29,11 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import discard, materialize, settle
+from palimpsest.llm.common import discard, materialize, named
 
 GRAM = 5
 HOT = 1000
-#: Documents sampled for anchors held too often, by least hash; a fixed number finds any held by a thousandth of the corpus.
+#: Words of a shard's distinct stretches; an automaton takes some hundred times the bytes.
+SHARD_BYTES = 128 << 10
+#: Documents sampled for anchors held too often, by their hash; a fixed number finds any held by a thousandth of the corpus.
 SAMPLE = 5000
 _MIX, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 _LAST = 2**63 - 1
@@ -96,10 +98,10 @@ _ANCHORS = "a long, o long, th long, s int, n int, route int"
 
 
 def _frequent(own: DataFrame, size: int, hot: int) -> np.ndarray:
-    """Anchors that more than `hot` documents, by estimate from SAMPLE documents, hold (three of those at least)."""
+    """Anchors that more than `hot` documents, by estimate from about SAMPLE documents, hold (three of those at least)."""
     total = own.count()
     share = min(1.0, 1.2 * SAMPLE / max(1, total))
-    picked = own.where(F.pmod(F.xxhash64("o"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("o", "th", "text").limit(SAMPLE)
+    picked = own.where(F.pmod(F.xxhash64("o", "th"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("o", "th", "text")
     least = max(3.0, hot * min(1.0, SAMPLE / max(1, total)))
     found = picked.mapInArrow(_anchors(size, GRAM, np.zeros(0, np.int64)), _ANCHORS).groupBy("a").agg(F.count_distinct("o").alias("n")).where(F.col("n") >= least)
     return np.sort(found.select("a").toArrow()["a"].to_numpy().astype(np.int64))
@@ -268,37 +270,33 @@ class Automaton:
 def _judged(size: int):
     """Per distinct stretch, the first document of each of its windows; rows come by shard key."""
 
-    def shard(key: int, rows: list[tuple]) -> Iterator[tuple]:
-        if len(rows) == 1:  # every window of it is first in its first document
-            sh, seg, first, last, n = rows[0]
-            if last > first:
-                yield key, sh, [first] * n
-            return
+    def shard(rows: list[tuple]) -> Iterator[tuple]:
         known = Automaton()
-        split = [seg.split() for _, seg, *_ in rows]
-        for words, (_, _, first, _, _) in zip(split, rows, strict=True):
+        split = [seg.split() for _, _, seg, *_ in rows]
+        for words, (_, _, _, first, *_) in zip(split, rows, strict=True):
             known.add(words, first)
         known.close()
-        for words, (sh, _, _, last, _) in zip(split, rows, strict=True):
+        for words, (key, sh, _, _, last, _) in zip(split, rows, strict=True):
             firsts = [first for matched, first in known.statistics(words, size) if matched >= size]
             if last > min(firsts):
                 yield key, sh, firsts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, out = None, [], []
+        key, rows, held, out = None, [], 0, []
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(6)]
-            for k, *row in zip(*columns, strict=True):
-                if k != key and rows:
-                    out += shard(key, rows)
-                    rows = []
-                key = k
-                rows.append(tuple(row))
+            for row in zip(*columns, strict=True):
+                if held >= SHARD_BYTES and row[0] != key:  # equal windows have equal keys, which a shard has whole
+                    out += shard(rows)
+                    rows, held = [], 0
+                key = row[0]
+                rows.append(row)
+                held += len(row[2])
             if len(out) > 20_000:
                 yield _verdicts(out)
                 out = []
         if rows:
-            out += shard(key, rows)
+            out += shard(rows)
         if out:
             yield _verdicts(out)
 
@@ -350,38 +348,34 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     A word goes if a window of min_words words covers it whose words also start somewhere in a document of smaller id.
     hot: anchors held more often deal their windows one by one.
     Null text: no words, kept is empty.  Null id: larger than all others.  Rows of one id never remove each other's
-    words; repeated rows have equal results.  A document under min_words words loses nothing.  min_words is 5 to 60.
+    words; repeated rows have equal results.  A document under min_words words loses nothing.  min_words is 5 to 60; ids
+    are integers.
     Other columns, of any name, are left out.  No rows: none.
     """
     if not GRAM <= min_words <= 60:
         raise ValueError("min_words must be 5 to 60")
-    spark = docs.sparkSession
     # rows of one id are told apart by a hash of the text; where ids are unique it is left out of what is shuffled
-    ids = docs.groupBy(F.col(doc_id).alias("i")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    th = F.lit(0).cast("long") if ids.isEmpty() else F.xxhash64(F.col(text))
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("o"), th.alias("th"), F.col(text).alias("text"))
+    ids = docs.groupBy(named(doc_id).alias("i")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    th = F.lit(0).cast("long") if ids.isEmpty() else F.xxhash64(named(text))
+    own = docs.select(named(doc_id).alias("doc_id"), F.coalesce(named(doc_id).cast("long"), F.lit(_LAST)).alias("o"), th.alias("th"), named(text).alias("text"))
     anchors = own.select("o", "th", "text").mapInArrow(_anchors(min_words, GRAM, _frequent(own, min_words, hot)), _ANCHORS)
     dealt = anchors.repartition(F.when(F.col("route") == 1, F.xxhash64("o", "s")).otherwise(F.col("a")))
     repeated = dealt.sortWithinPartitions("route", "a", "o").mapInArrow(_repeated(hot), _ANCHORS)
     marks = repeated.groupBy("o", "th").agg(F.collect_set(F.struct("s", "n", "a", "route")).alias("marks"))
     marks = materialize(marks, "marks", "zstd")
-    settle(spark)
     cut = own.select("o", "th", "text").join(marks.hint("shuffle_hash"), ["o", "th"]).select("o", "th", "text", "marks")
     cut = materialize(cut.mapInArrow(_stretches(min_words), "key long, sh long, seg binary, o long, th long, s int, n int"), "stretches", "zstd")
     discard(marks)
-    settle(spark)
 
     distinct = cut.groupBy("key", "sh", "seg").agg(F.min("o").alias("first"), F.max("o").alias("last"), F.max("n").alias("n"))
     shards = distinct.select("key", "sh", "seg", "first", "last", "n").repartition("key").sortWithinPartitions("key", "first", "sh")
     verdicts = materialize(shards.mapInArrow(_judged(min_words), "key long, sh long, firsts array<long>"), "verdicts")
-    settle(spark)
 
     mask = F.aggregate(F.transform("firsts", lambda m, i: F.when(m < F.col("o"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
     covered = cut.select("key", "sh", "o", "th", "s").join(verdicts, ["key", "sh"]).select("o", "th", "s", mask.alias("mask")).where("mask <> 0")
     covered = materialize(covered.groupBy("o", "th").agg(F.collect_set(F.struct("s", "mask")).alias("marks")), "covered")
     discard(cut)
     discard(verdicts)
-    settle(spark)
     whole = own.join(covered.hint("shuffle_hash"), ["o", "th"], "left").select("doc_id", "text", "marks")
     return whole.mapInArrow(_removed(min_words), "doc_id long, n_words long, spans array<struct<start:int,end:int>>, kept string")
 

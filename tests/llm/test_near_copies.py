@@ -5,8 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline as pipeline
-from palimpsest.llm.near_copies import near_copies
-from palimpsest.llm.simhash import fingerprint
+from palimpsest.llm.simhash import fingerprint, near_copies
 
 
 def shingled(text):
@@ -34,7 +33,7 @@ def texts():
 
 
 def components(rows):
-    sets, name = [shingled(t) for _, t in rows], [i for i, _ in rows]
+    sets, name = [shingled(t) for _, t, *_ in rows], [i for i, *_ in rows]
     moved = True
     while moved:
         moved = False
@@ -43,7 +42,7 @@ def components(rows):
                 if name[a] != name[b] and similar(sets[a], sets[b]):
                     name[a] = name[b] = min(name[a], name[b])
                     moved = True
-    return {i: n for (i, _), n in zip(rows, name, strict=True)}
+    return {i: n for (i, *_), n in zip(rows, name, strict=True)}
 
 
 def test_against_brute_force(spark):
@@ -72,6 +71,20 @@ def test_one_large_group(spark):
     assert {r.component_id for r in near_copies(frame).collect()} == {0}
 
 
+def test_a_group_beyond_a_block_is_dealt_in_pairs(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(300):  # a chain: each step edits one word more, so its ends are far apart
+        if i % 3 == 0:
+            words[rng.randrange(120)] = f"n{i}"
+        rows.append((i, " ".join([*words, f"x{i}"])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = components(rows)
+    for block in (1 << 24, 4000):
+        assert {r.doc_id: r.component_id for r in near_copies(frame, block_bytes=block).collect()} == want
+
+
 def test_stage_drops_edited_copies(spark):
     words = [f"w{i}" for i in range(200)]
     edited = [w if i not in (20, 90, 150) else "x" for i, w in enumerate(words)]

@@ -312,15 +312,14 @@ def test_loser_tree_merges():
 
 
 def leaks_by_hand(rows, items):
-    def shingles(t):
-        w = re.findall(r"[^\W_]+", (t or "").lower())
-        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    shingles = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if n else set()
 
     best = {}
     for i, t, *_ in rows:
-        own = shingles(t)
         for item, x in items:
-            want = shingles(x)
+            n = min(5, len(split(x)))
+            own, want = shingles(split(t), n), shingles(split(x), n)
             if want and len(want & own) / len(want) >= 0.8:
                 best[i, item] = max(best.get((i, item), (0, 0, 0)), (len(want & own) / len(want), len(want), len(want & own)))
     for (i, item), (c, n, m) in best.items():
@@ -330,7 +329,7 @@ def leaks_by_hand(rows, items):
 def test_decontamination(spark, docs, none):
     rows = texts()
     body = rows[1][1].split()
-    items = [(1, " ".join(body[:12])), (2, " ".join(body[2:40]).upper() + "!"), (3, " ".join(body[:9] + ["other"] + body[9:20])), (4, "four words are few"), (5, None), (6, rows[65][1]), (1, " ".join(body[:12])), (7, " ".join(rows[73][1].split()[100:160])), (None, " ".join(body[5:30]))]
+    items = [(1, " ".join(body[:12])), (2, " ".join(body[2:40]).upper() + "!"), (3, " ".join(body[:9] + ["other"] + body[9:20])), (4, "four words are few"), (8, "Two, TEXTS!"), (9, "again"), (10, "?!"), (5, None), (6, rows[65][1]), (1, " ".join(body[:12])), (7, " ".join(rows[73][1].split()[100:160])), (None, " ".join(body[5:30]))]
     bench = spark.createDataFrame([(*x, 0) for x in items], "item_id long, text string, doc_id int")
     assert found(decontamination.find_leaks(docs, bench)) == expected(leaks_by_hand(rows, items))
     assert decontamination.find_leaks(none, bench).count() == 0 and decontamination.find_leaks(docs, bench.limit(0)).count() == 0
@@ -426,39 +425,74 @@ def test_components_of_chains_and_stars(spark):
 # 9
 
 
-@pytest.mark.parametrize("block", [1024, 3])
-def test_mixing(docs, none, monkeypatch, block):
-    monkeypatch.setattr(mixing, "BLOCK", block)
-    rows = texts()
-    got = mixing.mix(docs).collect()
+def mixed_by_hand(rows, share=1.5, repeats=2):
+    """Copies as packets in order of virtual finish time, served until the budget is spent; sums are those of whole numbers."""
     sizes = defaultdict(int)
     for _, t, _, s, *_ in rows:
         sizes[s] += len(WORDS.findall(t or ""))
     names = sorted(sizes, key=lambda s: (s is None, s))
     weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
-    target, full, left = {}, set(), 1.5 * sum(sizes.values())
+    target, full, left = {}, set(), share * sum(sizes.values())
     while True:
         open_ = [s for s in names if s not in full]
         level = {s: weight[s] * left / sum(weight[x] for x in open_) for s in open_}
-        over = [s for s in open_ if level[s] > 2 * sizes[s]]
+        over = [s for s in open_ if level[s] > repeats * sizes[s]]
         target |= level
         if not over:
             break
         for s in over:
             full.add(s)
-            target[s] = 2.0 * sizes[s]
+            target[s] = float(repeats * sizes[s])
             left -= target[s]
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    th = lambda t: 42 if t is None else signed(xxhash.xxh64_intdigest(t.encode(), 42))
+    key = lambda i, t: hashlib.md5(f"mix:{f':{th(t)}' if i is None else i}".encode()).hexdigest()
+    packets, told = [], []
+    for s in names:
+        at = 0
+        for i, t, *_ in sorted((r for r in rows if r[3] == s), key=lambda r: (key(*r[:2]), order(r[0]), len(WORDS.findall(r[1] or "")), th(r[1]))):
+            n = len(WORDS.findall(t or ""))
+            at += n
+            told.append({"doc_id": i, "source": s, "size": n, "source_size": sizes[s], "target": target[s], "taken": 0})
+            for copy in range(repeats if n else 0):
+                end = at + copy * sizes[s]
+                cut = max(end - n, min(end, int(target[s] + 1e-9)))
+                packets += [(e / target[s], k, s is None, str(s), len(packets), w, told[-1]) for k, (w, e) in enumerate([(cut - end + n, cut), (end - cut, end)]) if w]
+    budget = sum(int(target[s] + 1e-9) for s in names)
+    for *_, words, row in sorted(packets, key=lambda p: p[:5]):
+        row["taken"] += min(words, budget)
+        budget -= min(words, budget)
+    return told
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_mixing(docs, none, monkeypatch, block):
+    monkeypatch.setattr(mixing, "BLOCK", block)
+    rows = texts()
+    got = mixing.mix(docs).collect()
+    want = mixed_by_hand(rows)
+    columns = ("doc_id", "source", "size", "source_size", "taken")
+    assert Counter(tuple(r[c] for c in columns) for r in got) == Counter(tuple(r[c] for c in columns) for r in want)
+    target = {r["source"]: r["target"] for r in want}
     taken = Counter()
     for r in got:
-        assert r.size == r.size and 0 <= r.taken <= 2 * r.size and r.source_size == sizes[r.source] and abs(r.target - target[r.source]) < 1e-6
+        assert 0 <= r.taken <= 2 * r.size and abs(r.target - target[r.source]) < 1e-6
         taken[r.source] += r.taken
-    assert len(got) == len(rows) and all(taken[s] == int(target[s] + 1e-9) for s in names)
+    assert all(taken[s] == int(t + 1e-9) for s, t in target.items())
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs).collect()))
     finish = [r.finish for r in got if r.finish is not None]
     assert finish == sorted(finish)
     assert mixing.mix(none).count() == 0
 
 
+def test_mixing_cuts_the_queue_at_the_budget(spark):
+    rows = [(i, "w " * (5 + i % 7), "en", f"s{i % 3}") for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for share in (0.1, 0.7, 1.9):
+        got = {r.doc_id: r.taken for r in mixing.mix(frame, share=share).collect()}
+        assert got == {r["doc_id"]: r["taken"] for r in mixed_by_hand(rows, share)}
+
+
 # 10
 
 
