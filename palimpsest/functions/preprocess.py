@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,15 +44,17 @@ def preview(text: Column) -> Column:
     return F.when(line == "", "nothing to clean").otherwise(line)
 
 
-def apply_pattern(text: Column, pattern: str, replacement: str) -> Column:
+def apply_pattern(text: Column, pattern: str, replacement: str | Callable[[Column], Column]) -> Column:
     """(text, map): matches of pattern replaced, and the offset map back to the input.
 
-    Matches must not be empty.  replacement may name groups ($1); it sees the match alone, so pattern has no lookaround.
+    Matches must not be empty.  replacement may name groups ($1), or be a function of the match (Column to Column); either
+    sees the match alone, so pattern has no lookaround.
     A shorter replacement leaves one map entry after it, a longer one an entry for each further character.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    put = F.transform(found, lambda m: F.regexp_replace(m, pattern, replacement))
+    put = F.transform(found, replacement if callable(replacement) else lambda m: F.regexp_replace(m, pattern, replacement))
+    whole = F.concat(F.array_join(F.transform(F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), put.alias("put")), lambda x: F.concat(x["gap"], x["put"])), ""), F.element_at(gaps, -1))
     sizes = F.arrays_zip(F.slice(F.transform(gaps, F.length), 1, F.size(found)).alias("gap"), F.transform(found, F.length).alias("old"), F.transform(put, F.length).alias("new"))
     none = F.expr(f"cast(array() as {_MAP})")
 
@@ -63,7 +67,7 @@ def apply_pattern(text: Column, pattern: str, replacement: str) -> Column:
         return F.struct((at + x["new"]).alias("at"), change.alias("diff"), F.concat(s["map"], more).alias("map"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("diff"), none.alias("map"))
-    return F.struct(F.regexp_replace(text, pattern, replacement).alias("text"), F.aggregate(sizes, start, step)["map"].alias("map"))
+    return F.struct((whole if callable(replacement) else F.regexp_replace(text, pattern, replacement)).alias("text"), F.aggregate(sizes, start, step)["map"].alias("map"))
 
 
 def corrected(position: Column, offset_map: Column) -> Column:
@@ -71,7 +75,7 @@ def corrected(position: Column, offset_map: Column) -> Column:
     return position + F.coalesce(F.try_element_at(F.filter(offset_map, lambda p: p["pos"] <= position), F.lit(-1))["diff"], F.lit(0))
 
 
-def filter_chain(df, text: str, patterns: list[tuple[str, str]], out: str = "filtered", maps: str = "maps"):
+def filter_chain(df, text: str, patterns: list[tuple[str, str | Callable[[Column], Column]]], out: str = "filtered", maps: str = "maps"):
     """df with the filtered text and the array of its maps, first filter first."""
     at, names = F.col(text), []
     for i, (pattern, replacement) in enumerate(patterns):

@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from palimpsest.functions.preprocess import corrected_chain
+from palimpsest.shipping import ship
 
 # A word with the blanks after it, or what is between words.
 GENERIC = r"(?U)\w+\s*|\W+"
@@ -20,16 +29,33 @@ def generic_norm(token: Column) -> Column:
     return F.regexp_replace(F.lower(token), r"(?U)\s+$", "")
 
 
-def tokens(witnesses: DataFrame, pattern: str = GENERIC, norm=generic_norm, keys: tuple[str, ...] = ("collation_id", "witness_id"), text: str = "text") -> DataFrame:
+def _with_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ends of the tokens, as running sums of their lengths, beside the tokens; rows stay where they are."""
+    for batch in batches:
+        lists = batch.column(batch.num_columns - 1)
+        sizes = pc.utf8_length(lists.flatten()).to_numpy(zero_copy_only=False).astype(np.int64)
+        counts = lists.value_lengths().to_numpy(zero_copy_only=False)
+        first = np.r_[0, np.cumsum(counts)]
+        upto = np.r_[0, np.cumsum(sizes)]
+        ends = upto[1:] - np.repeat(upto[first[:-1]], counts)
+        column = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ends, pa.int32()))
+        yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "ends"])
+
+
+def tokens(witnesses: DataFrame, pattern: str = GENERIC, norm=generic_norm, keys: tuple[str, ...] = ("collation_id", "witness_id"), text: str = "text", maps: str | None = None) -> DataFrame:
     """keys, pos, start, end, incr, token, norm: a row a token, offsets in code points.
 
     A token whose norm is empty has increment 0.  Offsets are running sums, since the tokens tile the text.
+    maps: the column of offset maps that preprocess.filter_chain() gives; start and end are then those before the filters.
     """
-    dealt = witnesses.select(*keys, text).repartition(*keys)
-    rows = dealt.select(*keys, F.posexplode(token_array(F.col(text), pattern)).alias("pos", "token"))
-    end = F.sum(F.length("token")).over(Window.partitionBy(*keys).orderBy("pos")).cast("int")
-    rows = rows.withColumn("end", end).withColumn("start", F.col("end") - F.length("token"))
-    rows = rows.withColumn("norm", norm(F.col("token")))
+    ship(witnesses.sparkSession)
+    named = [*keys, *([maps] if maps else [])]
+    rows = witnesses.select(*named, token_array(F.col(text), pattern).alias("tokens"))
+    kind = T.StructType([*rows.schema.fields, T.StructField("ends", T.ArrayType(T.IntegerType()))])
+    rows = rows.mapInArrow(_with_ends, kind).select(*named, F.posexplode(F.arrays_zip("tokens", "ends")).alias("pos", "x")).select(*named, "pos", F.col("x.tokens").alias("token"), F.col("x.ends").alias("end"))
+    rows = rows.withColumn("start", F.col("end") - F.length("token")).withColumn("norm", norm(F.col("token")))
+    if maps:
+        rows = rows.withColumns({c: corrected_chain(F.col(c), F.col(maps)) for c in ("start", "end")})
     return rows.select(*keys, "pos", "start", "end", F.when(F.col("norm") == "", 0).otherwise(1).alias("incr"), "token", "norm")
 
 
@@ -43,3 +69,10 @@ def encode(token_table: DataFrame, key: str = "collation_id", first: int = 1) ->
     vocabulary = token_table.select(key, "norm").distinct().where("norm <> ''")
     rank = F.dense_rank().over(Window.partitionBy(key).orderBy("norm"))
     return vocabulary.select(key, "norm", (rank + (first - 1)).alias("code"))
+
+
+def decode(codes: DataFrame, vocabulary: DataFrame, key: str = "collation_id") -> DataFrame:
+    """codes(key, code, any others) with norm, as encode() numbered it; code 0 is the empty norm, an unknown code has null."""
+    known = vocabulary.select(F.col(key).alias("_key"), F.col("code").alias("_code"), "norm")
+    found = codes.join(known, (F.col(key) == F.col("_key")) & (F.col("code") == F.col("_code")), "left").drop("_key", "_code")
+    return found.withColumn("norm", F.when(F.col("code") == 0, "").otherwise(F.col("norm")))

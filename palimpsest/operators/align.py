@@ -14,23 +14,36 @@ from palimpsest.shipping import ship
 from palimpsest.tables import written
 
 
-def token_arrays(witnesses: DataFrame, pattern: str = GENERIC, norm=generic_norm) -> DataFrame:
-    """collation_id, witness_id, tokens, norms."""
+def token_arrays(witnesses: DataFrame, pattern: str = GENERIC, norm=generic_norm, vocabulary=None) -> DataFrame:
+    """collation_id, witness_id, tokens, norms.
+
+    norm is an expression over a token.  vocabulary (DataFrame(token) -> DataFrame(token, norm)), if given, is asked instead,
+    once for each distinct token of all witnesses: for norms that are costly, or a join.
+    """
     rows = witnesses.select("collation_id", F.col("witness_id").cast("int").alias("witness_id"), token_array(F.col("text"), pattern).alias("tokens"))
-    return rows.withColumn("norms", F.transform("tokens", norm))
+    if vocabulary is None:
+        return rows.withColumn("norms", F.transform("tokens", norm))
+    rows = written(rows, "tokens")
+    each = rows.select("collation_id", "witness_id", F.posexplode("tokens").alias("pos", "token"))
+    normed = each.join(vocabulary(each.select("token").distinct()), "token")
+    norms = normed.groupBy("collation_id", "witness_id").agg(F.array_sort(F.collect_list(F.struct("pos", "norm"))).alias("n"))
+    joined = rows.join(norms, ["collation_id", "witness_id"], "left")
+    none = F.expr("cast(array() as array<string>)")
+    return joined.select("collation_id", "witness_id", "tokens", F.coalesce(F.transform("n", lambda x: x["norm"]), none).alias("norms"))
 
 
-def align(witnesses: DataFrame, pattern: str = GENERIC, norm=generic_norm, merged: bool = True) -> DataFrame:
+def align(witnesses: DataFrame, pattern: str = GENERIC, norm=generic_norm, merged: bool = True, vocabulary=None, aligner=place) -> DataFrame:
     """collation_id, row_id, cells (array over witnesses): merged rows, or with gaps as null if not merged.
 
     witnesses: collation_id, witness_id (0 is the base, without holes), text.  Any number of witnesses.  A collation
     without witness 0 has no rows; one whose texts are all empty has none either.  Each witness's cells, put together,
     are its text.
+    vocabulary: see token_arrays().  aligner: from token arrays to placed cells, as operators.diff.place() does it.
     """
     ship(witnesses.sparkSession)
-    arrays = token_arrays(witnesses, pattern, norm)
+    arrays = token_arrays(witnesses, pattern, norm, vocabulary)
     n = witnesses.groupBy("collation_id").agg((F.max("witness_id").cast("int") + 1).alias("n"))
-    placed = written(place(arrays), "cells")  # edit scripts are computed once; the layout reads their cells twice
+    placed = written(aligner(arrays), "cells")  # edit scripts are computed once; the layout reads their cells twice
     wide = wide_rows(layout(placed), n)
     return merge_rows(wide) if merged else wide
 

@@ -36,6 +36,19 @@ def wide_rows(cells: DataFrame, n_witnesses: DataFrame | None = None) -> DataFra
     return rows.select("collation_id", "row_id", F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.try_element_at("m", i.cast(dict(cells.dtypes)["witness_id"]))).alias("cells"))
 
 
+def position_rows(arrays: DataFrame) -> DataFrame:
+    """collation_id, row_id, cells (text) by token position, of arrays(collation_id, witness_id, tokens); where a text has ended, null.
+
+    The texts meet once, by collation; everything that follows by collation moves no row.
+    """
+    held = arrays.groupBy("collation_id").agg(F.collect_list(F.struct("witness_id", "tokens")).alias("w"))
+    n, longest = F.array_max(F.transform("w", lambda x: x["witness_id"])) + 1, F.array_max(F.transform("w", lambda x: F.size(x["tokens"])))
+    texts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(F.filter("w", lambda x: x["witness_id"] == i), F.lit(0))["tokens"])
+    held = held.select("collation_id", texts.alias("texts"), longest.alias("longest")).where("longest > 0")
+    rows = F.transform(F.sequence(F.lit(0), F.col("longest") - 1), lambda r: F.transform("texts", lambda t: F.struct(F.get(t, r).alias("text"))))
+    return held.select("collation_id", F.posexplode(rows).alias("row_id", "cells"))
+
+
 def long_rows(wide: DataFrame) -> DataFrame:
     """The inverse of wide_rows(); gaps stay as rows of null text."""
     cells = wide.select("collation_id", "row_id", F.posexplode("cells").alias("witness_id", "c"))

@@ -1,11 +1,15 @@
-"""Serialised votes: plain text, csv entries, markdown and inline notes."""
+"""Serialised votes: plain text, csv entries, markdown and inline notes.
+
+weighted, everywhere, is long cells with weights or the rows of operators.weigh.weigh_rows(); rows that are dealt by collation
+already are not dealt again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.operators.weigh import vote
+from palimpsest.operators.weigh import best, vote, weighed_cells
 
 
 def _in_rows(rows: DataFrame, piece: Column, name: str) -> DataFrame:
@@ -20,10 +24,13 @@ def plain_text(weighted: DataFrame) -> DataFrame:
 
 def csv_entries(weighted: DataFrame) -> DataFrame:
     """collation_id, row_id, witness_id, entry: text_weight_, in brackets for the winner; a gap weighs 0."""
-    best = F.max(F.struct(F.coalesce("weight", F.lit(0)).alias("w"), (-F.col("witness_id")).alias("n"))).over(Window.partitionBy("collation_id", "row_id"))
-    body = F.concat(F.coalesce("text", F.lit("")), F.lit("_"), F.coalesce("weight", F.lit(0)).cast("string"), F.lit("_"))
-    entry = F.when(F.col("witness_id") == -F.col("best.n"), F.concat(F.lit("["), body, F.lit("]"))).otherwise(body)
-    return weighted.withColumn("best", best).select("collation_id", "row_id", "witness_id", entry.alias("entry"))
+    rows = weighed_cells(weighted).withColumn("top", -best(F.col("cells"))["n"])
+
+    def entry(c: Column) -> Column:
+        body = F.concat(F.coalesce(c["text"], F.lit("")), F.lit("_"), F.coalesce(c["weight"], F.lit(0)).cast("string"), F.lit("_"))
+        return F.when(c["witness_id"] == F.col("top"), F.concat(F.lit("["), body, F.lit("]"))).otherwise(body)
+
+    return rows.select("collation_id", "row_id", F.inline(F.transform("cells", lambda c: F.struct(c["witness_id"].alias("witness_id"), entry(c).alias("entry")))))
 
 
 def csv_lines(weighted: DataFrame) -> DataFrame:
@@ -39,14 +46,16 @@ def voted_rows(weighted: DataFrame, versions: DataFrame | None = None, codes: di
     codes: version name -> code, of the versions to serialise (versions: collation_id, witness_id, name); without any,
     all witnesses, as V1, V2, ...
     """
+    rows = weighed_cells(weighted)
     if codes:
         table = F.create_map(*(F.lit(x) for pair in codes.items() for x in pair))
-        named = weighted.join(versions.select("collation_id", "witness_id", F.try_element_at(table, F.col("name")).alias("code")), ["collation_id", "witness_id"], "left")
+        known = versions.select("collation_id", F.struct(F.col("witness_id").cast("int"), F.try_element_at(table, F.col("name"))).alias("c")).groupBy("collation_id").agg(F.map_from_entries(F.collect_list("c")).alias("codes"))
+        rows = rows.join(known, "collation_id", "left")
+        code = lambda w: F.try_element_at("codes", w.cast("int"))
     else:
-        named = weighted.withColumn("code", F.concat(F.lit("V"), (F.col("witness_id") + 1).cast("string")))
-    cell = F.struct("witness_id", F.coalesce("text", F.lit("")).alias("text"), "code")
-    best = F.max(F.struct(F.coalesce("weight", F.lit(0)).alias("w"), (-F.col("witness_id")).alias("n"), F.coalesce("text", F.lit("")).alias("t")))
-    rows = named.groupBy("collation_id", "row_id").agg(F.array_sort(F.collect_list(cell)).alias("c"), best.alias("best"))
+        code = lambda w: F.concat(F.lit("V"), (w + 1).cast("string"))
+    cell = F.transform("cells", lambda c: F.struct(c["witness_id"].alias("witness_id"), F.coalesce(c["text"], F.lit("")).alias("text"), code(c["witness_id"]).alias("code")))
+    rows = rows.select("collation_id", "row_id", cell.alias("c"), best(F.col("cells")).alias("best"))
     differs = F.size(F.array_distinct(F.transform("c", lambda x: x["text"]))) > 1
     shown = F.filter("c", lambda x: x["code"].isNotNull())
     rows = rows.select("collation_id", "row_id", F.col("best.t").alias("voted"), differs.alias("differs"), shown.alias("c"))

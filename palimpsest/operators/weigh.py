@@ -63,7 +63,29 @@ def weigh(cells: DataFrame, weighers: list[Weigher], skip_identical_rows: bool =
     return rows.withColumn("weight", weight).drop(*names)
 
 
+def weigh_rows(wide: DataFrame) -> DataFrame:
+    """collation_id, row_id, cells (witness_id, text, weight) of wide rows (cells with text): weighed by count_weight(), within the row."""
+    texts = F.transform("cells", lambda c: F.coalesce(c["text"], F.lit("")))
+
+    def cell(c: Column, i: Column) -> Column:
+        same = F.size(F.filter(texts, lambda x: x == F.coalesce(c["text"], F.lit(""))))
+        return F.struct(i.alias("witness_id"), c["text"].alias("text"), F.floor(same.cast("double") / F.size("cells") * 100).cast("int").alias("weight"))
+
+    return wide.select(*ROW, F.transform("cells", cell).alias("cells"))
+
+
+def weighed_cells(weighted: DataFrame) -> DataFrame:
+    """collation_id, row_id, cells (witness_id, text, weight) by witness: of long weighted cells, or of such rows themselves."""
+    if "cells" in weighted.columns:
+        return weighted
+    return weighted.groupBy(*ROW).agg(F.array_sort(F.collect_list(F.struct("witness_id", "text", "weight"))).alias("cells"))
+
+
+def best(cells: Column) -> Column:
+    """(w, n, t): weight, negated witness and text of the winner: the greatest weight, the least witness at a tie."""
+    return F.array_max(F.transform(cells, lambda c: F.struct(F.coalesce(c["weight"], F.lit(0)).alias("w"), (-c["witness_id"]).alias("n"), F.coalesce(c["text"], F.lit("")).alias("t"))))
+
+
 def vote(weighted: DataFrame) -> DataFrame:
-    """collation_id, row_id, top (witness), voted: the reading of greatest weight; the least witness at a tie."""
-    best = F.max(F.struct(F.coalesce("weight", F.lit(0)).alias("w"), (-F.col("witness_id")).alias("n"), F.coalesce("text", F.lit("")).alias("t"))).alias("b")
-    return weighted.groupBy(*ROW).agg(best).select(*ROW, (-F.col("b.n")).alias("top"), F.col("b.t").alias("voted"))
+    """collation_id, row_id, top (witness), voted, of long cells or weighed rows."""
+    return weighed_cells(weighted).withColumn("b", best(F.col("cells"))).select(*ROW, (-F.col("b.n")).alias("top"), F.col("b.t").alias("voted"))

@@ -17,10 +17,10 @@ from palimpsest.functions.readings import comparison_key, syllables
 from palimpsest.operators import annotations, apparatus, serialize
 from palimpsest.operators.align import align, token_arrays
 from palimpsest.operators.diff import edit_scripts
-from palimpsest.operators.layout import long_rows, wide_rows, witness_rows
+from palimpsest.operators.layout import long_rows, position_rows, witness_rows
 from palimpsest.operators.merge import differs
-from palimpsest.operators.weigh import Weigher, count_weight, vote, weigh
-from palimpsest.options import COLORS, IGNORABLE, SHADS, Options
+from palimpsest.operators.weigh import Weigher, count_weight, vote, weigh, weigh_rows
+from palimpsest.options import A_CHUNG, COLORS, IGNORABLE, SHADS, Options
 from palimpsest.plans import collation
 from palimpsest.shipping import ship
 from palimpsest.sources import witnesses as sources
@@ -111,9 +111,31 @@ def offset_map(spark, sf_dir):
     return rows.select("doc_id", F.col("p.pos").alias("filtered_pos"), preprocess.corrected(F.col("p.pos"), F.col("m")).alias("original_pos"))
 
 
+_SQL_TWISTED = _SQL_DOCS + ", t AS (SELECT doc_id, replace(text, '. ', concat(chr(3853), ' ', chr(3851))) AS x FROM docs)"
+
+
+@_query(f"WITH {_SQL_TWISTED} SELECT doc_id, md5(replace(x, concat(chr(3853), ' ', chr(3851)), concat(chr(3853), ' ', chr(3853)))) AS text FROM t")
+def version_text(spark, sf_dir):
+    """Full stops stand for a shad and a tsheg, as the corpus has none."""
+    twisted = F.replace("text", F.lit(". "), F.lit("\u0f0d \u0f0b"))
+    return _documents(spark, sf_dir).select("doc_id", F.md5(sources.replace_shad_tsheg(twisted)).alias("text"))
+
+
 # tokens
 
 
+@_query(f"""WITH {_SQL_DOCS}, f AS (SELECT doc_id, replace(text, 'tion', 'x') AS y, string_split(text, 'tion') AS gaps FROM docs),
+    i AS (SELECT doc_id, gaps, unnest(range(1, len(gaps))) AS i FROM f), m AS (SELECT doc_id, list_sum(list_transform(gaps[1:i], lambda g: length(g))) + i AS p FROM i),
+    u AS (SELECT doc_id, unnest(regexp_extract_all(y, '{TOKEN}')) AS token, unnest(range(len(regexp_extract_all(y, '{TOKEN}')))) AS pos FROM f),
+    k AS (SELECT doc_id, pos, token, sum(length(token)) OVER (PARTITION BY doc_id ORDER BY pos) AS e FROM u),
+    z AS (SELECT k.doc_id, pos, token, e, count(*) FILTER (p <= e - length(token)) AS a, count(*) FILTER (p <= e) AS b FROM k LEFT JOIN m ON m.doc_id = k.doc_id AND p <= e GROUP BY ALL)
+    SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(e - length(token) + 3 * a AS INTEGER) AS "start", CAST(e + 3 * b AS INTEGER) AS "end" FROM z""")
+def original_offsets(spark, sf_dir):
+    """Tokens of filtered texts, with their places in the texts before."""
+    found = preprocess.filter_chain(_documents(spark, sf_dir), "text", [("tion", "x")])
+    return tok.tokens(found.withColumn("text", F.col("filtered")), TOKEN, _norm, ("doc_id",), maps="maps").select("doc_id", "pos", "start", "end")
+
+
 @_query(f"""WITH {_SQL_TOKENS} SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(e - length(token) AS INTEGER) AS "start", CAST(e AS INTEGER) AS "end", token,
     CASE WHEN regexp_replace(lower(token), '\\s+$', '') = '' THEN 0 ELSE 1 END AS incr FROM k""")
 def token_offsets(spark, sf_dir):
@@ -163,11 +185,19 @@ def comparison_keys(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", F.md5(comparison_key(F.col("text"), _OPTIONS)).alias("key"))
 
 
-@_query(rf"""WITH {_SQL_DOCS}, p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(translate(text, '{SHADS}|', ''), '[་༌\s_]+'),
-    lambda x: translate(x, '{IGNORABLE}_@#!', '')), lambda x: x <> '') AS s FROM docs WHERE text NOT LIKE '%''%')
-    SELECT doc_id, CAST(len(s) AS INTEGER) AS n, md5(array_to_string(s, ' ')) AS joined FROM p""")
+# Parts as \x01 part \x02 \x02: a part of a-chungs alone takes what ends the one before it and its own first end, so the next one
+# still has one to take; then the ends go, and the first part's break if it is of a-chungs alone.
+_SQL_CHUNG = "[" + A_CHUNG.replace("'", "''") + "]+"
+_SQL_SYLLABLES = rf"""WITH {_SQL_DOCS}, p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(translate(text, '{SHADS}|', ''), '[་༌\s_]+'),
+    lambda x: translate(x, concat('{IGNORABLE}_@#!', chr(1)), '')), lambda x: x <> '') AS s FROM docs),
+    q AS (SELECT doc_id, array_to_string(list_transform(s, lambda x: concat(chr(1), x, chr(2), chr(2))), '') AS r FROM p),
+    g AS (SELECT doc_id, regexp_replace(replace(regexp_replace(r, '\x02\x01({_SQL_CHUNG})\x02', '\1', 'g'), chr(2), ''), '^\x01({_SQL_CHUNG})\x01', concat(chr(1), '\1')) AS r FROM q)
+    SELECT doc_id, CAST(length(r) - length(replace(r, chr(1), '')) AS INTEGER) AS n, md5(replace(substr(r, 2), chr(1), ' ')) AS joined FROM g"""
+
+
+@_query(_SQL_SYLLABLES)
 def display_syllables(spark, sf_dir):
-    rows = _documents(spark, sf_dir).where(~F.col("text").contains("'")).select("doc_id", syllables(F.col("text"), _OPTIONS).alias("s"))
+    rows = _documents(spark, sf_dir).select("doc_id", syllables(F.col("text"), _OPTIONS).alias("s"))
     return rows.select("doc_id", F.size("s").alias("n"), F.md5(F.array_join("s", " ")).alias("joined"))
 
 
@@ -195,32 +225,33 @@ _SQL_GROUPS = _SQL_VOTED + (
 
 
 def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long cells; a row is a token position, witnesses that have ended have gaps."""
+    """Rows of token positions; witnesses that have ended have gaps."""
     texts = sources.blocks(_documents(spark, sf_dir))
-    rows = texts.select("collation_id", "witness_id", F.posexplode(tok.token_array(F.col("text"), TOKEN)).alias("row_id", "text"))
-    cells = rows.withColumns({"start": F.lit(0), "end": F.length("text"), "incr": F.lit(1)})
-    n = texts.groupBy("collation_id").agg((F.max("witness_id") + 1).alias("n"))
-    return long_rows(wide_rows(cells, n)).select("collation_id", "row_id", "witness_id", "text")
+    return position_rows(texts.select("collation_id", "witness_id", tok.token_array(F.col("text"), TOKEN).alias("tokens")))
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matrix(spark, sf_dir).select("collation_id", "row_id", F.posexplode("cells").alias("witness_id", "c")).select("collation_id", "row_id", "witness_id", "c.text")
 
 
 def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weigh(_matrix(spark, sf_dir), [Weigher(count_weight())])
+    return weigh_rows(_matrix(spark, sf_dir))
 
 
 @_query(f"WITH {_SQL_MATRIX} SELECT collation_id, row_id, witness_id, text FROM m")
 def positional_matrix(spark, sf_dir):
-    return _matrix(spark, sf_dir)
+    return _cells(spark, sf_dir)
 
 
 @_query(f"WITH {_SQL_DOCS} SELECT doc_id // 3 AS collation_id, CAST(doc_id % 3 AS INTEGER) AS witness_id, md5(text) AS text FROM docs WHERE text <> ''")
 def transpose(spark, sf_dir):
-    cells = _matrix(spark, sf_dir).where("text is not null").withColumns({"start": F.lit(0), "end": F.lit(0), "incr": F.lit(1)})
+    cells = _cells(spark, sf_dir).where("text is not null").withColumns({"start": F.lit(0), "end": F.lit(0), "incr": F.lit(1)})
     return witness_rows(cells).select("collation_id", "witness_id", F.md5(F.array_join(F.transform("cells", lambda c: c["text"]), "")).alias("text"))
 
 
 @_query(f"WITH {_SQL_WEIGHTED} SELECT collation_id, row_id, witness_id, weight FROM g")
 def count_weights(spark, sf_dir):
-    return _weighted(spark, sf_dir).select("collation_id", "row_id", "witness_id", "weight")
+    return _weighted(spark, sf_dir).select("collation_id", "row_id", F.inline("cells")).select("collation_id", "row_id", "witness_id", "weight")
 
 
 @_query(f"""WITH {_SQL_WEIGHTED}, x AS (SELECT *, CASE WHEN text IS NULL THEN NULL ELSE 10 * length(text) % 101 END AS y, CASE WHEN witness_id = 1 THEN 50 WHEN witness_id = 2 THEN 0 END AS z FROM g),
@@ -229,7 +260,7 @@ def count_weights(spark, sf_dir):
 def weighted_mean(spark, sf_dir):
     length = F.when(F.col("text").isNotNull(), F.length("text") * 10 % 101)
     half = F.when(F.col("witness_id") == 1, 50).when(F.col("witness_id") == 2, 0)
-    found = weigh(_matrix(spark, sf_dir), [Weigher(count_weight(), 2), Weigher(length), Weigher(half, 1, relative=True)])
+    found = weigh(_cells(spark, sf_dir), [Weigher(count_weight(), 2), Weigher(length), Weigher(half, 1, relative=True)])
     return found.select("collation_id", "row_id", "witness_id", "weight")
 
 
@@ -243,8 +274,8 @@ def voted_text(spark, sf_dir):
     return serialize.plain_text(_weighted(spark, sf_dir)).select("collation_id", F.md5("voted_text").alias("voted_text"))
 
 
-@_query(f"""WITH {_SQL_VOTED}, c AS (SELECT g.*, top, concat(coalesce(text, ''), '_', coalesce(weight, 0), '_') AS body FROM g JOIN v USING (collation_id, row_id))
-    SELECT collation_id, row_id, witness_id, CASE WHEN witness_id = top THEN concat('[', body, ']') ELSE body END AS entry FROM c""")
+@_query(f"""WITH {_SQL_WEIGHTED}, c AS (SELECT *, concat(coalesce(text, ''), '_', coalesce(weight, 0), '_') AS body, row_number() OVER (PARTITION BY collation_id, row_id ORDER BY coalesce(weight, 0) DESC, witness_id) AS o FROM g)
+    SELECT collation_id, row_id, witness_id, CASE WHEN o = 1 THEN concat('[', body, ']') ELSE body END AS entry FROM c""")
 def csv_cells(spark, sf_dir):
     return serialize.csv_entries(_weighted(spark, sf_dir))
 
@@ -272,9 +303,7 @@ def hfml_notes(spark, sf_dir):
     c AS (SELECT *, CAST(sum(CAST(differs AS INTEGER)) OVER (PARTITION BY collation_id ORDER BY row_id) AS INTEGER) AS note_no FROM d)
     SELECT collation_id, row_id, note_no, {list(COLORS)}[(note_no - 1) % {len(COLORS)} + 1] AS color FROM c WHERE differs""")
 def note_numbers(spark, sf_dir):
-    cells = _matrix(spark, sf_dir)
-    rows = cells.groupBy("collation_id", "row_id").agg(F.array_sort(F.collect_list(F.struct("witness_id", F.coalesce("text", F.lit("")).alias("t")))).alias("r"))
-    rows = rows.select("collation_id", "row_id", F.transform("r", lambda x: x["t"]).alias("segs"))
+    rows = _matrix(spark, sf_dir).select("collation_id", "row_id", F.transform("cells", lambda c: F.coalesce(c["text"], F.lit(""))).alias("segs"))
     names = apparatus.labels(sources.blocks(_documents(spark, sf_dir)))
     return apparatus.apparatus(rows, names, _OPTIONS).where("differs").select("collation_id", "row_id", "note_no", "color")
 

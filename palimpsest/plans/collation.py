@@ -41,12 +41,25 @@ def tibetan_norm(token):
     return tibetan.pre_diff(tibetan.always(token))
 
 
-def common_spelling(witnesses: DataFrame, patterns: list[tuple[str, str]] = (), weighers: list[Weigher] | None = None, bo: bool = True) -> DataFrame:
-    """Weighted cells of the merged matrix: filter chain, tokens, alignment, weights (by count, unless others are given)."""
+def common_spelling(
+    witnesses: DataFrame, patterns: list[tuple[str, str]] = (), weighers: list[Weigher] | None = None, bo: bool = True,
+    substitutions: DataFrame | None = None, keep_eol: bool = True, old: bool = False, semantic: bool = True,
+) -> DataFrame:
+    """Weighted cells of the merged matrix: filter chain, tokens, alignment, weights (by count, unless others are given).
+
+    start and end are those in the text before the filters.  bo: Tibetan tokens, normalised once a distinct token, with
+    the user's substitutions (form, lemma), and as keep_eol, old (spellings) and semantic (affixes, substitutions) say.
+    """
     filtered = preprocess.filter_chain(witnesses, "text", list(patterns), out="_filtered", maps="_maps")
     texts = filtered.select("collation_id", "witness_id", F.col("_filtered").alias("text"))
-    wide = align(texts, TIBETAN, tibetan_norm) if bo else align(texts)
-    return weigh(long_rows(wide), weighers or [Weigher(count_weight())])
+    wide = align(texts, TIBETAN, vocabulary=lambda v: tibetan.normalize_vocabulary(v, substitutions, keep_eol, old, semantic)) if bo else align(texts)
+    cells = long_rows(wide)
+    if patterns:
+        maps = filtered.select("collation_id", F.col("witness_id").cast("int").alias("witness_id"), "_maps")
+        placed = cells.join(maps, ["collation_id", "witness_id"])
+        columns = {c: preprocess.corrected_chain(F.col(c), F.col("_maps")) for c in ("start", "end")}
+        cells = placed.withColumns(columns).select(cells.columns)
+    return weigh(cells, weighers or [Weigher(count_weight())])
 
 
 def collate_texts(spark: SparkSession, texts: dict[str, str], pattern: str = GENERIC, norm=generic_norm) -> DataFrame:

@@ -114,14 +114,22 @@ def golden(rows: pd.DataFrame, labels: list[str], milestones: list[tuple[int, st
     return document(_paragraph([Run(f"{labels[0]} with footnotes")], bold=True) + _paragraph([r for r in runs if r.text or r.footnote is not None]), notes)
 
 
-def reports(found: DataFrame, sigla: DataFrame) -> DataFrame:
-    """collation_id, report, golden: both documents of each collation of apparatus rows; sigla: collation_id, labels."""
+def reports(found: DataFrame, sigla: DataFrame, milestones: DataFrame | None = None) -> DataFrame:
+    """collation_id, report, golden: both documents of each collation of apparatus rows; sigla: collation_id, labels.
+
+    milestones (collation_id, offset, tag) stand in the base text of the second, in italics.
+    """
     rows = found.select("collation_id", "row_id", "segs", "note", "note_no", "color", "shaded", "marked", "cut").join(sigla, "collation_id")
+    if milestones is not None:
+        stones = milestones.groupBy("collation_id").agg(F.array_sort(F.collect_list(F.struct("offset", "tag"))).alias("stones"))
+        rows = rows.join(stones, "collation_id", "left")
     kind = dict(rows.dtypes)["collation_id"]
 
     def make(group: pd.DataFrame) -> pd.DataFrame:
         labels = list(group["labels"].iloc[0])
-        return pd.DataFrame({"collation_id": [group["collation_id"].iloc[0]], "report": [report(group, labels)], "golden": [golden(group, labels)]})
+        told = group["stones"].iloc[0] if "stones" in group else None
+        stones = [(int(x["offset"]), x["tag"]) for x in told] if told is not None else []
+        return pd.DataFrame({"collation_id": [group["collation_id"].iloc[0]], "report": [report(group, labels)], "golden": [golden(group, labels, stones)]})
 
     return rows.groupBy("collation_id").applyInPandas(make, f"collation_id {kind}, report binary, golden binary")
 

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 def read_versions(spark: SparkSession, path: str, collation: str = "versions") -> DataFrame:
     """collation_id, witness_id, name, text of the UTF-8 files of a folder; witnesses are numbered by sorted name.
 
-    As versions are prepared for a vote: a tsheg, a blank and a shad become shad, blank, shad, of equal length.
+    As versions are prepared for a vote: the tsheg after a shad and a blank becomes a shad, so lengths stay.
     """
     files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]*?)(?:\.[^./]*)?$", 1).alias("name"), F.col("value").alias("text"))
-    return number(files.withColumn("collation_id", F.lit(collation)).withColumn("text", replace_tsheg_shad(F.col("text"))))
+    return number(files.withColumn("collation_id", F.lit(collation)).withColumn("text", replace_shad_tsheg(F.col("text"))))
 
 
-def replace_tsheg_shad(text):
-    return F.replace(text, F.lit("་ །"), F.lit("། །"))
+def replace_shad_tsheg(text):
+    return F.replace(text, F.lit("\u0f0d \u0f0b"), F.lit("\u0f0d \u0f0d"))
 
 
 def read_upload(spark: SparkSession, base: str, *comparisons: str, sigla: tuple[str, ...] = ("BX1", "GX1", "GB1")) -> DataFrame:
@@ -36,10 +36,13 @@ def number(versions: DataFrame, exemplar: str | None = None) -> DataFrame:
 
 
 def read_substitutions(spark: SparkSession, path: str) -> DataFrame:
-    """form, lemma of a comma-separated file; of repeated forms the last row counts, rows of one field do not."""
-    rows = spark.read.csv(path, schema="form string, lemma string", mode="PERMISSIVE").where("lemma is not null")
-    rows = rows.withColumn("at", F.monotonically_increasing_id())
-    return rows.groupBy("form").agg(F.max_by("lemma", "at").alias("lemma"))
+    """form, lemma of comma-separated files; of repeated forms the last row counts, rows of one field do not.
+
+    The last row is that of the last file by name, and of the greatest place in it.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n", -1)).alias("at", "line"))
+    rows = files.select("file", "at", F.from_csv("line", "form string, lemma string").alias("x")).where("x.lemma is not null")
+    return rows.groupBy("x.form").agg(F.max_by("x.lemma", F.struct("file", "at")).alias("lemma"))
 
 
 def blocks(documents: DataFrame, size: int = 3) -> DataFrame:

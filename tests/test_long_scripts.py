@@ -30,3 +30,10 @@ def test_repetitive_texts_get_minimal_scripts():
                 assert a[i : i + k] == b[j : j + k]
             i, j = i + k * (op != "+"), j + k * (op != "-")
         assert (i, j) == (len(a), len(b))
+
+
+def test_long_random_texts_get_minimal_scripts():
+    for seed, kinds in ((4, 20), (5, 50), (6, 200), (7, 5000)):
+        rng = random.Random(seed)
+        a, b = ([rng.randrange(kinds) for _ in range(1500)] for _ in range(2))
+        assert sum(k for op, k in edit_script(a, b) if op == "=") == lcs(a, b)
