@@ -31,8 +31,8 @@ def _secrets() -> str:
             AND (kind <> 4 OR regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]'))),
         h AS (SELECT * FROM g WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM g AS b WHERE b.doc_id = g.doc_id AND b.kind < 3 AND b.s < g.e AND g.s < b.e)),
         j AS (SELECT * FROM h WHERE kind < 4 OR NOT EXISTS (SELECT 1 FROM h AS b WHERE b.doc_id = h.doc_id AND b.kind = 3 AND b.s < h.e AND h.s < b.e)),
-        q AS (SELECT value, count(DISTINCT source) AS owners, count(DISTINCT doc_id) AS repos FROM j GROUP BY value),
-        z AS (SELECT j.*, owners = 1 AND repos <= 3 AS live, owners > 1 AS copied, concat(name, ':', CAST(s AS BIGINT), ':', CAST(e AS BIGINT)) AS span FROM j JOIN q USING (value))
+        q AS (SELECT value, count(DISTINCT coalesce(concat('=', source), '')) AS owners FROM j GROUP BY value),
+        z AS (SELECT j.*, owners = 1 AS live, owners > 1 AS copied, concat(name, ':', CAST(s AS BIGINT), ':', CAST(e AS BIGINT)) AS span FROM j JOIN q USING (value))
         SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
             sha256(coalesce(string_agg(span, ',' ORDER BY s, kind) FILTER (kind < 3), '')) AS base_sha256,
             coalesce(string_agg(span, ',' ORDER BY s, kind) FILTER (kind < 3 OR live), '') AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (copied) AS n_copied
@@ -73,11 +73,11 @@ PAGES = r"""WITH p AS (SELECT page_id, coalesce(html, '') AS h, lower(regexp_rep
         concat(array_to_string(list_reverse(string_split(regexp_replace(host, '^www\.', ''), '.')), ','), ')', rest) AS url_key, 1704067200 + page_id AS captured FROM k"""
 
 LEAKS = r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
-    b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
-    x AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b)),
+    b AS (SELECT item_id, w, least(len(w), 5) AS k FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark) WHERE len(w) > 0),
+    x AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM b)),
     n AS (SELECT item_id, count(*) AS n_shingles FROM x GROUP BY item_id),
-    y AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
-    m AS (SELECT doc_id, item_id, count(*) AS n_found FROM y JOIN x USING (s) GROUP BY ALL)
+    y AS (SELECT DISTINCT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM b))),
+    m AS (SELECT doc_id, item_id, count(*) AS n_found FROM y JOIN x USING (k, s) GROUP BY ALL)
     SELECT doc_id, item_id, n_shingles, n_found, n_found / n_shingles AS containment FROM m JOIN n USING (item_id) WHERE n_found / n_shingles >= 0.8"""
 
 MIX = f"""WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, md5(concat('mix:', doc_id)) AS key FROM documents),

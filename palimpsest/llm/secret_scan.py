@@ -2,16 +2,19 @@
 
 Base kinds (fixed patterns) are found in every text.  Two further kinds are candidates only: provider keys and
 mixed-case high-entropy tokens.  Every value's SHA-256 is counted over the whole corpus by distinct repository and
-owner; a candidate is added as a span if a single owner holds it in few repositories (live-looking), while a value
-that several owners hold is an example that has been copied.  Base spans stay either way.
+owner; a candidate is added as a span if a single owner holds it, in however many repositories (live-looking), while a
+value that several owners hold is an example that has been copied.  Base spans stay either way.
+
+Values are hashed where they are found: no table that is written holds one.  Spans are rows as soon as they are found,
+so a text of many costs no more a span than one of few.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import materialize, row_key
+from palimpsest.llm.common import materialize, named, numbered, row_key
 
 # The base kinds, in order of listing.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -24,30 +27,43 @@ MIXED = r"[A-Za-z0-9+/_-]{24,}"
 KINDS = [("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("provider", PROVIDER), ("mixed", MIXED)]
 BASE = 3
 SALTS = 16
+_RUN = 256
+
+
+def _upto(sizes: Column) -> Column:
+    """Running sums of an array of int, each without its own: in runs of _RUN, so that nothing grows with the square."""
+    none = F.expr("cast(array() as array<int>)")
+
+    def scan(x: Column, start: Column) -> Column:
+        first = F.struct(start.alias("at"), none.alias("sums"))
+        return F.aggregate(x, first, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["sums"], F.array(s["at"])).alias("sums")))["sums"]
+
+    runs = F.transform(F.sequence(F.lit(0), F.ceil(F.size(sizes) / _RUN).cast("int") - 1), lambda i: F.slice(sizes, i * _RUN + 1, F.lit(_RUN)))
+    starts = scan(F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda x, y: x + y)), F.lit(0))
+    long = F.flatten(F.zip_with(runs, starts, scan))
+    return F.when(F.size(sizes) == 0, none).when(F.size(sizes) <= _RUN, scan(sizes, F.lit(0))).otherwise(long)
 
 
 def _found(text: Column, kind: int, name: str, pattern: str) -> Column:
-    """Array of (start, kind, end, name, value) of the pattern's matches in code points; the failing ones are dropped.
+    """Array of (start, kind, end, name, sha256) of the pattern's matches in code points; the failing ones are dropped.
 
     Matches are never empty, so the text is gap, match, gap, match, ..., gap: positions are sums of their lengths.
     """
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sizes = F.zip_with(F.transform(gaps, F.length), F.transform(hits, F.length), lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts"))
-    starts = F.aggregate(
-        F.slice(sizes, 1, F.greatest(F.size(hits), F.lit(1))), start,
-        lambda s, x: F.struct((s["at"] + x["g"] + F.coalesce(x["m"], F.lit(0))).alias("at"), F.concat(s["starts"], F.array(s["at"] + x["g"])).alias("starts")),
-    )["starts"]
+    gap, hit = F.transform(gaps, F.length), F.transform(hits, F.length)
+    pairs = F.zip_with(F.slice(gap, 1, F.size(hits)), hit, lambda g, m: g + m)
+    starts = F.zip_with(_upto(pairs), F.slice(gap, 1, F.size(hits)), lambda s, g: s + g)
 
     def value(hit: Column) -> Column:
         return F.regexp_extract(hit, pattern, 2) if name == "assign" else hit
 
+    fits = {"assign": lambda x: F.length(x) >= 6, "mixed": lambda x: x.rlike("[0-9]") & x.rlike("[a-z]") & x.rlike("[A-Z]")}.get(name, lambda x: F.lit(True))
     rows = F.zip_with(hits, starts, lambda hit, at: F.struct(
-        at.alias("start"), F.lit(kind).alias("kind"), (at + F.length(hit)).alias("end"), F.lit(name).alias("name"), value(hit).alias("value")))
-    keep = {"assign": lambda x: F.length(x["value"]) >= 6, "mixed": lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[a-z]") & x["value"].rlike("[A-Z]")}.get(name)
-    rows = F.filter(rows, lambda x: x["name"].isNotNull() & (keep(x) if keep else F.lit(True)))
-    none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,name:string,value:string>>)")
-    return F.when(text.rlike(pattern), rows).otherwise(none)
+        at.alias("start"), F.lit(kind).alias("kind"), (at + F.length(hit)).alias("end"), F.lit(name).alias("name"), F.when(fits(value(hit)), F.sha2(value(hit), 256)).alias("sha256")))
+    return F.when(text.rlike(pattern), F.filter(rows, lambda x: x["sha256"].isNotNull())).otherwise(F.expr(f"cast(array() as {_SPANS})"))
+
+
+_SPANS = "array<struct<start:int,kind:int,end:int,name:string,sha256:string>>"
 
 
 def joined(spans: Column) -> Column:
@@ -55,48 +71,60 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["name"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repository: str | None = None, max_repositories: int = 3) -> DataFrame:
+def _meets(kinds: Column, row: str) -> Column:
+    """Does the span overlap another of those kinds in its text?  Over rows of spans."""
+    before = F.max(F.when(kinds, F.col("end"))).over(Window.partitionBy(row).orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.min(F.when(kinds, F.col("start"))).over(Window.partitionBy(row).orderBy("start").rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    return F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(after < F.col("end"), F.lit(False))
+
+
+def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repository: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, base array, added array, n_live long, n_copied long.
 
-    base and added hold (start, kind, end, name, value), by start and kind.  n_live counts a row's spans whose value
-    one owner alone holds, in at most max_repositories repositories; n_copied those that more owners hold.
-    repository: the column that names it; without one, each document is its own.
+    base and added hold (start, kind, end, name, sha256 of the value), by start and kind.  n_live counts a row's spans,
+    candidates included, whose value one owner alone holds, n_copied those that more owners hold: each is one or the other.
+    repository: the column that names it, for ownership(); without one, each document is its own.
     Null text: as empty, no spans.  Null owner or repository: one owner or repository of that name.  Repeated rows:
     one result each; they count once as a repository.  Other columns, of any name, are left out.  No rows: none.
     """
-    repo = F.col(repository) if repository else F.col(doc_id)
-    body = F.coalesce(F.col(text), F.lit(""))
-    found = [_found(F.col("body"), k, name, pattern) for k, (name, pattern) in enumerate(KINDS)]
-    scanned = docs.select(F.col(doc_id).alias("doc_id"), row_key(F.col(owner)).alias("owner"), row_key(repo).alias("repo"), body.alias("body"))
-    scanned = scanned.select("doc_id", "owner", "repo", F.array_sort(F.concat(*found[:BASE])).alias("base"), F.array_sort(F.concat(*found[BASE:])).alias("more"))
-    apart = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    apart = F.filter(apart, lambda m: (m["kind"] == BASE) | ~F.exists("more", lambda p: (p["kind"] == BASE) & (p["start"] < m["end"]) & (m["start"] < p["end"])))
-    scanned = scanned.withColumn("more", apart)
-    some = F.size("base") + F.size("more") > 0
-    scanned = scanned.withColumn("k", F.when(some, row_key("doc_id", "owner", "repo", F.to_json("base"), F.to_json("more"))))
-    scanned = materialize(scanned, "secrets")
+    return _told(*_counted(docs, doc_id, text, owner, repository))
+
 
+def ownership(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repository: str | None = None) -> DataFrame:
+    """sha256, owners, repositories (long): how many distinct ones hold each value, base kinds and candidates alike."""
+    return _counted(docs, doc_id, text, owner, repository)[2]
+
+
+def _counted(docs: DataFrame, doc_id: str, text: str, owner: str, repository: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows without a span, spans, and how many owners and repositories hold each value."""
+    docs, row = numbered(docs)
+    repo = named(repository) if repository else named(doc_id)
+    body = F.coalesce(named(text), F.lit(""))
+    found = [_found(F.col("body"), k, name, pattern) for k, (name, pattern) in enumerate(KINDS)]
+    scanned = docs.select(named(doc_id).alias("doc_id"), named(row).alias("row"), row_key(named(owner)).alias("owner"), row_key(repo).alias("repo"), body.alias("body"))
+    scanned = materialize(scanned.select("doc_id", "row", "owner", "repo", F.concat(*found).alias("spans")), "secrets")
+    spans = scanned.where(F.size("spans") > 0).select("doc_id", "row", "owner", "repo", F.inline("spans"))
+    spans = spans.withColumn("meets", _meets(F.col("kind") < BASE, "row")).where((F.col("kind") < BASE) | ~F.col("meets"))
+    spans = spans.withColumn("meets", _meets(F.col("kind") == BASE, "row")).where((F.col("kind") <= BASE) | ~F.col("meets")).drop("meets")
+    spans = materialize(spans, "spans")
     # one row per value, owner and repository before any count, so a value that a third of the corpus holds is spread out
-    held = scanned.where("k is not null").select("k", "owner", "repo", F.explode(F.concat("base", "more")).alias("s"))
-    held = held.select("k", "owner", "repo", F.sha2(F.col("s.value"), 256).alias("h"))
-    each = held.select("h", "owner", "repo").distinct().groupBy("h", "owner").agg(F.count(F.lit(1)).alias("repos"))
-    freq = materialize(each.groupBy("h").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos")), "frequency")
-    # the verdicts return by salted value, so that a hot value's documents are dealt to many tasks
-    salted = freq.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    asked = held.select("k", "h").distinct().withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(SALTS)).cast("int"))
-    live = (F.col("owners") == 1) & (F.col("repos") <= max_repositories)
-    told = asked.join(salted, ["h", "salt"]).groupBy("k").agg(
-        F.collect_set(F.when(live, F.col("h"))).alias("live"), F.collect_set(F.when(F.col("owners") > 1, F.col("h"))).alias("copied"))
-
-    def among(spans: str, hashes: str) -> Column:
-        return F.filter(spans, lambda s: F.array_contains(F.col(hashes), F.sha2(s["value"], 256)))
-
-    def count(name: str) -> Column:
-        return (F.size(among("base", name)) + F.size(among("more", name))).cast("long")
-
-    out = scanned.where("k is not null").join(told, "k").select("doc_id", "base", among("more", "live").alias("added"), count("live").alias("n_live"), count("copied").alias("n_copied"))
-    rest = scanned.where("k is null").select("doc_id", "base", F.col("more").alias("added"), F.lit(0).cast("long").alias("n_live"), F.lit(0).cast("long").alias("n_copied"))
-    return out.unionByName(rest)
+    each = spans.select("sha256", "owner", "repo").distinct().groupBy("sha256", "owner").agg(F.count(F.lit(1)).alias("repos"))
+    known = materialize(each.groupBy("sha256").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repositories")), "ownership")
+    return scanned.where(F.size("spans") == 0), spans, known
+
+
+def _told(without: DataFrame, spans: DataFrame, known: DataFrame) -> DataFrame:
+    # the verdicts return by salted value, so that a hot value's spans are dealt to many tasks
+    salted = known.select("sha256", "owners").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    asked = spans.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["sha256", "salt"])
+    span = F.struct("start", "kind", "end", "name", "sha256")
+    base, live = F.col("kind") < BASE, F.col("owners") == 1
+    told = asked.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.when(base, span))).alias("base"), F.array_sort(F.collect_list(F.when(~base & live, span))).alias("added"),
+        F.count(F.when(live, 1)).alias("n_live"), F.count(F.when(~live, 1)).alias("n_copied"))
+    none = F.expr(f"cast(array() as {_SPANS})")
+    rest = without.select("doc_id", none.alias("base"), none.alias("added"), F.lit(0).cast("long").alias("n_live"), F.lit(0).cast("long").alias("n_copied"))
+    return told.select("doc_id", "base", "added", "n_live", "n_copied").unionByName(rest)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ from palimpsest.llm import (
     warc,
 )
 from palimpsest.llm.common import connected_components
+from palimpsest.tables import scratch_dir
 
 # extra columns, some named like those that operators use inside
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, o long, th long, `key` string, h1 int, kept string, score double, item_id long, w string, size int, fp int, marks int"
@@ -85,7 +86,7 @@ def order(i):
 # 1
 
 
-def secrets_by_hand(rows, max_repositories=3):
+def secrets_by_hand(rows):
     per = []
     holders = defaultdict(lambda: defaultdict(set))
     for i, text, _, source, *_ in rows:
@@ -103,7 +104,7 @@ def secrets_by_hand(rows, max_repositories=3):
         for s in base + more:
             holders[s[4]][source].add((i,))
         per.append((i, base, more))
-    live = {v for v, h in holders.items() if len(h) == 1 and sum(map(len, h.values())) <= max_repositories}
+    live = {v for v, h in holders.items() if len(h) == 1}
     copied = {v for v, h in holders.items() if len(h) > 1}
     told = lambda spans: ",".join(f"{s[3]}:{s[0]}:{s[2]}" for s in sorted(spans))
     for i, base, more in per:
@@ -122,6 +123,36 @@ def test_secret_scan(docs, none):
     assert secret_scan.digest(secret_scan.scan_secrets(none)).count() == 0
 
 
+def test_secrets_of_one_owner_are_live_however_often_copied(spark):
+    key = "ghp_" + "a1B2" * 6
+    rows = [(i, f"{key} in copy", "one") for i in range(9)] + [(20 + i, "hf_" + "Q7r" * 8, f"o{i}") for i in range(2)] + [(30, "hf_" + "Z9x" * 8, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in secret_scan.scan_secrets(frame).collect()}
+    assert all(got[i].n_live == 1 and got[i].n_copied == 0 and got[i].added[0].name == "provider" for i in range(9))
+    assert got[20].added == [] and (got[20].n_live, got[20].n_copied) == (0, 1) and got[30].n_live == 1
+    held = {(r.owners, r.repositories) for r in secret_scan.ownership(frame).collect()}
+    assert held == {(1, 9), (2, 2), (1, 1)}
+
+
+def test_many_spans_in_one_text(spark):
+    text = " ".join(f"{'Ab1' * 8}x{i} {i:024x}" for i in range(20_000))
+    frame = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+    got = secret_scan.digest(secret_scan.scan_secrets(frame)).first()
+    want = next(secrets_by_hand([(1, text, None, "s")]))
+    assert (got.n_hex, got.base_sha256, got.spans == want["spans"]) == (20_000, want["base_sha256"], True)
+
+
+def test_no_value_is_written(spark):
+    import pathlib
+
+    secret = "ghp_" + "q7W9" * 7
+    folder = pathlib.Path(scratch_dir(spark).removeprefix("file:"))
+    before = set(folder.rglob("*.parquet"))
+    secret_scan.scan_secrets(spark.createDataFrame([(1, secret, "s")], "doc_id long, text string, source string").repartition(1)).collect()
+    new = [p for p in set(folder.rglob("*.parquet")) - before if "/rows-" not in str(p) and p.is_file()]  # a frame that comes from no file is written as it is
+    assert new and all(secret.encode() not in p.read_bytes() for p in new)
+
+
 def test_secret_scan_is_native(docs):
     plan = secret_scan.scan_secrets(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
