@@ -47,3 +47,14 @@ def test_query_without_sql_runs(spark, name):
     """Two documents of the smallest corpus may agree wholly, and so have no notes."""
     frame = entry.queries()[name](spark, FOLDER)
     assert len(frame.toArrow()) > 0 or name == "apparatus_notes"
+
+
+def test_syllables_with_a_chungs_equal_their_sql(spark, tmp_path):
+    texts = ["a ' b", "' a", "' ' a", "a ' ' ' b '", "don't 'tis it's", "'", "' '", "", None, "ཀ་འ་ཁ འ འ", "x_'_y|z/'", "plain text", "a'b' ' 'c"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = entry.queries()["display_syllables"](spark, str(tmp_path)).toArrow()
+    want = arrow(con.execute(entry.oracle_sql()["display_syllables"]))
+    assert counted(got, ["doc_id", "n", "joined"]) == counted(want, ["doc_id", "n", "joined"])
