@@ -14,9 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import remainder
+from palimpsest.llm.common import named, numbered, remainder
 
 BUCKETS = 1 << 15
+CHUNK = 1 << 16
 SLICES = 50
 
 
@@ -27,13 +28,23 @@ def _alphabet() -> np.ndarray:
 
 
 def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the text's trigrams around a letter, all else being one blank, and their counts."""
-    points = np.frombuffer((" " + (text or "").lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    """Buckets of the text's trigrams around a letter, all else being one blank, and their counts; CHUNK characters at a time."""
+    low = f" {(text or '').lower()} "
+    if len(low) <= CHUNK + 2:
+        return np.unique(_buckets(low), return_counts=True)
+    total = np.zeros(BUCKETS, np.int64)
+    for at in range(0, len(low) - 2, CHUNK):
+        total += np.bincount(_buckets(low[at : at + CHUNK + 2]), minlength=BUCKETS)
+    return np.flatnonzero(total), total[total > 0]
+
+
+def _buckets(low: str) -> np.ndarray:
+    points = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     letter = _alphabet()[points]
     points[~letter] = 32
     x = (points[:-2] * 0x9E3779B1 ^ points[1:-1] * 0x85EBCA77 ^ points[2:] * 0xC2B2AE3D)[letter[1:-1]]
     x = (x ^ x >> 17) * 0x27D4EB2F
-    return np.unique((x >> 15) % BUCKETS, return_counts=True)
+    return (x >> 15) % BUCKETS
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,14 +61,15 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows_a_language: int = 500) -> tuple[list[str], np.ndarray]:
     """Languages, and likelihoods as buckets x languages.
 
-    Learned from at most rows_a_language documents of each language: of SLICES slices of the ids' hash, the rows of least
-    hash in each.  The limit holds before the shuffle too, and a language's slices are dealt to many tasks.
+    Learned from at most rows_a_language rows of each language: of SLICES slices of the ids' hash, the rows of least hash
+    in each.  The limit holds before the shuffle too, whatever ids repeat, and a language's slices are dealt to many tasks.
     """
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull())
-    ids = labelled.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang")).withColumn("h", F.xxhash64("id"))
-    first = Window.partitionBy("lang", F.pmod("h", F.lit(SLICES))).orderBy("h", "id")
-    ids = ids.withColumn("r", F.row_number().over(first)).where(F.col("r") <= max(1, rows_a_language // SLICES)).select("id").distinct()
-    chosen = labelled.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(F.broadcast(ids), "id", "left_semi")
+    docs, row = numbered(docs)
+    labelled = docs.where(named(lang).isNotNull() & named(text).isNotNull() & named(doc_id).isNotNull())
+    ids = labelled.select(named(row).alias("row"), named(doc_id).alias("id"), named(lang).alias("lang")).withColumn("h", F.xxhash64("id"))
+    first = Window.partitionBy("lang", F.pmod("h", F.lit(SLICES))).orderBy("h", "id", "row")
+    ids = ids.withColumn("r", F.row_number().over(first)).where(F.col("r") <= max(1, rows_a_language // SLICES)).select("row")
+    chosen = labelled.select(named(row).alias("row"), named(lang).alias("lang"), named(text).alias("text")).join(F.broadcast(ids), "row", "left_semi")
     rows = chosen.select("lang", "text").mapInArrow(_counted, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(rows["lang"].to_pylist()))
     counts = np.zeros((BUCKETS, len(langs)))
@@ -130,7 +142,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], doc_id: str =
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = f"doc_id {dict(docs.dtypes)[doc_id]}, lang_pred string, score double, mixture array<struct<lang:string,share:double>>"
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_predicted(held), schema)
+    return docs.select(named(doc_id).alias("doc_id"), named(text).alias("text")).mapInArrow(_predicted(held), schema)
 
 
 def held_out_query(docs: DataFrame, rows_a_language: int = 500) -> DataFrame:

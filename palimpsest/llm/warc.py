@@ -2,26 +2,34 @@
 
 Writing: one record per page; of pages with equal payloads of min_revisit bytes or more, that of the least id is the
 response and the others revisit it.  A record is one string and "\\r\\n\\r\\n" the line separator, so Spark's text writer
-makes WARC files on any file system, gzip-compressed.
-Reading: files come whole (they hold at most RECORDS records), are walked record by record by Content-Length, and
+makes WARC files on any file system, gzip-compressed; pages are written by size class, so that a file holds FILE_BYTES
+of payload at most, or one page.
+Reading: files are inflated in pieces and walked record by record by Content-Length, one record held at a time, and
 every response's digest is computed anew from its payload.
 Index: each file yields one locally sorted run of captures.  Runs are cut at common splitters (a range partition over
-key, time and id, so one hot host spreads out), and each range merges its k run slices with a loser tree.
+key, time and id, so one hot host spreads out) into ranges of about RANGE_ROWS captures; a range holds its k run slices
+as Arrow columns and merges them with loser trees of FAN_IN runs at most, in as many passes as that takes, each run
+read through a cursor of CURSOR_ROWS rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import materialize, scratch_path
+from palimpsest.llm.common import materialize, named, scratch_path
 
-RECORDS = 5000
+FILE_BYTES = 64 << 20
+RANGE_ROWS = 100_000
+FAN_IN = 64
+CURSOR_ROWS = 256
 SALTS = 16
 _CRLF = "\r\n"
 _INDEX = "run string, offset long, length long, page_id long, url string, captured long, record_type string, payload_bytes long, payload_digest string, refers_to long"
@@ -77,28 +85,62 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     Null html: an empty payload.  Null url: an empty one.  Null id: revisits another page of that payload, if one has
     an id, else a response.  Repeated rows: a record each; those that share the least id are all responses.
     """
-    at = F.col(captured).cast("long") if captured else F.lit(1_704_067_200).cast("long") + F.coalesce(F.col(page_id), F.lit(0)).cast("long")
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), at.alias("captured"), F.coalesce(F.col(html), F.lit("")).alias("payload"))
+    at = named(captured).cast("long") if captured else F.lit(1_704_067_200).cast("long") + F.coalesce(named(page_id), F.lit(0)).cast("long")
+    rows = pages.select(named(page_id).cast("long").alias("page_id"), named(url).alias("url"), at.alias("captured"), F.coalesce(named(html), F.lit("")).alias("payload"))
     date = F.date_format(F.timestamp_seconds("captured"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    texts = classify(rows, min_revisit).select(record(date).alias("value"))
-    texts.write.option("lineSep", _CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
-
-
-def records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """Offset, length, headers and block of each record of an uncompressed archive."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode().split(_CRLF)
+    # classes of a fourfold range of sizes, each with as many records a file as FILE_BYTES hold of its largest
+    size = F.floor(F.log(4.0, F.greatest(F.octet_length("payload"), F.lit(1 << 12)).cast("double")) + 1e-9).cast("int")
+    classes = sorted(r.size for r in rows.select(size.alias("size")).distinct().collect())
+    found = classify(rows, min_revisit)
+    for k in classes or [6]:
+        texts = found.where(size == k).select(record(date).alias("value"))
+        texts.write.mode("append").option("lineSep", _CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", max(1, FILE_BYTES >> (2 * k + 2))).text(path)
+
+
+def inflated(data: pa.Buffer, piece: int = 1 << 16) -> Iterator[bytes]:
+    """The bytes of a gzip file of one member or several, from pieces of its own bytes."""
+    one = zlib.decompressobj(31)
+    for at in range(0, data.size, piece):
+        more = data.slice(at, min(piece, data.size - at)).to_pybytes()
+        while more:
+            if one.eof:
+                one = zlib.decompressobj(31)
+            out = one.decompress(more)
+            if out:
+                yield out
+            more = one.unused_data
+
+
+def records(pieces: Iterator[bytes]) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """Offset, length, headers and block of each record of an uncompressed archive; a record and a piece are held."""
+    held, offset = bytearray(), 0
+    pieces = iter(pieces)
+
+    def fill(until: int) -> bool:
+        while len(held) < until:
+            more = next(pieces, None)
+            if more is None:
+                return False
+            held.extend(more)
+        return True
+
+    while fill(1):
+        end = held.find(b"\r\n\r\n")
+        while end < 0:
+            if not fill(len(held) + 1):
+                raise ValueError(f"the headers at byte {offset} do not end")
+            end = held.find(b"\r\n\r\n")
+        version, *lines = held[:end].decode().split(_CRLF)
         if not version.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+            raise ValueError(f"no WARC record at byte {offset}")
         headers = dict(x.split(": ", 1) for x in lines)
         start = end + 4
         stop = start + int(headers["Content-Length"])
-        if data[stop : stop + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} does not end where its length says")
-        yield at, stop + 4 - at, headers, data[start:stop]
-        at = stop + 4
+        if not fill(stop + 4) or held[stop : stop + 4] != b"\r\n\r\n":
+            raise ValueError(f"the record at byte {offset} does not end where its length says")
+        yield offset, stop + 4, headers, bytes(held[start:stop])
+        offset += stop + 4
+        del held[: stop + 4]
 
 
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,9 +151,8 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.string() if x.endswith(" string") else pa.int64() for x in _INDEX.split(", ")]
     for batch in batches:
         for i in range(batch.num_rows):
-            data = zlib.decompress(batch.column(1)[i].as_buffer(), 31)
             rows = []
-            for offset, length, h, block in records(data):
+            for offset, length, h, block in records(inflated(batch.column(1)[i].as_buffer())):
                 kind = h["WARC-Type"]
                 head, _, payload = block.partition(b"\r\n\r\n")
                 size = int(head.rpartition(b"Content-Length: ")[2])
@@ -121,7 +162,6 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     raise ValueError(f"the payload at byte {offset} is not the one that was written")
                 own, other = (h[x][10:-1] if x in h else "" for x in ("WARC-Record-ID", "WARC-Refers-To"))
                 rows.append((batch.column(0)[i].as_py(), offset, length, int(own) if own else None, h["WARC-Target-URI"], timegm(strptime(h["WARC-Date"], "%Y-%m-%dT%H:%M:%SZ")), kind, size, digest, int(other) if other else None))
-            del data
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
@@ -135,11 +175,11 @@ def url_key(url: Column) -> Column:
 
 
 class LoserTree:
-    """Merges k sorted lists; each step replays one leaf's path of about log2 k comparisons."""
+    """Merges k sorted iterators, of which it holds the heads; each step replays one leaf's path of about log2 k comparisons."""
 
-    def __init__(self, runs: list[list[tuple]]) -> None:
-        self.runs, self.at = [r for r in runs if r], []
-        self.at = [0] * len(self.runs)
+    def __init__(self, runs: Iterable[Iterable[tuple]]) -> None:
+        self.runs = [iter(r) for r in runs]
+        self.heads = [next(r, None) for r in self.runs]
         k = self.k = len(self.runs)
         self.tree = [-1] * max(1, k)
         for leaf in range(k):
@@ -147,10 +187,9 @@ class LoserTree:
 
     def _less(self, a: int, b: int) -> bool:
         """Does a's head go before b's?  Spent runs go last; ties by run."""
-        x, y = self.at[a] < len(self.runs[a]), self.at[b] < len(self.runs[b])
-        if not (x and y):
-            return x or (not y and a < b)
-        p, q = self.runs[a][self.at[a]], self.runs[b][self.at[b]]
+        p, q = self.heads[a], self.heads[b]
+        if p is None or q is None:
+            return q is None and (p is not None or a < b)
         return p < q or p == q and a < b
 
     def _replay(self, leaf: int, building: bool = False) -> None:
@@ -165,28 +204,44 @@ class LoserTree:
         self.tree[0] = winner
 
     def __iter__(self) -> Iterator[tuple]:
-        while self.k and self.at[w := self.tree[0]] < len(self.runs[w]):
-            yield self.runs[w][self.at[w]]
-            self.at[w] += 1
+        while self.k and (head := self.heads[w := self.tree[0]]) is not None:
+            yield head
+            self.heads[w] = next(self.runs[w], None)
             self._replay(w)
 
 
+def merged(runs: list[Iterable[tuple]], fan_in: int = FAN_IN) -> Iterable[tuple]:
+    """All runs merged, by trees of fan_in runs at most whose outputs are runs again."""
+    while len(runs) > fan_in:
+        runs = [LoserTree(runs[i : i + fan_in]) for i in range(0, len(runs), fan_in)]
+    return LoserTree(runs)
+
+
+def _cursor(slices: list[pa.RecordBatch], run: int) -> Iterator[tuple]:
+    """(key, captured, page, run, place) of a run's rows; only CURSOR_ROWS of them are Python values at a time."""
+    place = 0
+    for batch in slices:
+        for at in range(0, batch.num_rows, CURSOR_ROWS):
+            some = batch.slice(at, CURSOR_ROWS)
+            for key, captured, page in zip(*(some.column(i).to_pylist() for i in range(3)), strict=True):
+                yield key, captured, -1 if page is None else page, run, place
+                place += 1
+
+
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    runs: dict[str, list[tuple]] = {}
-    schema = None
+    slices: dict[str, list[pa.RecordBatch]] = {}
     for batch in batches:
-        schema = batch.schema
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            key, captured, page, run, *rest = row
-            runs.setdefault(run, []).append((key, captured, -1 if page is None else page, *rest[:1], row))
-    out = []
-    for *_, row in LoserTree(list(runs.values())):
-        out.append(row)
-        if len(out) == 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-            out = []
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+        names = batch.column(3).to_numpy(zero_copy_only=False)
+        edges = np.r_[0, np.flatnonzero(names[1:] != names[:-1]) + 1, len(names)] if len(names) else [0]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            slices.setdefault(names[a], []).append(batch.slice(a, b - a))
+    if not slices:
+        return
+    whole = pa.Table.from_batches([x for run in slices.values() for x in run]).combine_chunks()
+    first = np.cumsum([0, *(sum(x.num_rows for x in run) for run in slices.values())])
+    order = (first[run] + place for *_, run, place in merged([_cursor(x, i) for i, x in enumerate(slices.values())]))
+    while some := list(islice(order, 10_000)):
+        yield from whole.take(pa.array(some)).combine_chunks().to_batches()
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -199,8 +254,9 @@ def capture_histories(index: DataFrame) -> DataFrame:
     """index of read_archives(), globally ordered by url_key, captured, page_id: partitions in order, rows in order."""
     runs = materialize(index.sortWithinPartitions("run", "url_key", "captured", "page_id", "offset"), "capture-runs")
     columns = ["url_key", "captured", "page_id", "run", "offset", "length", "url", "record_type", "payload_bytes", "payload_digest", "refers_to"]
-    ranges = runs.select(columns).repartitionByRange("url_key", "captured", "page_id").sortWithinPartitions("run", "url_key", "captured", "page_id", "offset")
-    return ranges.mapInArrow(_merged, ranges.schema)
+    ranges = max(1, -(-runs.count() // RANGE_ROWS), int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = runs.select(columns).repartitionByRange(ranges, "url_key", "captured", "page_id").sortWithinPartitions("run", "url_key", "captured", "page_id", "offset")
+    return dealt.mapInArrow(_merged, dealt.schema)
 
 
 def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
