@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.tokens import GENERIC, generic_norm, token_array
@@ -39,13 +39,32 @@ def align(witnesses: DataFrame, pattern: str = GENERIC, norm=generic_norm, merge
     without witness 0 has no rows; one whose texts are all empty has none either.  Each witness's cells, put together,
     are its text.
     vocabulary: see token_arrays().  aligner: from token arrays to placed cells, as operators.diff.place() does it.
+    Witnesses of equal text are aligned once: edit scripts, rows and the merge see the distinct texts of a collation.
     """
     ship(witnesses.sparkSession)
-    arrays = token_arrays(witnesses, pattern, norm, vocabulary)
-    n = witnesses.groupBy("collation_id").agg((F.max("witness_id").cast("int") + 1).alias("n"))
-    placed = written(aligner(arrays), "cells")  # edit scripts are computed once; the layout reads their cells twice
+    texts, members = distinct_texts(witnesses)
+    placed = written(aligner(token_arrays(texts, pattern, norm, vocabulary)), "cells")  # edit scripts are computed once; the layout reads their cells twice
+    n = members.select("collation_id", (F.array_max("of") + 1).alias("n"))
     wide = wide_rows(layout(placed), n)
-    return merge_rows(wide) if merged else wide
+    rows = (merge_rows(wide) if merged else wide).join(members, "collation_id")
+    return rows.select("collation_id", "row_id", F.transform("of", lambda d: F.get("cells", d)).alias("cells"))
+
+
+def distinct_texts(witnesses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct texts of each collation as witnesses, in order of their first one, and collation_id, of: which text each witness has.
+
+    Collations without witness 0 are left out.
+    """
+    groups = witnesses.groupBy("collation_id", F.coalesce("text", F.lit("")).alias("text")).agg(F.array_sort(F.collect_list(F.col("witness_id").cast("int"))).alias("ids"))
+    groups = written(groups.withColumn("first", F.get("ids", F.lit(0))), "texts")
+    # numbered over short rows; the texts join their numbers by hash
+    rank = (F.row_number().over(Window.partitionBy("collation_id").orderBy("first")) - 1).cast("int")
+    numbers = groups.select("collation_id", "first", "ids").withColumn("d", rank)
+    each = F.flatten(F.collect_list(F.transform("ids", lambda w: F.struct(w.alias("w"), F.col("d").alias("d")))))
+    members = numbers.groupBy("collation_id").agg(F.array_sort(each).alias("of"), F.min("first").alias("base")).where("base = 0")
+    members = written(members.select("collation_id", F.transform("of", lambda x: x["d"]).alias("of")), "members")
+    texts = groups.select("collation_id", "first", "text").join(numbers.select("collation_id", "first", "d"), ["collation_id", "first"])
+    return texts.select("collation_id", F.col("d").alias("witness_id"), "text"), members
 
 
 def segments(wide: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Every registered query of the collation engine, with its SQL.
 
 Witnesses come from documents: blocks of three neighbouring ids aligned by token position (which SQL can express), or
-documents whose lines of least hash agree, aligned by edit script.
+near copies by their word shingles, aligned by edit script.
 """
 
 from __future__ import annotations
@@ -251,7 +251,7 @@ def transpose(spark, sf_dir):
 
 @_query(f"WITH {_SQL_WEIGHTED} SELECT collation_id, row_id, witness_id, weight FROM g")
 def count_weights(spark, sf_dir):
-    return _weighted(spark, sf_dir).select("collation_id", "row_id", F.inline("cells")).select("collation_id", "row_id", "witness_id", "weight")
+    return _weighted(spark, sf_dir).select("collation_id", "row_id", F.inline_outer("cells")).select("collation_id", "row_id", "witness_id", "weight")
 
 
 @_query(f"""WITH {_SQL_WEIGHTED}, x AS (SELECT *, CASE WHEN text IS NULL THEN NULL ELSE 10 * length(text) % 101 END AS y, CASE WHEN witness_id = 1 THEN 50 WHEN witness_id = 2 THEN 0 END AS z FROM g),
@@ -282,7 +282,8 @@ def csv_cells(spark, sf_dir):
 
 @_query(f"WITH {_SQL_GROUPS} SELECT collation_id, row_id, reading, codes FROM e")
 def note_groups(spark, sf_dir):
-    rows = serialize.voted_rows(_weighted(spark, sf_dir)).where("differs").select("collation_id", "row_id", F.inline("groups"))
+    # the outer form, as the optimizer would otherwise work the groups out once more to see if there are any
+    rows = serialize.voted_rows(_weighted(spark, sf_dir)).select("collation_id", "row_id", F.inline_outer("groups")).where("reading is not null")
     return rows.select("collation_id", "row_id", "reading", F.array_join("codes", ",").alias("codes"))
 
 
@@ -322,10 +323,15 @@ def confidence_min(spark, sf_dir):
 # alignments
 
 _SQL_COPIES = _SQL_DOCS + (
-    ", l AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: length(x) >= 20) AS lines FROM docs)"
-    ", q AS (SELECT doc_id, text, list_sort(list_distinct(list_transform(lines, lambda x: md5(x))))[1:2] AS k FROM l WHERE len(lines) > 0)"
-    ", h AS (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY k) AS collation_id, count(*) OVER (PARTITION BY k) AS n FROM q)"
-    ", c AS (SELECT collation_id, CAST(row_number() OVER (PARTITION BY collation_id ORDER BY doc_id) - 1 AS INTEGER) AS witness_id, doc_id, text FROM h WHERE n > 1)"
+    r", l AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM docs)"
+    ", x AS (SELECT doc_id, len(w) AS n, unnest(w) AS t, unnest(range(len(w))) AS p FROM l)"
+    ", z AS (SELECT doc_id, n, p, concat_ws(' ', t, lead(t, 1) OVER o, lead(t, 2) OVER o, lead(t, 3) OVER o, lead(t, 4) OVER o) AS s FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY p))"
+    ", s AS (SELECT DISTINCT doc_id, s FROM z WHERE p <= greatest(n - 5, 0))"
+    ", q AS (SELECT doc_id, count(*) AS m, array_to_string(list_sort(list(md5(s)))[1:2], '') AS k FROM s GROUP BY doc_id)"
+    ", g AS (SELECT k, min(doc_id) AS collation_id FROM q GROUP BY k HAVING count(*) > 1), h AS (SELECT doc_id, m, collation_id FROM q JOIN g USING (k))"
+    ", i AS (SELECT h.doc_id, h.collation_id, h.m + b.m AS n, count(*) AS same FROM h JOIN h AS b ON b.doc_id = h.collation_id JOIN s ON s.doc_id = h.doc_id JOIN s AS r ON r.doc_id = h.collation_id AND r.s = s.s GROUP BY ALL)"
+    ", v AS (SELECT collation_id, doc_id, count(*) OVER (PARTITION BY collation_id) AS m FROM i WHERE 5 * same >= 4 * (n - same))"
+    ", c AS (SELECT collation_id, CAST(row_number() OVER (PARTITION BY collation_id ORDER BY doc_id) - 1 AS INTEGER) AS witness_id, doc_id, text FROM v JOIN docs USING (doc_id) WHERE m > 1)"
 )
 
 
