@@ -11,6 +11,8 @@ so a text of many costs no more a span than one of few.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,18 +32,24 @@ SALTS = 16
 _RUN = 256
 
 
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, which is worked out once; an expression inside a lambda would be worked out at each of its calls."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def _upto(sizes: Column) -> Column:
-    """Running sums of an array of int, each without its own: in runs of _RUN, so that nothing grows with the square."""
+    """Running sums of an array of int (a computed value), each without its own: in runs of _RUN, so that nothing grows with the square."""
     none = F.expr("cast(array() as array<int>)")
 
     def scan(x: Column, start: Column) -> Column:
         first = F.struct(start.alias("at"), none.alias("sums"))
         return F.aggregate(x, first, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["sums"], F.array(s["at"])).alias("sums")))["sums"]
 
+    def joined(runs: Column) -> Column:
+        return F.flatten(F.zip_with(runs, scan(F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda x, y: x + y)), F.lit(0)), scan))
+
     runs = F.transform(F.sequence(F.lit(0), F.ceil(F.size(sizes) / _RUN).cast("int") - 1), lambda i: F.slice(sizes, i * _RUN + 1, F.lit(_RUN)))
-    starts = scan(F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda x, y: x + y)), F.lit(0))
-    long = F.flatten(F.zip_with(runs, starts, scan))
-    return F.when(F.size(sizes) == 0, none).when(F.size(sizes) <= _RUN, scan(sizes, F.lit(0))).otherwise(long)
+    return F.when(F.size(sizes) <= _RUN, scan(sizes, F.lit(0))).otherwise(_let(runs, joined))
 
 
 def _found(text: Column, kind: int, name: str, pattern: str) -> Column:
@@ -49,18 +57,19 @@ def _found(text: Column, kind: int, name: str, pattern: str) -> Column:
 
     Matches are never empty, so the text is gap, match, gap, match, ..., gap: positions are sums of their lengths.
     """
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gap, hit = F.transform(gaps, F.length), F.transform(hits, F.length)
-    pairs = F.zip_with(F.slice(gap, 1, F.size(hits)), hit, lambda g, m: g + m)
-    starts = F.zip_with(_upto(pairs), F.slice(gap, 1, F.size(hits)), lambda s, g: s + g)
+    fits = {"assign": lambda x: F.length(x) >= 6, "mixed": lambda x: x.rlike("[0-9]") & x.rlike("[a-z]") & x.rlike("[A-Z]")}.get(name, lambda x: F.lit(True))
 
-    def value(hit: Column) -> Column:
-        return F.regexp_extract(hit, pattern, 2) if name == "assign" else hit
+    def row(hit: Column, at: Column) -> Column:
+        value = F.regexp_extract(hit, pattern, 2) if name == "assign" else hit
+        return F.struct(at.alias("start"), F.lit(kind).alias("kind"), (at + F.length(hit)).alias("end"), F.lit(name).alias("name"), F.when(fits(value), F.sha2(value, 256)).alias("sha256"))
 
-    fits = {"assign": lambda x: F.length(x) >= 6, "mixed": lambda x: x.rlike("[0-9]") & x.rlike("[a-z]") & x.rlike("[A-Z]")}.get(name, lambda x: F.lit(True))
-    rows = F.zip_with(hits, starts, lambda hit, at: F.struct(
-        at.alias("start"), F.lit(kind).alias("kind"), (at + F.length(hit)).alias("end"), F.lit(name).alias("name"), F.when(fits(value(hit)), F.sha2(value(hit), 256)).alias("sha256")))
-    return F.when(text.rlike(pattern), F.filter(rows, lambda x: x["sha256"].isNotNull())).otherwise(F.expr(f"cast(array() as {_SPANS})"))
+    def rows(v: Column) -> Column:
+        gap = F.slice(v["gap"], 1, F.size(v["hits"]))
+        sums = _let(F.zip_with(gap, v["hits"], lambda g, m: g + F.length(m)), _upto)
+        return F.zip_with(v["hits"], F.zip_with(sums, gap, lambda s, g: s + g), row)
+
+    pieces = F.struct(F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
+    return F.when(text.rlike(pattern), F.filter(_let(pieces, rows), lambda x: x["sha256"].isNotNull())).otherwise(F.expr(f"cast(array() as {_SPANS})"))
 
 
 _SPANS = "array<struct<start:int,kind:int,end:int,name:string,sha256:string>>"
@@ -73,8 +82,10 @@ def joined(spans: Column) -> Column:
 
 def _meets(kinds: Column, row: str) -> Column:
     """Does the span overlap another of those kinds in its text?  Over rows of spans."""
-    before = F.max(F.when(kinds, F.col("end"))).over(Window.partitionBy(row).orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.min(F.when(kinds, F.col("start"))).over(Window.partitionBy(row).orderBy("start").rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    # both frames grow with the row, the second in the order from the end: a frame that shrinks would be summed up anew for each row
+    rows = Window.partitionBy(row).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.max(F.when(kinds, F.col("end"))).over(rows.orderBy("start"))
+    after = F.min(F.when(kinds, F.col("start"))).over(rows.orderBy(F.col("start").desc()))
     return F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(after < F.col("end"), F.lit(False))
 
 
