@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.shipping import ship
+
 MAX_EDITS = 400
 Script = list[tuple[str, int]]
 
@@ -213,6 +215,7 @@ def _pairs(arrays: DataFrame) -> DataFrame:
 
 def edit_scripts(arrays: DataFrame) -> DataFrame:
     """collation_id, witness_id, script: of each witness of arrays(collation_id, witness_id, norms) against witness 0."""
+    ship(arrays.sparkSession)
     kinds = dict(arrays.dtypes)
     pairs = _pairs(arrays).where("witness_id > 0").select("collation_id", "witness_id", "base", "norms")
     return pairs.mapInArrow(_scripted, f"collation_id {kinds['collation_id']}, witness_id {kinds['witness_id']}, script array<struct<op:string,n:int>>")
@@ -220,6 +223,7 @@ def edit_scripts(arrays: DataFrame) -> DataFrame:
 
 def place(arrays: DataFrame) -> DataFrame:
     """collation_id, witness_id, anchor, slot, start, end, incr, text: cells of arrays(collation_id, witness_id, norms, tokens)."""
+    ship(arrays.sparkSession)
     kinds = dict(arrays.dtypes)
     pairs = _pairs(arrays).select("collation_id", "witness_id", "base", "norms", "tokens")
     rows = pairs.mapInArrow(_placed, f"collation_id {kinds['collation_id']}, witness_id {kinds['witness_id']}, cells {_CELL}")

@@ -351,8 +351,8 @@ def align_roundtrip(spark, sf_dir):
     return witness_rows(cells).select("collation_id", "witness_id", F.md5(F.array_join(F.transform("cells", lambda c: c["text"]), "")).alias("text"))
 
 
-@_query(f"""WITH {_SQL_COPIES}, z AS (SELECT collation_id, witness_id, len(regexp_extract_all(text, '{TOKEN}')) AS n, len(list_filter(regexp_extract_all(text, '{TOKEN}'), lambda x: regexp_replace(lower(x), '\\s+$', '') = '')) AS blank FROM c)
-    SELECT z.collation_id, z.witness_id, y.n - y.blank AS base_tokens, z.n - z.blank AS own_tokens FROM z JOIN z AS y ON y.collation_id = z.collation_id AND y.witness_id = 0 WHERE z.witness_id > 0""")
+@_query(f"""WITH {_SQL_COPIES}, lengths AS (SELECT collation_id, witness_id, len(regexp_extract_all(text, '{TOKEN}')) AS n, len(list_filter(regexp_extract_all(text, '{TOKEN}'), lambda x: regexp_replace(lower(x), '\\s+$', '') = '')) AS blank FROM c)
+    SELECT a.collation_id, a.witness_id, b.n - b.blank AS base_tokens, a.n - a.blank AS own_tokens FROM lengths AS a JOIN lengths AS b ON b.collation_id = a.collation_id AND b.witness_id = 0 WHERE a.witness_id > 0""")
 def script_coverage(spark, sf_dir):
     """What edit scripts delete, keep and insert adds up to both texts."""
     arrays = token_arrays(_copies(spark, sf_dir), TOKEN, _norm)
