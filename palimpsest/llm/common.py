@@ -49,11 +49,16 @@ def numbered(docs: DataFrame, name: str = "_row") -> tuple[DataFrame, str]:
     that come from no file are written first.
     """
     name = fresh(docs, name)
-    place = F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i")).alias(name)
+
+    def placed(df: DataFrame) -> DataFrame:
+        # asked for as metadata, it is the file's even where a column has the same name
+        at = df.metadataColumn("_metadata")
+        return df.select("*", F.struct(F.xxhash64(at["file_path"]).alias("f"), at["row_index"].alias("i")).alias(name))
+
     try:
-        return docs.select("*", place), name
+        return placed(docs), name
     except AnalysisException:
-        return materialize(docs, "rows").select("*", place), name
+        return placed(materialize(docs, "rows")), name
 
 
 def prefix_sums(sums: DataFrame, block: str, value: str, by: str | None = None) -> DataFrame:

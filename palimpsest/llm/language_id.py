@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import named, numbered, remainder
+from palimpsest.shipping import ship
 
 BUCKETS = 1 << 15
 CHUNK = 1 << 16
@@ -64,6 +65,7 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     Learned from at most rows_a_language rows of each language: of SLICES slices of the ids' hash, the rows of least hash
     in each.  The limit holds before the shuffle too, whatever ids repeat, and a language's slices are dealt to many tasks.
     """
+    ship(docs.sparkSession)
     docs, row = numbered(docs)
     labelled = docs.where(named(lang).isNotNull() & named(text).isNotNull() & named(doc_id).isNotNull())
     ids = labelled.select(named(row).alias("row"), named(doc_id).alias("id"), named(lang).alias("lang")).withColumn("h", F.xxhash64("id"))
@@ -140,6 +142,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], doc_id: str =
     Only the text is read.  Null text, a text without a letter, or a model of no language: und, score 0, no mixture.
     Null ids and repeated rows: a row each.  Other columns, of any name, are left out.  No rows: none.
     """
+    ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = f"doc_id {dict(docs.dtypes)[doc_id]}, lang_pred string, score double, mixture array<struct<lang:string,share:double>>"
     return docs.select(named(doc_id).alias("doc_id"), named(text).alias("text")).mapInArrow(_predicted(held), schema)

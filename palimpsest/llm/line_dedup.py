@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.llm.common import materialize, named
+from palimpsest.shipping import ship
 
 _LAST = 2**63 - 1
 _NAMES = ["h1", "h2", "o", "th", "pos", "lead", "docs"]
@@ -125,6 +126,7 @@ def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     Null text: as empty, one empty line.  Null id: one document, larger than all others.  Rows of one id are one
     document; repeated rows have equal results; ids are integers.  Other columns, of any name, are left out or inside row.  No rows: none.
     """
+    ship(docs.sparkSession)
     own = docs.select(
         named(doc_id).alias("doc_id"), F.coalesce(named(doc_id).cast("long"), F.lit(_LAST)).alias("o"), F.xxhash64(named(text)).alias("th"), named(text).alias("text"),
         F.struct(*(named(c) for c in docs.columns if c != text)).alias("row"))

@@ -126,7 +126,7 @@ def holds(rule: Rule, x: np.ndarray) -> np.ndarray:
 
 
 def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, penalty: float = 5e-4, seed: int = 7) -> Ensemble:
-    """x: rows x FEATURES; y: 0 or 1.  One class only, or no row: a constant (the class's share, smoothed)."""
+    """x: rows x FEATURES; y: 0 or 1.  One class only, no row, or rows that no rule tells apart: a constant (the share of 1, smoothed)."""
     prior = (y.sum() + 1) / (len(y) + 2)
     base = float(np.log(prior / (1 - prior)))
     if len(set(y.tolist())) < 2:
@@ -148,6 +148,8 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, penalty:
             seen.add(print_)
             columns.append(on)
             kept.append(rule)
+    if not kept:
+        return Ensemble(base, ())
     a = np.stack(columns, 1).astype(np.float32)
     mean = a.mean(0)
     scale = np.sqrt(mean * (1 - mean)) + 0.05

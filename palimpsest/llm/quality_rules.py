@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.shipping import ship
+
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 _UPPER = re.compile("[A-ZÀ-ÖØ-Þ]+")
@@ -116,6 +118,7 @@ def estimate(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULE
 
     A fixed number of rows serves a corpus of any size, as an estimate's error depends on the sample alone.
     """
+    ship(docs.sparkSession)
     share = min(1.0, 2.0 * sample_rows / max(1, docs.count()))
     picked = docs.select(F.col(text).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).limit(sample_rows)
     names = [r.name for r in rules]
@@ -178,6 +181,7 @@ def apply_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sta
     left out.  No rows: none, and the rules keep their order.  Which rule rejects first may differ between runs, since
     costs are measured; kept does not.
     """
+    ship(docs.sparkSession)
     order = tuple(r.name for r in ordered(RULES, estimate(docs, text, RULES, sample_rows)))
     schema = "doc_id " + dict(docs.dtypes)[doc_id] + ", kept boolean, rejected_by string"
     if stats:

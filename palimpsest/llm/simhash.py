@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import connected_components, discard, materialize, named
+from palimpsest.shipping import ship
 
 BITS = 3
 SHINGLE = 3
@@ -63,6 +64,7 @@ def _printed(shingle: int):
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp long (the 64 bits)."""
+    ship(docs.sparkSession)
     own = docs.select(named(doc_id).alias("doc_id"), named(text).alias("text"))
     return own.mapInArrow(_printed(shingle), f"doc_id {own.schema[0].dataType.simpleString()}, fp long")
 
@@ -143,6 +145,7 @@ def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 
 def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
     """a, b: pairs of distinct fingerprints of prints(fp) that link up all that are within bits (0 to 3) of each other."""
+    ship(prints.sparkSession)
     if not 0 <= bits <= 3:
         raise ValueError("two segments serve 3 differing bits at most")
     probes = materialize(prints.select("fp").mapInArrow(_probes, "key long, fp long, own boolean"), "probes")
@@ -344,6 +347,7 @@ def _verified(similarity: float):
 
 def near_links(nodes: DataFrame) -> DataFrame:
     """a, b: candidate links between the nodes(key long, parts) of different texts, from the tables of all segments."""
+    ship(nodes.sparkSession)
     entered = nodes.select("key", "parts", "brief").mapInArrow(_entries, "at long, key long")
     met = materialize(entered.repartition("at").sortWithinPartitions("at").mapInArrow(_met, "at long, key long"), "met")
     dealt = met.join(nodes.select("key", "parts"), "key").select("at", "key", "parts")
@@ -359,6 +363,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
     rows: none.  A pair of texts over 80 shingles is missed only if its fingerprints differ too much in all 16 segments; the
     README has the measured recall.
     """
+    ship(docs.sparkSession)
     kind = docs.select(named(doc_id)).schema[0].dataType.simpleString()
     texts = docs.select(named(doc_id).alias("doc_id"), named(text).alias("text"))
     own = materialize(texts.mapInArrow(_signed(shingle, similarity), f"doc_id {kind}, key long, parts array<int>, brief array<long>"), "signatures")

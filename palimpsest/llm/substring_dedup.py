@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import discard, materialize, named
+from palimpsest.shipping import ship
 
 GRAM = 5
 HOT = 1000
@@ -352,6 +353,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     are integers.
     Other columns, of any name, are left out.  No rows: none.
     """
+    ship(docs.sparkSession)
     if not GRAM <= min_words <= 60:
         raise ValueError("min_words must be 5 to 60")
     # rows of one id are told apart by a hash of the text; where ids are unique it is left out of what is shuffled

@@ -25,11 +25,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import materialize, named, scratch_path
+from palimpsest.shipping import ship
 
 FILE_BYTES = 64 << 20
 RANGE_ROWS = 100_000
 FAN_IN = 64
 CURSOR_ROWS = 256
+FIRST_SECOND, LAST_SECOND = -62_135_596_800, 253_402_300_799
 SALTS = 16
 _CRLF = "\r\n"
 _INDEX = "run string, offset long, length long, page_id long, url string, captured long, record_type string, payload_bytes long, payload_digest string, refers_to long"
@@ -81,13 +83,21 @@ def record(date: Column) -> Column:
 def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", captured: str | None = None, min_revisit: int = 100) -> None:
     """Write pages as gzip-compressed WARC files into path.
 
-    captured: a column of seconds since 1970; without one, page ids are taken for seconds after the start of 2024.
+    captured: a column of seconds since 1970 (times before the year 1 or after 9999 are written as its first or last second);
+    without one, page ids, modulo 2^32, are taken for seconds after the start of 2024.  Ids are integers.  Dates are in UTC,
+    whatever the session's time zone.  Other columns, of any name, are left out.  No rows: no archive.
     Null html: an empty payload.  Null url: an empty one.  Null id: revisits another page of that payload, if one has
     an id, else a response.  Repeated rows: a record each; those that share the least id are all responses.
     """
-    at = named(captured).cast("long") if captured else F.lit(1_704_067_200).cast("long") + F.coalesce(named(page_id), F.lit(0)).cast("long")
+    if captured:
+        at = F.greatest(F.lit(FIRST_SECOND), F.least(F.lit(LAST_SECOND), F.coalesce(named(captured).cast("long"), F.lit(0))))
+    else:
+        at = F.lit(1_704_067_200) + F.pmod(F.coalesce(named(page_id).cast("long"), F.lit(0)), F.lit(1 << 32))
     rows = pages.select(named(page_id).cast("long").alias("page_id"), named(url).alias("url"), at.alias("captured"), F.coalesce(named(html), F.lit("")).alias("payload"))
-    date = F.date_format(F.timestamp_seconds("captured"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    # a timestamp would be told in the session's time zone
+    day, second = F.date_from_unix_date(F.floor(F.col("captured") / 86400).cast("int")), F.pmod("captured", F.lit(86400))
+    clock = F.format_string("T%02d:%02d:%02dZ", F.floor(second / 3600), F.floor(second / 60) % 60, second % 60)
+    date = F.concat(day.cast("string"), clock)
     # classes of a fourfold range of sizes, each with as many records a file as FILE_BYTES hold of its largest
     size = F.floor(F.log(4.0, F.greatest(F.octet_length("payload"), F.lit(1 << 12)).cast("double")) + 1e-9).cast("int")
     classes = sorted(r.size for r in rows.select(size.alias("size")).distinct().collect())
@@ -246,12 +256,14 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per record, locally sorted by file: run, offset and length in the uncompressed file, and what it says."""
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     return files.mapInArrow(_indexed, _INDEX).withColumn("url_key", url_key(F.col("url")))
 
 
 def capture_histories(index: DataFrame) -> DataFrame:
     """index of read_archives(), globally ordered by url_key, captured, page_id: partitions in order, rows in order."""
+    ship(index.sparkSession)
     runs = materialize(index.sortWithinPartitions("run", "url_key", "captured", "page_id", "offset"), "capture-runs")
     columns = ["url_key", "captured", "page_id", "run", "offset", "length", "url", "record_type", "payload_bytes", "payload_digest", "refers_to"]
     ranges = max(1, -(-runs.count() // RANGE_ROWS), int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
