@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import decontamination, language_id, line_dedup, mixing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, warc
+from palimpsest.llm import decontamination, filter_audit, language_id, line_dedup, mixing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, warc
 from palimpsest.llm.common import table
 
 
@@ -50,5 +50,9 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.held_out_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
