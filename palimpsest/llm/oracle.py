@@ -94,6 +94,22 @@ MIX = f"""WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS siz
     FROM u JOIN t ON u.source IS NOT DISTINCT FROM t.source"""
 
 
+PHRASES = r"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+    z AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(pieces) AS piece FROM d)),
+    g AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM z, (SELECT unnest(range(1, 6)) AS m)),
+    f AS (SELECT lang, w[i:i + m - 1] AS path, count(*) AS a FROM g GROUP BY ALL),
+    t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM z GROUP BY lang),
+    c AS (SELECT * FROM f WHERE len(path) > 1 AND a >= 100),
+    k AS (SELECT *, unnest(range(1, len(path))) AS k FROM c),
+    s AS (SELECT k.lang, k.path, k.a, k.k, l.a AS l, r.a AS r, n, CAST((1000::HUGEINT * k.a * n) // (l.a::HUGEINT * r.a) AS BIGINT) AS score
+        FROM k JOIN f AS l ON l.lang = k.lang AND l.path = k.path[1:k.k] JOIN f AS r ON r.lang = k.lang AND r.path = k.path[k.k + 1:len(k.path)] JOIN t ON t.lang = k.lang),
+    b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, path ORDER BY score, k) = 1),
+    i AS (SELECT lang, path, a, unnest(range(1, len(path) + 1)) AS i FROM c),
+    j AS (SELECT *, unnest(range(i + 1, len(path) + 1)) AS j FROM i),
+    inside AS (SELECT lang, path[i:j] AS part, max(a) AS most FROM j WHERE j - i + 1 < len(path) GROUP BY ALL),
+    o AS (SELECT b.*, array_to_string(b.path, ' ') AS phrase FROM b LEFT JOIN inside ON inside.lang = b.lang AND inside.part = b.path WHERE most IS NULL OR 100 * most < 100 * a)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o QUALIFY rank <= 2000"""
+
 FILTERS = r"""WITH docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
     w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM docs),
     lab AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
@@ -124,5 +140,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_warc": PAGES,
         "op7_decontamination": LEAKS,
         "op9_mixing": MIX,
+        "op12_collocations": PHRASES,
         "op13_filter_audit": FILTERS,
     }

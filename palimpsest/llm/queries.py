@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import decontamination, filter_audit, language_id, line_dedup, mixing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, warc
+from palimpsest.llm import collocations, decontamination, filter_audit, language_id, line_dedup, mixing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, warc
 from palimpsest.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.held_out_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top_phrases(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
