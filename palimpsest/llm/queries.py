@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import collocations, decontamination, filter_audit, language_id, line_dedup, mixing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, warc
+from palimpsest.llm import collocations, decontamination, filter_audit, language_id, line_dedup, mixing, packing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, warc
 from palimpsest.llm.common import table
 
 
@@ -50,6 +50,13 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.held_out_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), sequence=1024, end_id=2)
+    return packing.digest(packing.pack(pieces))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.top_phrases(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
 
