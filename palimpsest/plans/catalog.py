@@ -322,16 +322,17 @@ def confidence_min(spark, sf_dir):
 
 # alignments
 
+# Pairs by exact Jaccard similarity over all shingles, then what hangs together by them.
 _SQL_COPIES = _SQL_DOCS + (
     r", l AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM docs)"
     ", x AS (SELECT doc_id, len(w) AS n, unnest(w) AS t, unnest(range(len(w))) AS p FROM l)"
     ", z AS (SELECT doc_id, n, p, concat_ws(' ', t, lead(t, 1) OVER o, lead(t, 2) OVER o, lead(t, 3) OVER o, lead(t, 4) OVER o) AS s FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY p))"
-    ", s AS (SELECT DISTINCT doc_id, s FROM z WHERE p <= greatest(n - 5, 0))"
-    ", q AS (SELECT doc_id, count(*) AS m, array_to_string(list_sort(list(md5(s)))[1:2], '') AS k FROM s GROUP BY doc_id)"
-    ", g AS (SELECT k, min(doc_id) AS collation_id FROM q GROUP BY k HAVING count(*) > 1), h AS (SELECT doc_id, m, collation_id FROM q JOIN g USING (k))"
-    ", i AS (SELECT h.doc_id, h.collation_id, h.m + b.m AS n, count(*) AS same FROM h JOIN h AS b ON b.doc_id = h.collation_id JOIN s ON s.doc_id = h.doc_id JOIN s AS r ON r.doc_id = h.collation_id AND r.s = s.s GROUP BY ALL)"
-    ", v AS (SELECT collation_id, doc_id, count(*) OVER (PARTITION BY collation_id) AS m FROM i WHERE 5 * same >= 4 * (n - same))"
-    ", c AS (SELECT collation_id, CAST(row_number() OVER (PARTITION BY collation_id ORDER BY doc_id) - 1 AS INTEGER) AS witness_id, doc_id, text FROM v JOIN docs USING (doc_id) WHERE m > 1)"
+    ", s AS (SELECT DISTINCT doc_id, s FROM z WHERE p <= greatest(n - 5, 0)), m AS (SELECT doc_id, count(*) AS m FROM s GROUP BY doc_id)"
+    ", i AS (SELECT a.doc_id, b.doc_id AS other, count(*) AS same FROM s AS a JOIN s AS b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL)"
+    ", e AS (SELECT i.doc_id, other FROM i JOIN m AS a ON a.doc_id = i.doc_id JOIN m AS b ON b.doc_id = other WHERE 5 * same >= 4 * (a.m + b.m - same))"
+    ", reach AS (SELECT DISTINCT doc_id, doc_id AS root FROM e UNION SELECT e.other AS doc_id, root FROM reach JOIN e USING (doc_id))"
+    ", v AS (SELECT min(root) AS collation_id, doc_id FROM reach GROUP BY doc_id)"
+    ", c AS (SELECT collation_id, CAST(row_number() OVER (PARTITION BY collation_id ORDER BY doc_id) - 1 AS INTEGER) AS witness_id, doc_id, text FROM v JOIN docs USING (doc_id))"
 )
 
 
@@ -340,18 +341,18 @@ def _copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(sources.near_copies(_documents(spark, sf_dir)), "near-copies")
 
 
-@_query(f"WITH {_SQL_COPIES} SELECT collation_id, witness_id, doc_id FROM c")
+@_query(f"WITH RECURSIVE {_SQL_COPIES} SELECT collation_id, witness_id, doc_id FROM c")
 def near_copies(spark, sf_dir):
     return _copies(spark, sf_dir).select("collation_id", "witness_id", "doc_id")
 
 
-@_query(f"WITH {_SQL_COPIES} SELECT collation_id, witness_id, md5(text) AS text FROM c")
+@_query(f"WITH RECURSIVE {_SQL_COPIES} SELECT collation_id, witness_id, md5(text) AS text FROM c")
 def align_roundtrip(spark, sf_dir):
     cells = long_rows(align(_copies(spark, sf_dir), TOKEN, _norm))
     return witness_rows(cells).select("collation_id", "witness_id", F.md5(F.array_join(F.transform("cells", lambda c: c["text"]), "")).alias("text"))
 
 
-@_query(f"""WITH {_SQL_COPIES}, lengths AS (SELECT collation_id, witness_id, len(regexp_extract_all(text, '{TOKEN}')) AS n, len(list_filter(regexp_extract_all(text, '{TOKEN}'), lambda x: regexp_replace(lower(x), '\\s+$', '') = '')) AS blank FROM c)
+@_query(f"""WITH RECURSIVE {_SQL_COPIES}, lengths AS (SELECT collation_id, witness_id, len(regexp_extract_all(text, '{TOKEN}')) AS n, len(list_filter(regexp_extract_all(text, '{TOKEN}'), lambda x: regexp_replace(lower(x), '\\s+$', '') = '')) AS blank FROM c)
     SELECT a.collation_id, a.witness_id, b.n - b.blank AS base_tokens, a.n - a.blank AS own_tokens FROM lengths AS a JOIN lengths AS b ON b.collation_id = a.collation_id AND b.witness_id = 0 WHERE a.witness_id > 0""")
 def script_coverage(spark, sf_dir):
     """What edit scripts delete, keep and insert adds up to both texts."""

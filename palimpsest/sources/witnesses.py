@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.tables import written
+from palimpsest.operators.similar import similar_groups
+from palimpsest.tables import small, written
 
 
 def read_versions(spark: SparkSession, path: str, collation: str = "versions") -> DataFrame:
@@ -52,28 +53,16 @@ def blocks(documents: DataFrame, size: int = 3) -> DataFrame:
     return documents.select((F.floor(F.col("doc_id") / size)).cast("long").alias("collation_id"), (F.col("doc_id") % size).cast("int").alias("witness_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def near_copies(documents: DataFrame, sketch: int = 2, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_copies(documents: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """Near copies as collations: collation_id (the base's id, the least), witness_id, doc_id, text.
 
-    Documents whose `sketch` word shingles of least hash agree meet; a witness has a Jaccard similarity to the base, of the
-    sets of shingles, of at least that.  A near copy may differ in a least shingle and so be missed (with a chance of about
-    1 - similarity ** sketch, where it is that similar); what is found is verified.  Fewer words are one shingle; a document
-    without a word is no witness.
+    Witnesses of a collation hang together by pairs whose sets of word shingles are equal or have that Jaccard similarity;
+    no such pair is missed.  Fewer words are one shingle; a document without a word, or without an id, is no witness.
+    Ids are distinct.
     """
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda x: x != "")
-    docs = documents.where("text is not null").select("doc_id", "text", words.alias("w")).where(F.size("w") > 0)
-    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - shingle, F.lit(0)))
-    docs = docs.select("doc_id", "text", F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("w", i + 1, F.lit(shingle)), " "))).alias("s"))
-    least = F.slice(F.array_sort(F.transform("s", lambda x: F.md5(x))), 1, sketch)
-    keyed = docs.select("doc_id", "text", F.transform("s", lambda x: F.xxhash64(x)).alias("s"), F.array_join(least, "").alias("k"))
-    keyed = written(keyed, "sketches")
-    groups = keyed.groupBy("k").agg(F.min("doc_id").alias("collation_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    held = keyed.join(groups, "k")
-    bases = held.where("doc_id = collation_id").select("collation_id", F.col("s").alias("b"))
-    both = F.size(F.array_intersect("s", "b"))
-    alike = held.join(bases, "collation_id").where(both >= similarity * (F.size("s") + F.size("b") - both)).select("collation_id", "doc_id", "text")
-    alike = written(alike, "alike")
-    # ranks are told over ids alone
-    ids = alike.select("collation_id", "doc_id").withColumn("witness_id", (F.row_number().over(Window.partitionBy("collation_id").orderBy("doc_id")) - 1).cast("int"))
-    ids = ids.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("collation_id"))).where("n > 1").drop("n")
-    return alike.join(ids, ["collation_id", "doc_id"]).select("collation_id", "witness_id", "doc_id", "text")
+    docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
+    groups = similar_groups(docs.select(F.col("doc_id").alias("id"), "text"), shingle, similarity)
+    # ranks are told over ids alone, and texts read again for what has a place
+    rank = F.row_number().over(Window.partitionBy("group").orderBy("id")) - 1
+    places = written(groups.select(F.col("group").alias("collation_id"), rank.cast("int").alias("witness_id"), F.col("id").alias("doc_id")), "places")
+    return docs.join(small(places), "doc_id").select("collation_id", "witness_id", "doc_id", "text")
