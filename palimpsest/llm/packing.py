@@ -18,6 +18,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,18 +31,43 @@ from palimpsest.shipping import ship
 
 SEQUENCE = 1024
 END_ID = 2
-SLICE_CHARS = 1 << 20
-CACHE = 1 << 18
-# What the tokenizer's pattern takes for white space.
-_BLANK = r"\t\n\x0b\x0c\r\x20\x85\xa0  -     　"
-_SPLIT = rf"\x20?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
+SLICE_CHARS = 1 << 19
+CACHE = 1 << 20
+# What the tokenizer's pattern takes for white space, and letters of one block that has no other characters.
+_BLANK = r"\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LETTER = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+#: Stretches that end where a token has to end: words, numbers and signs that the next character does not go on with; else
+#: all up to the next blank; white space but its last character; what is left of it.
+_SPLIT = "|".join(
+    [
+        rf"\x20?[{_LETTER}]++(?![^\W\d_])",
+        r"(?:\x20[!-/:-@\[-`{-~]++|(?!')[!-/:-@\[-`{-~]++)(?=[A-Za-z0-9\s]|\Z)",
+        rf"\x20?[0-9]++(?=[{_LETTER}]|\W|_|\Z)",
+        rf"\x20?[^{_BLANK}]++",
+        rf"[{_BLANK}]+(?![^{_BLANK}])",
+        rf"[{_BLANK}]+",
+    ]
+)
+
+
+class _Numbers(dict):
+    """Numbers strings in order of their first use; `new` has those since it was last emptied."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        self.new.append(key)
+        return number
 
 
 class Encoder:
-    """A tokenizer's ids of texts, remembered for stretches between blanks, across which no token reaches.
+    """A tokenizer's ids of texts, remembered for stretches that no token reaches across.
 
-    A stretch is a run of other characters with the one space before it; white space but its last character is one.
-    Texts with the name of a special token in them are left to the tokenizer whole.
+    Stretches are cut at places where the tokenizer's own pattern always cuts, so a text's ids are those of its stretches.
+    The first CACHE stretches are remembered, others looked up again.  Texts with the name of a special token in them are
+    left to the tokenizer whole.
     """
 
     def __init__(self, definition: str) -> None:
@@ -51,42 +77,53 @@ class Encoder:
         added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
         self.stretches = re.compile(_SPLIT).findall
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.sizes = np.zeros(0, np.int64)
-        self.starts = np.zeros(0, np.int64)
+        self.known = _Numbers()
+        self.sizes = np.zeros(0, np.int32)
         self.pool = np.zeros(0, np.uint32)
+        self.starts = np.zeros(0, np.int64)
 
-    def _learn(self, new: list[str]) -> None:
+    def _learnt(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sizes and starts in the pool of ids by number, and the pool, the new stretches among them."""
+        new = self.known.new
+        if not new:
+            return self.sizes, self.starts, self.pool
         found = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        self.starts = np.r_[self.starts, len(self.pool) + np.cumsum(sizes) - sizes]
-        self.sizes = np.r_[self.sizes, sizes]
-        self.pool = np.r_[self.pool, np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))]
+        sizes = np.fromiter(map(len, found), np.int32, len(found))
+        every = np.r_[self.sizes, sizes], np.r_[self.starts, len(self.pool) + np.cumsum(sizes, dtype=np.int64) - sizes], np.r_[self.pool, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))]
+        if len(self.known) <= CACHE:
+            self.sizes, self.starts, self.pool = every
+        else:
+            for x in new:
+                del self.known[x]
+        self.known.new = []
+        return every
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         whole = [self.special is not None and self.special.search(t) is not None for t in texts]
-        parts = [[] if w else self.stretches(t) for t, w in zip(texts, whole, strict=True)]
-        new = set().union(*parts) - self.known.keys()
-        if len(self.known) + len(new) > CACHE:
-            self.forget()
-            new = set().union(*parts)
-        if new:
-            self._learn(sorted(new))
-        out = []
-        for text, w, part in zip(texts, whole, parts, strict=True):
-            if w:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
-                continue
-            codes = np.fromiter(map(self.known.__getitem__, part), np.int64, len(part))
-            sizes = self.sizes[codes]
-            ends = np.cumsum(sizes)
-            at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[codes] - (ends - sizes), sizes)
-            out.append(self.pool[at])
-        return out
+        flat: list[str] = []
+        ends = []
+        for text, w in zip(texts, whole, strict=True):
+            if not w:
+                flat += self.stretches(text)
+            ends.append(len(flat))
+        codes = np.fromiter(map(self.known.__getitem__, flat), np.int32, len(flat))
+        sizes, starts, pool = self._learnt()
+        each = sizes[codes]
+        upto = np.r_[0, np.cumsum(each, dtype=np.int64)]
+        ids = pool[np.arange(upto[-1]) + np.repeat(starts[codes] - upto[:-1], each)]
+        parts = np.split(ids, upto[ends[:-1]])
+        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if w else part for t, w, part in zip(texts, whole, parts, strict=True)]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(definition: str) -> Encoder:
+    """One for each definition and Python worker, which goes on to the worker's next tasks."""
+    if definition not in _encoders:
+        _encoders.clear()
+        _encoders[definition] = Encoder(definition)
+    return _encoders[definition]
 
 
 def cut(length: int, sequence: int = SEQUENCE) -> list[tuple[int, int]]:
@@ -99,7 +136,7 @@ def _pieces(definition, end_id: int, sequence: int, with_ids: bool):
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(definition.value)
+        encoder = _encoder(definition.value)
         task = TaskContext.get().partitionId()
         seen = np.zeros(sequence + 1, np.int64)
 
