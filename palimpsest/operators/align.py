@@ -32,18 +32,20 @@ def token_arrays(witnesses: DataFrame, pattern: str = GENERIC, norm=generic_norm
     return joined.select("collation_id", "witness_id", "tokens", F.coalesce(F.transform("n", lambda x: x["norm"]), none).alias("norms"))
 
 
-def align(witnesses: DataFrame, pattern: str = GENERIC, norm=generic_norm, merged: bool = True, vocabulary=None, aligner=place) -> DataFrame:
+def align(witnesses: DataFrame, pattern: str = GENERIC, norm=generic_norm, merged: bool = True, vocabulary=None, aligner=place, cleanup: str | None = None) -> DataFrame:
     """collation_id, row_id, cells (array over witnesses): merged rows, or with gaps as null if not merged.
 
     witnesses: collation_id, witness_id (0 is the base, without holes), text.  Any number of witnesses.  A collation
     without witness 0 has no rows; one whose texts are all empty has none either.  Each witness's cells, put together,
     are its text.
-    vocabulary: see token_arrays().  aligner: from token arrays to placed cells, as operators.diff.place() does it.
+    vocabulary: see token_arrays().  aligner: from token arrays to placed cells, as operators.diff.place() does it
+    (operators.anchored.place_long() for texts too long for one task).  cleanup: None, "semantic" or "efficiency", for
+    scripts as operators.cleanup describes.
     Witnesses of equal text are aligned once: edit scripts, rows and the merge see the distinct texts of a collation.
     """
     ship(witnesses.sparkSession)
     texts, members = distinct_texts(witnesses)
-    placed = written(aligner(token_arrays(texts, pattern, norm, vocabulary)), "cells")  # edit scripts are computed once; the layout reads their cells twice
+    placed = written(aligner(token_arrays(texts, pattern, norm, vocabulary), **({"cleanup": cleanup} if cleanup else {})), "cells")  # edit scripts are computed once; the layout reads their cells twice
     n = members.select("collation_id", (F.array_max("of") + 1).alias("n"))
     wide = wide_rows(layout(placed), n)
     rows = (merge_rows(wide) if merged else wide).join(members, "collation_id")

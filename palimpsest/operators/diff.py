@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.operators.cleanup import cleaned
 from palimpsest.shipping import ship
 
 MAX_EDITS = 400
@@ -104,8 +105,8 @@ def _steps(a: Sequence, b: Sequence) -> list[str]:
     return ["="] * head + middle + ["="] * tail
 
 
-def edit_script(a: Sequence, b: Sequence) -> Script:
-    """Run lengths; within a changed run deletes come before inserts."""
+def edit_script(a: Sequence, b: Sequence, cleanup: str | None = None) -> Script:
+    """Run lengths; within a changed run deletes come before inserts.  cleanup: as cleanup.cleaned() does it, then not minimal."""
     script: Script = []
     minus = plus = 0
 
@@ -124,7 +125,7 @@ def edit_script(a: Sequence, b: Sequence) -> Script:
         else:
             minus, plus = minus + (step == "-"), plus + (step == "+")
     flush()
-    return script
+    return cleaned(script, a, b, cleanup)
 
 
 def placements(script: Script) -> list[tuple[int, int]]:
@@ -155,14 +156,14 @@ def placements(script: Script) -> list[tuple[int, int]]:
     return out
 
 
-def _cells(base: Sequence[str], norms: Sequence[str], tokens: Sequence[str]) -> list[list]:
+def _cells(base: Sequence[str], norms: Sequence[str], tokens: Sequence[str], cleanup: str | None = None) -> list[list]:
     """A witness's tokens with their places, as columns: anchor, slot, start, end, incr, text.
 
     A token of empty norm takes no part: it joins the cell before it, or the first.
     """
     a, b = [x for x in base if x != ""], [x for x in norms if x != ""]
     at = [i for i, x in enumerate(base) if x != ""]
-    spots = iter(placements([("=", len(a))] if a == b else edit_script(a, b)))
+    spots = iter(placements([("=", len(a))] if a == b else edit_script(a, b, cleanup)))
     out: list[list] = [[] for _ in range(6)]
     anchors, slots, starts, ends, incrs, texts = out
     start, waiting = 0, ""
@@ -191,21 +192,34 @@ def _cells(base: Sequence[str], norms: Sequence[str], tokens: Sequence[str]) ->
 _CELL = "array<struct<anchor:int,slot:int,start:int,end:int,incr:int,text:string>>"
 
 
-def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["anchor", "slot", "start", "end", "incr", "text"]
-    for batch in batches:
-        found = [_cells(*x) for x in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
-        flat = [pa.array([x for f in found for x in f[k]], pa.string() if name == "text" else pa.int32()) for k, name in enumerate(names)]
-        offsets = np.cumsum([0, *(len(f[5]) for f in found)])
-        cells = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(flat, names))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cells], ["collation_id", "witness_id", "cells"])
+CELL_NAMES = ["anchor", "slot", "start", "end", "incr", "text"]
 
 
-def _scripted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def cell_lists(found: list[list[list]]) -> pa.ListArray:
+    """The columns that _cells() gives for each row, as a list of cells a row."""
+    flat = [pa.array([x for f in found for x in f[k]], pa.string() if name == "text" else pa.int32()) for k, name in enumerate(CELL_NAMES)]
+    offsets = np.cumsum([0, *(len(f[5]) for f in found)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(flat, CELL_NAMES))
+
+
+def _placed(cleanup: str | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_cells(*x, cleanup) for x in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cell_lists(found)], ["collation_id", "witness_id", "cells"])
+
+    return run
+
+
+def _scripted(cleanup: str | None):
     kind = pa.list_(pa.struct([("op", pa.string()), ("n", pa.int32())]))
-    for batch in batches:
-        rows = [[{"op": op, "n": n} for op, n in edit_script(a, b)] for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, kind)], ["collation_id", "witness_id", "script"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [[{"op": op, "n": n} for op, n in edit_script(a, b, cleanup)] for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, kind)], ["collation_id", "witness_id", "script"])
+
+    return run
 
 
 def _pairs(arrays: DataFrame) -> DataFrame:
@@ -213,18 +227,18 @@ def _pairs(arrays: DataFrame) -> DataFrame:
     return arrays.join(base, "collation_id")
 
 
-def edit_scripts(arrays: DataFrame) -> DataFrame:
+def edit_scripts(arrays: DataFrame, cleanup: str | None = None) -> DataFrame:
     """collation_id, witness_id, script: of each witness of arrays(collation_id, witness_id, norms) against witness 0."""
     ship(arrays.sparkSession)
     kinds = dict(arrays.dtypes)
     pairs = _pairs(arrays).where("witness_id > 0").select("collation_id", "witness_id", "base", "norms")
-    return pairs.mapInArrow(_scripted, f"collation_id {kinds['collation_id']}, witness_id {kinds['witness_id']}, script array<struct<op:string,n:int>>")
+    return pairs.mapInArrow(_scripted(cleanup), f"collation_id {kinds['collation_id']}, witness_id {kinds['witness_id']}, script array<struct<op:string,n:int>>")
 
 
-def place(arrays: DataFrame) -> DataFrame:
+def place(arrays: DataFrame, cleanup: str | None = None) -> DataFrame:
     """collation_id, witness_id, anchor, slot, start, end, incr, text: cells of arrays(collation_id, witness_id, norms, tokens)."""
     ship(arrays.sparkSession)
     kinds = dict(arrays.dtypes)
     pairs = _pairs(arrays).select("collation_id", "witness_id", "base", "norms", "tokens")
-    rows = pairs.mapInArrow(_placed, f"collation_id {kinds['collation_id']}, witness_id {kinds['witness_id']}, cells {_CELL}")
+    rows = pairs.mapInArrow(_placed(cleanup), f"collation_id {kinds['collation_id']}, witness_id {kinds['witness_id']}, cells {_CELL}")
     return rows.select("collation_id", "witness_id", F.inline("cells"))

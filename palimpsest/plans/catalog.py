@@ -16,6 +16,7 @@ from palimpsest.functions import tokens as tok
 from palimpsest.functions.readings import comparison_key, syllables
 from palimpsest.operators import annotations, apparatus, serialize
 from palimpsest.operators.align import align, token_arrays
+from palimpsest.operators.anchored import place_long
 from palimpsest.operators.diff import edit_scripts
 from palimpsest.operators.layout import long_rows, position_rows, witness_rows
 from palimpsest.operators.merge import differs
@@ -365,6 +366,56 @@ def script_coverage(spark, sf_dir):
     return found.select("collation_id", "witness_id", total("+").alias("base_tokens"), total("-").alias("own_tokens"))
 
 
+@_query(f"""WITH RECURSIVE {_SQL_COPIES}, lengths AS (SELECT collation_id, witness_id, len(list_filter(regexp_extract_all(text, '{TOKEN}'), lambda x: regexp_replace(lower(x), '\\s+$', '') <> '')) AS n FROM c)
+    SELECT cleanup, a.collation_id, a.witness_id, b.n AS base_tokens, a.n AS own_tokens FROM lengths AS a JOIN lengths AS b ON b.collation_id = a.collation_id AND b.witness_id = 0,
+    (SELECT unnest(['semantic', 'efficiency']) AS cleanup) WHERE a.witness_id > 0""")
+def cleanup_coverage(spark, sf_dir):
+    """Cleaned scripts still add up to both texts."""
+    arrays = written(token_arrays(_copies(spark, sf_dir), TOKEN, _norm).withColumn("norms", F.filter("norms", lambda x: x != "")), "arrays")
+    modes = [edit_scripts(arrays, cleanup=x).withColumn("cleanup", F.lit(x)) for x in ("semantic", "efficiency")]
+
+    def total(without: str) -> Column:
+        return F.aggregate(F.filter("script", lambda s: s["op"] != without), F.lit(0).cast("long"), lambda n, s: n + s["n"])
+
+    return modes[0].unionByName(modes[1]).select("cleanup", "collation_id", "witness_id", total("+").alias("base_tokens"), total("-").alias("own_tokens"))
+
+
+# Longest common subsequences of the first tokens of neighbouring documents, a row of the table a step: what a row gains is
+# the running maximum of what its cells would have alone.
+@_query(f"""WITH RECURSIVE {_SQL_DOCS}, t AS (SELECT doc_id // 3 AS collation_id, CAST(doc_id % 3 AS INTEGER) AS witness_id,
+    list_filter(list_transform(regexp_extract_all(text, '{TOKEN}'), lambda x: regexp_replace(lower(x), '\\s+$', '')), lambda x: x <> '')[1:40] AS norms FROM docs),
+    p AS (SELECT w.collation_id, w.witness_id, b.norms AS a, w.norms AS b FROM t AS w JOIN t AS b ON b.collation_id = w.collation_id AND b.witness_id = 0 WHERE w.witness_id > 0),
+    d AS (SELECT collation_id, witness_id, a, b, 0 AS i, list_transform(range(len(b) + 1), lambda j: 0) AS r FROM p
+    UNION ALL SELECT collation_id, witness_id, a, b, i + 1, list_transform(range(1, len(r) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN k > 1 AND b[k - 1] = a[i + 1] THEN r[k - 1] + 1 ELSE r[k] END))) FROM d WHERE i < len(a))
+    SELECT collation_id, witness_id, CAST(r[len(r)] AS BIGINT) AS kept, CAST(len(a) - r[len(r)] AS BIGINT) AS deleted, CAST(len(b) - r[len(r)] AS BIGINT) AS inserted FROM d WHERE i = len(a)""")
+def align_diffsize(spark, sf_dir):
+    """Scripts of the first 40 tokens keep as many as they can (the least script is the longest common subsequence)."""
+    arrays = token_arrays(sources.blocks(_documents(spark, sf_dir)), TOKEN, _norm)
+    found = edit_scripts(arrays.withColumn("norms", F.slice(F.filter("norms", lambda x: x != ""), 1, 40)))
+
+    def total(op: str) -> Column:
+        return F.aggregate(F.filter("script", lambda s: s["op"] == op), F.lit(0).cast("long"), lambda n, s: n + s["n"])
+
+    return found.select("collation_id", "witness_id", total("=").alias("kept"), total("-").alias("deleted"), total("+").alias("inserted"))
+
+
+def _volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents of a source as one long text, and an edition of it without what stands between commas."""
+    docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet").where("source is not null")
+    rows = docs.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text")))).alias("d"))
+    whole = F.array_join(F.transform("d", lambda x: x["text"]), "\n")
+    texts = rows.select(F.col("source").alias("collation_id"), F.array(whole, F.regexp_replace(whole, ",[^,.]*,", ",")).alias("t"))
+    return texts.select("collation_id", F.posexplode("t").alias("witness_id", "text"))
+
+
+@_query("""WITH v AS (SELECT source AS collation_id, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) AS text FROM documents WHERE source IS NOT NULL GROUP BY source)
+    SELECT collation_id, 0::INTEGER AS witness_id, md5(text) AS text FROM v WHERE text <> '' UNION ALL SELECT collation_id, 1::INTEGER AS witness_id, md5(regexp_replace(text, ',[^,.]*,', ',', 'g')) AS text FROM v WHERE text <> ''""")
+def align_volumes(spark, sf_dir):
+    """Long texts, aligned by anchors over many tasks and put together again."""
+    cells = long_rows(align(_volumes(spark, sf_dir), TOKEN, _norm, aligner=place_long))
+    return witness_rows(cells).select("collation_id", "witness_id", F.md5(F.array_join(F.transform("cells", lambda c: c["text"]), "")).alias("text"))
+
+
 @_query()
 def alignment(spark, sf_dir):
     wide = align(_copies(spark, sf_dir))

@@ -84,6 +84,8 @@ def test_trie_is_in_order_of_paths():
     path, n = collocations.trie(codes, alive, 3)
     assert path.tolist() == [[0, 1, -1], [0, 1, 0], [0, 1, 2], [1, 0, -1], [1, 0, 1], [1, 2, -1]]
     assert n.tolist() == [3, 2, 1, 2, 1, 1]
+    path, n = collocations.trie(codes, alive, 3, np.array([1, 0, 0, 0, 0, 0, 1], bool))
+    assert path.tolist() == [[0, 1, -1], [0, 1, 0], [1, 0, -1], [1, 2, -1]] and n.tolist() == [3, 2, 2, 1]
 
 
 def test_scores_beyond_64_bits_are_exact(spark):
