@@ -2,12 +2,14 @@
 
 1. Each task turns its texts into shards: a sorted dictionary of words, and the words' places in it (-1 between pieces).
 2. Words are counted, and word pairs (as hashes) of words frequent enough; both leave a bitmap of at most 16 MB, which is
-   broadcast.  A phrase is as frequent as its rarest pair at most, so a trie may end a path at a pair the bitmap lacks.
-   What else a bit lets pass costs rows and no result.
-3. Each shard counts its phrases in a trie of depth 5, level by level, and writes it in order of paths: a sorted run.
-4. Runs are dealt by range of paths (a prefix however frequent is cut at its longer paths), and a range's runs are merged
-   k ways; equal paths add up.  As the merge goes on in the order of paths it is a walk of the whole trie: the counts of the
-   nodes above are on its stack, and those are the left parts.  What lies above a range's first path is looked up.
+   broadcast.  Triples of such pairs are counted in 2^24 counters that each task fills and sends as blocks; they leave a
+   bitmap of 2 MB.  A phrase is as frequent as its rarest part at most, so a trie may end a path at a part that the bitmaps
+   lack.  What else a bit lets pass (all, where a corpus has some 10^9 triples of frequent pairs) costs rows and no result.
+3. Each shard counts its phrases in a trie of depth 5, level by level, and serialises it in order of paths, cut into blocks
+   by range of the (hashed) prefix of two words: sorted runs.
+4. A range's runs are merged k ways; equal paths add up.  As the merge goes on in the order of paths it is a walk of the
+   trie below its prefixes: the counts of the nodes above are on its stack, and those are the left parts.  The first word's
+   own count is joined.
 5. A node's suffix link leads to its path without the first word; k links lead to the right part after k words.  All links
    are followed in one join of the nodes with themselves.
 
@@ -18,22 +20,24 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import discard, materialize, named, small
 from palimpsest.shipping import ship
 
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 1 << 20
 SLICE_BYTES = 1 << 20
 MOST_BITS = 1 << 27
-RANGE_ROWS = 100_000
+COUNTERS = 1 << 24
+BLOCK = 1 << 12
+RANGE_WORDS = 500_000
 CURSOR_ROWS = 256
 _ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
 _END = b"."  # no word has one
@@ -161,18 +165,77 @@ def _pairs(frequent):
     return run
 
 
-def trie(codes: np.ndarray, alive: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def _living_pairs(h: np.ndarray, codes: np.ndarray, frequent: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Does the pair at each place (all but the last) live, and its hash where both words do."""
+    at = _both(codes, _known(frequent, h))
+    told, alive = np.zeros(max(0, len(codes) - 1), np.uint64), np.zeros(max(0, len(codes) - 1), bool)
+    told[at] = _pair_hashes(h[codes[at]], h[codes[at + 1]])
+    alive[at] = _known(pairs, told[at])
+    return alive, told
+
+
+def _triples(frequent, pairs):
+    """Counters of a task's triples of living pairs, in blocks: places in the block, then counts of up to 65535, two bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = np.zeros(COUNTERS, np.uint16)
+        for lang, words, codes in _rows(batches):
+            h = _word_hashes(lang, words.to_pylist())
+            alive, told = _living_pairs(h, codes, frequent.value, pairs.value)
+            at = np.flatnonzero(alive[:-1] & alive[1:])
+            where, n = np.unique(_pair_hashes(told[at], h[codes[at + 2]]) & np.uint64(COUNTERS - 1), return_counts=True)
+            where = where.astype(np.int64)
+            counters[where] = np.minimum(counters[where] + n, 65535)
+        blocks = counters.reshape(-1, BLOCK)
+        used = np.flatnonzero(blocks.any(1))
+        for k in range(0, len(used), 256):
+            some = used[k : k + 256]
+            at = [np.flatnonzero(blocks[b]).astype(np.uint16) for b in some]
+            packed = [x.tobytes() + blocks[b][x].tobytes() for b, x in zip(some, at, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(packed, pa.binary())], ["block", "counts"])
+
+    return run
+
+
+def _summed(least: int):
+    """Of rows sorted by block, the bits of each block's counters that reach `least` in all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, np.zeros(BLOCK, np.int64)
+
+        def told() -> pa.RecordBatch:
+            bits = np.packbits(total >= min(least, 65535), bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([bits], pa.binary())], ["block", "bits"])
+
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if block != at:
+                    if at is not None:
+                        yield told()
+                    at, total = block, np.zeros(BLOCK, np.int64)
+                where, n = np.frombuffer(counts.as_buffer(), np.uint16).reshape(2, -1)
+                total[where] += n
+        if at is not None:
+            yield told()
+
+    return run
+
+
+def trie(codes: np.ndarray, alive: np.ndarray, depth: int, triples: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Paths (nodes x depth, -1 beyond a path's end) and counts of a trie of codes, in order of paths, from depth two on.
 
-    alive: does the pair that begins at each place (all but the last) live?  A path ends before a pair that does not.
+    alive: does the pair that begins at each place (all but the last) live?  triples: does the triple (all but the last
+    two)?  A path ends before a pair or triple that does not.
     """
+    if triples is None:
+        triples = alive[:-1] & alive[1:]
     at = np.flatnonzero(alive)
     node = codes[at].astype(np.int64)
     paths, counts = [], []
     for d in range(2, depth + 1):
         if d > 2:
-            more = at + d - 2 < len(alive)
-            more[more] = alive[at[more] + d - 2]
+            more = at + d - 3 < len(triples)
+            more[more] = triples[at[more] + d - 3]
             at, node = at[more], node[more]
         if not len(at):
             break
@@ -189,31 +252,35 @@ def trie(codes: np.ndarray, alive: np.ndarray, depth: int) -> tuple[np.ndarray,
     return path[order], n[order].astype(np.int64)
 
 
-def _tries(frequent, pairs, depth: int):
+def _tries(frequent, pairs, triples, depth: int, ranges: int):
+    """Each shard's trie as a row for each range of prefixes it has: paths in order, and their counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        for i, (lang, words, codes) in enumerate(_rows(batches)):
+        for lang, words, codes in _rows(batches):
             h = _word_hashes(lang, words.to_pylist())
-            at = _both(codes, _known(frequent.value, h))
-            alive = np.zeros(max(0, len(codes) - 1), bool)
-            alive[at] = _known(pairs.value, _pair_hashes(h[codes[at]], h[codes[at + 1]]))
-            path, n = trie(codes, alive, depth)
-            for k in range(0, len(n), 20_000):
-                some = path[k : k + 20_000]
-                offsets = np.r_[0, np.cumsum((some >= 0).sum(1))].astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), words.take(pa.array(some[some >= 0])))
-                same = np.full(len(some), (task << 24) + i, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), lists, pa.array(n[k : k + 20_000]), pa.array(same)], ["lang", "path", "n", "run"])
+            alive, told = _living_pairs(h, codes, frequent.value, pairs.value)
+            three = alive[:-1] & alive[1:]
+            at = np.flatnonzero(three)
+            three[at] = _known(triples.value, _pair_hashes(told[at], h[codes[at + 2]]))
+            path, n = trie(codes, alive, depth, three)
+            if not len(n):
+                continue
+            place = (_pair_hashes(h[path[:, 0]], h[path[:, 1]]) >> np.uint64(20)) % np.uint64(ranges)
+            order = np.argsort(place, kind="stable")
+            path, n, place = path[order], n[order], place[order].astype(np.int32)
+            blocks = np.r_[0, np.flatnonzero(place[1:] != place[:-1]) + 1, len(n)].astype(np.int32)
+            inner = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum((path >= 0).sum(1))].astype(np.int32)), words.take(pa.array(path[path >= 0])))
+            lists = [pa.ListArray.from_arrays(pa.array(blocks), x) for x in (inner, pa.array(n))]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(blocks) - 1), pa.string()), pa.array(place[blocks[:-1]]), *lists], ["lang", "range", "paths", "counts"])
 
     return run
 
 
-def _cursor(slices: list[pa.RecordBatch]) -> Iterator[tuple[str, list[str], int]]:
-    """A run's nodes in order; only CURSOR_ROWS of them are Python values at a time."""
-    for batch in slices:
-        for at in range(0, batch.num_rows, CURSOR_ROWS):
-            some = batch.slice(at, CURSOR_ROWS)
-            yield from zip(*(some.column(i).to_pylist() for i in range(3)), strict=True)
+def _cursor(lang: str, paths: pa.Array, counts: pa.Array) -> Iterator[tuple[str, list[str], int]]:
+    """A block's nodes in order; only CURSOR_ROWS of them are Python values at a time."""
+    for at in range(0, len(paths), CURSOR_ROWS):
+        for path, n in zip(paths.slice(at, CURSOR_ROWS).to_pylist(), counts.slice(at, CURSOR_ROWS).to_pylist(), strict=True):
+            yield lang, path, n
 
 
 def walked(nodes: Iterator[tuple[str, list[str], int]], least: int) -> Iterator[tuple[str, list[str], int, list[int | None]]]:
@@ -248,27 +315,24 @@ def walked(nodes: Iterator[tuple[str, list[str], int]], least: int) -> Iterator[
 
 
 def _merged(least: int):
+    """Of blocks sorted by range the merged nodes of each range."""
+    kinds = [pa.string(), pa.list_(pa.string()), pa.int64(), pa.list_(pa.int64())]
+
+    def told(blocks: list[tuple]) -> Iterator[pa.RecordBatch]:
+        found = walked(heapq.merge(*(_cursor(*x) for x in blocks)), least)
+        while some := list(islice(found, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)], ["lang", "path", "a", "left"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = TaskContext.get().partitionId()
-        runs: dict[int, list[pa.RecordBatch]] = {}
+        at, blocks = None, []
         for batch in batches:
-            run_ = batch.column(3).to_numpy(zero_copy_only=False)
-            edges = np.r_[0, np.flatnonzero(run_[1:] != run_[:-1]) + 1, len(run_)] if len(run_) else [0]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                runs.setdefault(int(run_[a]), []).append(batch.slice(a, b - a))
-        found = walked(heapq.merge(*map(_cursor, runs.values())), least)
-        out: list[tuple] = []
-        for row in found:
-            out.append((place, *row))
-            if len(out) == 10_000:
-                yield told(out)
-                out = []
-        if out:
-            yield told(out)
-
-    def told(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int32(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["range", "lang", "path", "a", "left"])
+            lang, place, paths, counts = (batch.column(i) for i in range(4))
+            for i in range(batch.num_rows):
+                if place[i].as_py() != at:
+                    yield from told(blocks)
+                    at, blocks = place[i].as_py(), []
+                blocks.append((lang[i].as_py(), paths[i].values, counts[i].values))
+        yield from told(blocks)
 
     return run
 
@@ -276,8 +340,8 @@ def _merged(least: int):
 def count_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, longest: int = 5, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
     """Tables of all phrases of one to `longest` words counted `least` times or more, and of the words of each language.
 
-    The first: range int, lang, path array of words, a long, left array of long (the counts of path's first 1, 2, ... words);
-    the second: lang, n long.
+    The first: lang, path array of words, a long, left array of long (the counts of path's first 1, 2, ... words); the second:
+    lang, n long.
     Null text: empty; null lang: und.  Repeated rows count each.  Other columns, of any name, are left out.  No rows: none.
     """
     spark = ship(docs.sparkSession)
@@ -292,23 +356,26 @@ def count_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least
     both = codes.mapInArrow(_pairs(frequent), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
     both = materialize(both, "pairs")
     pairs = spark.sparkContext.broadcast(bitmap(both, total // least))
-    tries = codes.mapInArrow(_tries(frequent, pairs, longest), "lang string, path array<string>, n long, run long")
-    # words are the tries' first level, counted already: a run of their own
-    first = words.select("lang", F.array("w").alias("path"), "n", F.lit(-1).cast("long").alias("run"))
-    tries = materialize(tries.unionByName(first), "tries", "zstd")
-    discard(shards, words, both)
-    ranges = max(1, -(-tries.count() // RANGE_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = tries.repartitionByRange(ranges, "lang", "path").sortWithinPartitions("run", "lang", "path")
-    nodes = materialize(dealt.mapInArrow(_merged(least), "range int, lang string, path array<string>, a long, left array<long>"), "nodes")
-    discard(tries)
-    # what lies above a range's first path is in an earlier range; all that miss it have it in common
-    heads = nodes.groupBy("range").agg(F.min(F.struct("lang", "path")).alias("x")).select("range", "x.lang", "x.path")
-    above = heads.where(F.size("path") > 1).select("range", "lang", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda k: F.slice("path", 1, k))).alias("at", "path"))
-    above = materialize(above.join(nodes.select("lang", "path", "a"), ["lang", "path"]).groupBy("range").agg(F.map_from_entries(F.collect_list(F.struct("at", "a"))).alias("above")), "above")
-    filled = F.transform("left", lambda n, i: F.coalesce(n, F.try_element_at("above", i)))
-    whole = materialize(nodes.join(small(above), "range", "left").select("range", "lang", "path", "a", filled.alias("left")), "phrases")
-    discard(nodes, above)
-    for held in (frequent, pairs):
+    blocks = codes.mapInArrow(_triples(frequent, pairs), "block int, counts binary").repartition("block").sortWithinPartitions("block")
+    bits = np.zeros((COUNTERS // BLOCK, BLOCK // 8), np.uint8)
+    for r in blocks.mapInArrow(_summed(least), "block int, bits binary").collect():
+        bits[r.block] = np.frombuffer(bytes(r.bits), np.uint8)
+    triples = spark.sparkContext.broadcast(bits.ravel())
+    # more ranges than tasks, so that tasks get about as much
+    ranges = max(1, -(-total // RANGE_WORDS), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    schema = "lang string, range int, paths array<array<string>>, counts array<long>"
+    tries = materialize(codes.mapInArrow(_tries(frequent, pairs, triples, longest, ranges), schema), "tries", "zstd")
+    dealt = tries.repartition("range").sortWithinPartitions("range", "lang")
+    nodes = materialize(dealt.mapInArrow(_merged(least), "lang string, path array<string>, a long, left array<long>"), "nodes")
+    discard(shards, both, tries)
+    one = words.select(F.col("lang").alias("_lang"), F.col("w").alias("_w"), F.col("n").alias("_n"))
+    first = nodes.join(_small(one, words), (F.col("lang") == F.col("_lang")) & (F.get("path", F.lit(0)) == F.col("_w")))
+    left = F.transform("left", lambda n, i: F.when(i == 0, F.col("_n")).otherwise(n))
+    none = F.expr("cast(array() as array<long>)").alias("left")
+    whole = first.select("lang", "path", "a", left.alias("left")).unionByName(words.select("lang", F.array("w").alias("path"), F.col("n").alias("a"), none))
+    whole = materialize(whole, "phrases")
+    discard(nodes, words)
+    for held in (frequent, pairs, triples):
         held.unpersist()
     return whole, totals
 

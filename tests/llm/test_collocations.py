@@ -54,7 +54,7 @@ def by_hand(rows, least, longest, top):
 
 @pytest.mark.parametrize(("least", "longest", "top", "shard"), [(3, 5, 2000, 1 << 21), (2, 5, 40, 50), (10, 3, 5, 700), (1, 2, 2000, 300)])
 def test_against_brute_force(spark, least, longest, top, shard, monkeypatch):
-    monkeypatch.setattr(collocations, "RANGE_ROWS", 60)
+    monkeypatch.setattr(collocations, "RANGE_WORDS", 60)
     monkeypatch.setattr(collocations, "SLICE_BYTES", 200)
     docs = spark.createDataFrame(rows(), SCHEMA).repartition(3)
     got = collocations.top_phrases(docs, least=least, longest=longest, top=top, shard_words=shard).collect()
