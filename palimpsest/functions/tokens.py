@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.functions.preprocess import corrected_chain
+from palimpsest.functions.preprocess import moved
 from palimpsest.shipping import ship
 
 # A word with the blanks after it, or what is between words.
@@ -19,9 +20,65 @@ GENERIC = r"(?U)\w+\s*|\W+"
 TIBETAN = r"(?U)\w+[\s་༌࿒]*|\W+"
 
 
-def token_array(text: Column, pattern: str = GENERIC) -> Column:
-    """All tokens in order; together they are the text."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
+def token_array(text: Column, pattern: str | Callable[[Column], Column] = GENERIC) -> Column:
+    """All tokens in order; together they are the text.
+
+    pattern: a regular expression whose matches tile any text, or a function from a text to its tokens, such as
+    longest_match() gives; both are to lose nothing of the text.
+    """
+    whole = F.coalesce(text, F.lit(""))
+    return pattern(whole) if callable(pattern) else F.regexp_extract_all(whole, F.lit(pattern), F.lit(0))
+
+
+class Trie:
+    """A set of words, by their characters, for the longest that a text has at a place."""
+
+    def __init__(self, words: Iterable[str]) -> None:
+        self.root: dict = {}
+        for word in words:
+            node = self.root
+            for c in word:
+                node = node.setdefault(c, {})
+            if word:
+                node[""] = True
+
+    def tokens(self, text: str, after: str = "") -> list[str]:
+        """The text cut into the longest words of the set, each with the characters of `after` that follow it; what is between them are tokens too."""
+        out: list[str] = []
+        at = start = 0
+        size = len(text)
+        while at < size:
+            node, i, end = self.root, at, -1
+            while i < size and (node := node.get(text[i])) is not None:
+                i += 1
+                if "" in node:
+                    end = i
+            if end < 0:
+                at += 1
+                continue
+            if start < at:
+                out.append(text[start:at])
+            while end < size and text[end] in after:
+                end += 1
+            out.append(text[at:end])
+            at = start = end
+        if start < size:
+            out.append(text[start:])
+        return out
+
+
+def longest_match(words: Iterable[str], after: str = " \t\n་༌࿒") -> Callable[[Column], Column]:
+    """A tokenizer for token_array(), tokens() and align(): the longest of the words at each place, in Arrow batches.
+
+    The words go to the executors with the function, so they are a list of a bounded size (syllables, say), not a corpus's.
+    """
+    held = Trie(words)
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: held.tokens(text or "", after))
+
+    return cut
 
 
 def generic_norm(token: Column) -> Column:
@@ -29,33 +86,44 @@ def generic_norm(token: Column) -> Column:
     return F.regexp_replace(F.lower(token), r"(?U)\s+$", "")
 
 
-def _with_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The ends of the tokens, as running sums of their lengths, beside the tokens; rows stay where they are."""
-    for batch in batches:
-        lists = batch.column(batch.num_columns - 1)
-        sizes = pc.utf8_length(lists.flatten()).to_numpy(zero_copy_only=False).astype(np.int64)
-        counts = lists.value_lengths().to_numpy(zero_copy_only=False)
-        first = np.r_[0, np.cumsum(counts)]
-        upto = np.r_[0, np.cumsum(sizes)]
-        ends = upto[1:] - np.repeat(upto[first[:-1]], counts)
-        column = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ends, pa.int32()))
-        yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "ends"])
+def _placed(mapped: bool):
+    """Starts and ends of the tokens beside them, as running sums of their lengths; moved by the row's maps if it has such."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            sizes = pc.utf8_length(lists.flatten()).to_numpy(zero_copy_only=False).astype(np.int64)
+            counts = lists.value_lengths().to_numpy(zero_copy_only=False)
+            first = np.r_[0, np.cumsum(counts)]
+            upto = np.r_[0, np.cumsum(sizes)]
+            ends = upto[1:] - np.repeat(upto[first[:-1]], counts)
+            starts = ends - sizes
+            if mapped:
+                maps = batch.column(batch.num_columns - 2)
+                for i in range(batch.num_rows):
+                    own = [] if maps[i].as_py() is None else [(m.values.field(0).to_numpy(), m.values.field(1).to_numpy()) for m in maps[i].values]
+                    span = slice(first[i], first[i + 1])
+                    starts[span], ends[span] = moved(starts[span], own), moved(ends[span], own)
+            columns = [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(x, pa.int32())) for x in (starts, ends)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "starts", "ends"])
+
+    return run
 
 
 def tokens(witnesses: DataFrame, pattern: str = GENERIC, norm=generic_norm, keys: tuple[str, ...] = ("collation_id", "witness_id"), text: str = "text", maps: str | None = None) -> DataFrame:
     """keys, pos, start, end, incr, token, norm: a row a token, offsets in code points.
 
     A token whose norm is empty has increment 0.  Offsets are running sums, since the tokens tile the text.
-    maps: the column of offset maps that preprocess.filter_chain() gives; start and end are then those before the filters.
+    maps: the column of offset maps that preprocess.filter_chain() gives; start and end are then those before the filters,
+    found by binary search in the maps.  pattern: as token_array() takes it.
     """
     ship(witnesses.sparkSession)
     named = [*keys, *([maps] if maps else [])]
     rows = witnesses.select(*named, token_array(F.col(text), pattern).alias("tokens"))
-    kind = T.StructType([*rows.schema.fields, T.StructField("ends", T.ArrayType(T.IntegerType()))])
-    rows = rows.mapInArrow(_with_ends, kind).select(*named, F.posexplode(F.arrays_zip("tokens", "ends")).alias("pos", "x")).select(*named, "pos", F.col("x.tokens").alias("token"), F.col("x.ends").alias("end"))
-    rows = rows.withColumn("start", F.col("end") - F.length("token")).withColumn("norm", norm(F.col("token")))
-    if maps:
-        rows = rows.withColumns({c: corrected_chain(F.col(c), F.col(maps)) for c in ("start", "end")})
+    added = [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("starts", "ends")]
+    kind = T.StructType([*rows.schema.fields, *added])
+    rows = rows.mapInArrow(_placed(maps is not None), kind).select(*keys, F.posexplode(F.arrays_zip("tokens", "starts", "ends")).alias("pos", "x"))
+    rows = rows.select(*keys, "pos", F.col("x.tokens").alias("token"), F.col("x.starts").alias("start"), F.col("x.ends").alias("end")).withColumn("norm", norm(F.col("token")))
     return rows.select(*keys, "pos", "start", "end", F.when(F.col("norm") == "", 0).otherwise(1).alias("incr"), "token", "norm")
 
 

@@ -74,6 +74,20 @@ def notes(found: DataFrame) -> DataFrame:
     return found.where("differs").select("collation_id", "row_id", "note_no", "lemma", "note")
 
 
+def stone_rows(rows: DataFrame, milestones: DataFrame) -> DataFrame:
+    """collation_id, offset, tag, row_id, at: the row that each of milestones(collation_id, offset, tag) falls into, and where in it.
+
+    rows: collation_id, row_id, base_start.  Rows and stones go by in one order of places, and a stone takes the last row that
+    begins at its place or before; so what lies beyond the text's end is the last row's.
+    """
+    starts = rows.select("collation_id", F.col("base_start").alias("_at"), F.lit(0).alias("_kind"), "row_id", F.lit(None).cast("string").alias("tag"))
+    stones = milestones.select("collation_id", F.col("offset").cast("int").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("int").alias("row_id"), "tag")
+    upto = Window.partitionBy("collation_id").orderBy("_at", "_kind", "row_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last(F.when(F.col("_kind") == 0, F.struct("row_id", F.col("_at").alias("start"))), ignorenulls=True).over(upto)
+    met = starts.unionByName(stones).withColumn("_row", last).where("_kind = 1 and _row is not null")
+    return met.select("collation_id", F.col("_at").alias("offset"), "tag", "_row.row_id", (F.col("_at") - F.col("_row.start")).alias("at"))
+
+
 def golden(found: DataFrame, milestones: DataFrame | None = None) -> DataFrame:
     """collation_id, golden: the base text with [^n] where notes stand, and milestones(collation_id, offset, tag) put back.
 
@@ -83,11 +97,10 @@ def golden(found: DataFrame, milestones: DataFrame | None = None) -> DataFrame:
     mark = F.when(F.col("note_no").isNotNull(), F.array(F.struct(F.col("cut").alias("at"), F.lit(0).alias("kind"), F.concat(F.lit("[^"), F.col("note_no").cast("string"), F.lit("]")).alias("put")))).otherwise(F.expr("cast(array() as array<struct<at:int,kind:int,put:string>>)"))
     rows = rows.withColumn("puts", mark)
     if milestones is not None:
-        last = F.col("row_id") == F.max("row_id").over(Window.partitionBy("collation_id"))
-        rows = rows.withColumn("last", last).alias("r").join(milestones.alias("s"), (F.col("r.collation_id") == F.col("s.collation_id")) & (F.col("offset") >= F.col("base_start")) & ((F.col("offset") < F.col("base_end")) | F.col("last")), "left")
-        stone = F.struct((F.col("offset") - F.col("base_start")).alias("at"), F.lit(1).alias("kind"), "offset", F.col("tag").alias("put"))
-        kept = [F.first(c).alias(c) for c in ("base", "puts")]
-        rows = rows.groupBy("r.collation_id", "row_id").agg(*kept, F.array_sort(F.collect_list(F.when(F.col("offset").isNotNull(), stone))).alias("stones"))
+        held = stone_rows(rows, milestones).select("collation_id", "row_id", F.struct("at", F.lit(1).alias("kind"), "offset", F.col("tag").alias("put")).alias("stone"))
+        held = held.groupBy("collation_id", "row_id").agg(F.array_sort(F.collect_list("stone")).alias("stones"))
+        none = F.expr("cast(array() as array<struct<at:int,kind:int,offset:int,put:string>>)")
+        rows = rows.join(held, ["collation_id", "row_id"], "left").withColumn("stones", F.coalesce("stones", none))
         # stones of one place keep their order; a mark goes before them
         placed = F.transform("stones", lambda x: F.struct(x["at"].cast("int").alias("at"), x["kind"].alias("kind"), x["put"].alias("put")))
         numbered = F.transform(F.concat("puts", placed), lambda x, i: F.struct(x["at"].alias("at"), x["kind"].alias("kind"), i.alias("i"), x["put"].alias("put")))

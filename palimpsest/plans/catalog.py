@@ -112,6 +112,16 @@ def offset_map(spark, sf_dir):
     return rows.select("doc_id", F.col("p.pos").alias("filtered_pos"), preprocess.corrected(F.col("p.pos"), F.col("m")).alias("original_pos"))
 
 
+@_query(f"""WITH {_SQL_DOCS}, g AS (SELECT doc_id, string_split(text, ', ') AS gaps FROM docs), i AS (SELECT *, unnest(range(1, len(gaps))) AS i FROM g)
+    SELECT doc_id, CAST(list_sum(list_transform(gaps[1:i], lambda y: length(y))) + i AS INTEGER) AS filtered_pos,
+    CAST(list_sum(list_transform(gaps[1:i], lambda y: length(y))) + 2 * i AS INTEGER) AS original_pos FROM i""")
+def context_filter(spark, sf_dir):
+    """The blank after a comma goes, by a pattern that looks behind; every entry of the map is a place before and after."""
+    found = preprocess.filter_chain(_documents(spark, sf_dir), "text", [("(?<=,) ", "")])
+    rows = found.select("doc_id", F.inline(F.get("maps", F.lit(0))))
+    return rows.select("doc_id", F.col("pos").alias("filtered_pos"), (F.col("pos") + F.col("diff")).alias("original_pos"))
+
+
 _SQL_TWISTED = _SQL_DOCS + ", t AS (SELECT doc_id, replace(text, '. ', concat(chr(3853), ' ', chr(3851))) AS x FROM docs)"
 
 
@@ -321,6 +331,19 @@ def confidence_min(spark, sf_dir):
     return annotations.confidence_min(cells, marks, ("doc_id",)).select("doc_id", "start", "end", "confidence")
 
 
+@_query(f"""WITH {_SQL_MATRIX}, base AS (SELECT collation_id, row_id, CAST(sum(length(coalesce(text, ''))) OVER (PARTITION BY collation_id ORDER BY row_id) - length(coalesce(text, '')) AS INTEGER) AS s FROM m WHERE witness_id = 0),
+    steps AS (SELECT doc_id // 3 AS collation_id, unnest(range(length(text) // 23 + 2)) AS i FROM docs WHERE doc_id % 3 = 0), o AS (SELECT collation_id, CAST(23 * i AS INTEGER) AS o FROM steps)
+    SELECT o.collation_id, o AS "offset", max(base.row_id) AS row_id, CAST(o - max(base.s) AS INTEGER) AS "at" FROM o JOIN base ON base.collation_id = o.collation_id AND base.s <= o GROUP BY o.collation_id, o""")
+def golden_anchors(spark, sf_dir):
+    """The rows and places where milestones of the base stand, one every 23 characters and one past its end."""
+    docs = _documents(spark, sf_dir)
+    rows = _matrix(spark, sf_dir).select("collation_id", "row_id", F.transform("cells", lambda c: F.coalesce(c["text"], F.lit(""))).alias("segs"))
+    rows = apparatus.apparatus(rows, apparatus.labels(sources.blocks(docs)), _OPTIONS).select("collation_id", "row_id", "base_start")
+    stones = sources.blocks(docs).where("witness_id = 0").select("collation_id", F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / 23).cast("int") + 1)).alias("i"))
+    stones = stones.select("collation_id", (F.col("i") * 23).alias("offset"), F.lit("[p]").alias("tag"))
+    return apparatus.stone_rows(rows, stones).select("collation_id", "offset", "row_id", "at")
+
+
 # alignments
 
 # Pairs by exact Jaccard similarity over all shingles, then what hangs together by them.

@@ -56,9 +56,7 @@ def common_spelling(
     cells = long_rows(wide)
     if patterns:
         maps = filtered.select("collation_id", F.col("witness_id").cast("int").alias("witness_id"), "_maps")
-        placed = cells.join(maps, ["collation_id", "witness_id"])
-        columns = {c: preprocess.corrected_chain(F.col(c), F.col("_maps")) for c in ("start", "end")}
-        cells = placed.withColumns(columns).select(cells.columns)
+        cells = preprocess.corrected_rows(cells, maps, ("start", "end"), ("collation_id", "witness_id"), "_maps")
     return weigh(cells, weighers or [Weigher(count_weight())])
 
 
