@@ -498,6 +498,68 @@ def scan_layers(spark, sf_dir):
     return collation.merge_scans(texts, marks, tok.GENERIC, tok.generic_norm)[1]
 
 
+# Every document as a collation of itself and two editions, whose readings are known: words carry their number, so that no two
+# are equal, and each seventh (eleventh) is another in the second (third) edition.
+
+_SQL_EDITIONS = _SQL_DOCS + (
+    r", l AS (SELECT doc_id AS collation_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM docs), t AS (SELECT collation_id, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS i FROM l)"
+    r", e AS (SELECT collation_id, i, CASE WHEN i < n - 1 THEN ' ' ELSE '' END AS blank, concat(regexp_replace(word, '[^\p{L}]', '', 'g'), 'q', i, blank) AS a, CASE WHEN i % 7 = 3 THEN concat('x', i, blank) ELSE a END AS b, CASE WHEN i % 11 = 5 THEN concat('y', i, blank) ELSE a END AS c FROM t)"
+    ", s AS (SELECT *, a <> b OR a <> c AS d FROM e), p AS (SELECT *, coalesce(d AND lag(d) OVER o, false) AS joins FROM s WINDOW o AS (PARTITION BY collation_id ORDER BY i))"
+    ", q AS (SELECT *, CAST(sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY collation_id ORDER BY i) - 1 AS INTEGER) AS row_id FROM p)"
+    ", m AS (SELECT collation_id, row_id, string_agg(a, '' ORDER BY i) AS a, string_agg(b, '' ORDER BY i) AS b, string_agg(c, '' ORDER BY i) AS c, bool_or(d) AS differs FROM q GROUP BY ALL)"
+    ", k AS (SELECT *, CAST(sum(CAST(differs AS INTEGER)) OVER (PARTITION BY collation_id ORDER BY row_id) AS INTEGER) AS no FROM m)"
+)
+
+
+def _editions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda x: x != "")
+    rows = _documents(spark, sf_dir).select(F.col("doc_id").alias("collation_id"), words.alias("w"))
+
+    def edition(mark: str | None, every: int = 1, at: int = 0) -> Column:
+        def word(x: Column, i: Column) -> Column:
+            own = F.concat(F.regexp_replace(x, r"[^\p{L}]", ""), F.lit("q"), i.cast("string"))
+            return F.when(i % every == at, F.concat(F.lit(mark), i.cast("string"))).otherwise(own) if mark else own
+
+        return F.array_join(F.transform("w", word), " ")
+
+    return rows.select("collation_id", F.posexplode(F.array(edition(None), edition("x", 7, 3), edition("y", 11, 5))).alias("witness_id", "text"))
+
+
+@_query(f"WITH {_SQL_EDITIONS} SELECT collation_id, row_id, md5(concat_ws('|', a, b, c)) AS texts, differs FROM m")
+def edition_alignment(spark, sf_dir):
+    """Aligned and merged rows, changed words in a row of their own, neighbouring ones in one."""
+    wide = align(_editions(spark, sf_dir))
+    texts = F.array_join(F.transform("cells", lambda c: F.coalesce(c["text"], F.lit(""))), "|")
+    return wide.select("collation_id", "row_id", F.md5(texts).alias("texts"), differs(F.col("cells")).alias("differs"))
+
+
+@_query(f"""WITH {_SQL_EDITIONS} SELECT collation_id, row_id, no AS note_no, rtrim(a) AS lemma,
+    concat('W1 ', rtrim(a), '] ', concat_ws('; ', CASE WHEN b <> a THEN concat('W2 ', rtrim(b)) END, CASE WHEN c <> a THEN concat('W3 ', rtrim(c)) END)) AS note FROM k WHERE differs""")
+def edition_notes(spark, sf_dir):
+    return apparatus.notes(collation.apparatus(_editions(spark, sf_dir)))
+
+
+@_query(f"""WITH {_SQL_EDITIONS} SELECT collation_id, md5(string_agg(CASE WHEN differs THEN concat(rtrim(a), '[^', no, ']', a[length(rtrim(a)) + 1:]) ELSE a END, '' ORDER BY row_id)) AS golden FROM k GROUP BY collation_id""")
+def edition_golden(spark, sf_dir):
+    return collation.golden_text(_editions(spark, sf_dir)).select("collation_id", F.md5("golden").alias("golden"))
+
+
+@_query(f"""WITH {_SQL_EDITIONS}, n AS (SELECT *, concat(a, ']', concat_ws(' ', concat('V1', CASE WHEN b = a THEN ',V2' ELSE '' END, CASE WHEN c = a THEN ',V3' ELSE '' END, ': ', a, ';'),
+    CASE WHEN b <> a THEN concat('V2: ', b, ';') END, CASE WHEN c <> a THEN concat('V3: ', c, ';') END)) AS note FROM k)
+    SELECT collation_id, md5(concat(string_agg(CASE WHEN differs THEN concat(a, '[^', no, ']') ELSE a END, '' ORDER BY row_id), chr(10), chr(10),
+    string_agg(CASE WHEN differs THEN concat('[^', no, ']: ', note, chr(10)) ELSE '' END, '' ORDER BY row_id))) AS md FROM n GROUP BY collation_id""")
+def edition_markdown(spark, sf_dir):
+    found = collation.common_spelling(_editions(spark, sf_dir), bo=False)
+    return serialize.markdown(serialize.voted_rows(found)).select("collation_id", F.md5("md").alias("md"))
+
+
+@_query(f"""WITH {_SQL_EDITIONS} SELECT collation_id, md5(string_agg(CASE WHEN differs THEN concat(a, '(', no, ') <', CASE WHEN b <> a THEN concat('V2', b) ELSE '' END,
+    CASE WHEN c <> a THEN concat('V3', c) ELSE '' END, '>') ELSE a END, '' ORDER BY row_id)) AS hfml FROM k GROUP BY collation_id""")
+def edition_hfml(spark, sf_dir):
+    found = collation.common_spelling(_editions(spark, sf_dir), bo=False)
+    return serialize.hfml(serialize.voted_rows(found)).select("collation_id", F.md5("hfml").alias("hfml"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
