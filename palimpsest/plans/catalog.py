@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import preprocess, tibetan
 from palimpsest.functions import tokens as tok
 from palimpsest.functions.readings import comparison_key, syllables
-from palimpsest.operators import annotations, apparatus, serialize
+from palimpsest.operators import annotations, apparatus, layers, serialize
 from palimpsest.operators.align import align, token_arrays
 from palimpsest.operators.anchored import place_long
 from palimpsest.operators.diff import edit_scripts
@@ -344,6 +344,23 @@ def golden_anchors(spark, sf_dir):
     return apparatus.stone_rows(rows, stones).select("collation_id", "offset", "row_id", "at")
 
 
+@_query(f"""WITH {_SQL_VOTED}, c AS (SELECT collation_id, witness_id, row_id, sum(length(coalesce(text, ''))) OVER o AS e, length(coalesce(text, '')) AS n FROM m WINDOW o AS (PARTITION BY collation_id, witness_id ORDER BY row_id)),
+    y AS (SELECT collation_id, row_id, sum(length(voted)) OVER (PARTITION BY collation_id ORDER BY row_id) AS e, length(voted) AS n FROM v),
+    p AS (SELECT doc_id // 3 AS collation_id, CAST(doc_id % 3 AS INTEGER) AS witness_id, length(text) AS n, unnest(range(length(text) // 100 + 1)) AS i FROM docs WHERE text <> ''),
+    s AS (SELECT collation_id, witness_id, i, 100 * i AS a, least(100 * i + 100, n) AS z FROM p WHERE 100 * i < n)
+    SELECT s.collation_id, s.witness_id, CAST(i AS INTEGER) AS reference, CAST(min(y.e - y.n) AS INTEGER) AS "start", CAST(max(y.e) AS INTEGER) AS "end"
+    FROM s JOIN c ON c.collation_id = s.collation_id AND c.witness_id = s.witness_id AND c.n > 0 AND c.e - c.n < s.z AND c.e > s.a JOIN y ON y.collation_id = c.collation_id AND y.row_id = c.row_id GROUP BY ALL""")
+def page_spans(spark, sf_dir):
+    """Pages of 100 characters of every witness, projected onto the voted text."""
+    pages = sources.blocks(_documents(spark, sf_dir)).where("text <> ''")
+    pages = pages.select("collation_id", "witness_id", F.length("text").alias("n"), F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 100).cast("int"))).alias("reference"))
+    pages = pages.select("collation_id", "witness_id", "reference", (F.col("reference") * 100).alias("start"), F.least(F.col("reference") * 100 + 100, "n").alias("end"))
+    cells = _cells(spark, sf_dir)
+    upto = F.sum(F.length(F.coalesce("text", F.lit("")))).over(Window.partitionBy("collation_id", "witness_id").orderBy("row_id"))
+    cells = cells.withColumn("start", (upto - F.length(F.coalesce("text", F.lit("")))).cast("int"))
+    return layers.project(pages, cells, vote(_weighted(spark, sf_dir)))
+
+
 # alignments
 
 # Pairs by exact Jaccard similarity over all shingles, then what hangs together by them.
