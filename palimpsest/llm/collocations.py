@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import discard, materialize, named, small
 from palimpsest.shipping import ship
 
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 SLICE_BYTES = 1 << 20
 MOST_BITS = 1 << 27
 COUNTERS = 1 << 24
