@@ -25,7 +25,7 @@ from palimpsest.options import A_CHUNG, COLORS, IGNORABLE, SHADS, Options
 from palimpsest.plans import collation
 from palimpsest.shipping import ship
 from palimpsest.sources import witnesses as sources
-from palimpsest.tables import written
+from palimpsest.tables import spread, written
 
 #: The generic token pattern in a form that other engines read alike.
 TOKEN = r"[\p{L}\p{M}\p{Nd}\p{Pc}]+\s*|[^\p{L}\p{M}\p{Nd}\p{Pc}]+"
@@ -45,7 +45,8 @@ def _query(sql: str | None = None):
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return spread(docs)
 
 
 def _tagged() -> Column:

@@ -29,6 +29,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return str(base).rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, a scan, dealt out anew if it has fewer splits than two a slot.
+
+    A small file may hold all its rows in one row group, which is one task whatever follows.  A scan of so few splits is at
+    most two of spark.sql.files.maxPartitionBytes a slot; larger ones are left as they are and move nothing.
+    """
+    wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
