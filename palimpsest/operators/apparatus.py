@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,13 +89,14 @@ def stone_rows(rows: DataFrame, milestones: DataFrame) -> DataFrame:
     return met.select("collation_id", F.col("_at").alias("offset"), "tag", "_row.row_id", (F.col("_at") - F.col("_row.start")).alias("at"))
 
 
-def golden(found: DataFrame, milestones: DataFrame | None = None) -> DataFrame:
-    """collation_id, golden: the base text with [^n] where notes stand, and milestones(collation_id, offset, tag) put back.
+def golden_puts(found: DataFrame, milestones: DataFrame | None = None) -> DataFrame:
+    """collation_id, row_id, base, puts: what stands in each row of the base text, in order, as an array of (at, kind, put).
 
-    A milestone belongs to the cell its offset falls into, what is left to the end; at a note's place it follows the mark.
+    kind 0: a note's mark, put is its number; kind 1: a milestone, of milestones(collation_id, offset, tag).  A milestone
+    belongs to the cell its offset falls into, what is left to the end; at a note's place it follows the mark.
     """
-    rows = found.select("collation_id", "row_id", F.get("segs", F.lit(0)).alias("base"), "base_start", "base_end", "note_no", F.coalesce("cut", F.length(F.get("segs", F.lit(0)))).alias("cut"))
-    mark = F.when(F.col("note_no").isNotNull(), F.array(F.struct(F.col("cut").alias("at"), F.lit(0).alias("kind"), F.concat(F.lit("[^"), F.col("note_no").cast("string"), F.lit("]")).alias("put")))).otherwise(F.expr("cast(array() as array<struct<at:int,kind:int,put:string>>)"))
+    rows = found.select("collation_id", "row_id", F.get("segs", F.lit(0)).alias("base"), "base_start", "note_no", F.coalesce("cut", F.length(F.get("segs", F.lit(0)))).alias("cut"))
+    mark = F.when(F.col("note_no").isNotNull(), F.array(F.struct(F.col("cut").alias("at"), F.lit(0).alias("kind"), F.col("note_no").cast("string").alias("put")))).otherwise(F.expr("cast(array() as array<struct<at:int,kind:int,put:string>>)"))
     rows = rows.withColumn("puts", mark)
     if milestones is not None:
         held = stone_rows(rows, milestones).select("collation_id", "row_id", F.struct("at", F.lit(1).alias("kind"), "offset", F.col("tag").alias("put")).alias("stone"))
@@ -105,14 +107,24 @@ def golden(found: DataFrame, milestones: DataFrame | None = None) -> DataFrame:
         placed = F.transform("stones", lambda x: F.struct(x["at"].cast("int").alias("at"), x["kind"].alias("kind"), x["put"].alias("put")))
         numbered = F.transform(F.concat("puts", placed), lambda x, i: F.struct(x["at"].alias("at"), x["kind"].alias("kind"), i.alias("i"), x["put"].alias("put")))
         rows = rows.withColumn("puts", F.transform(F.array_sort(numbered), lambda x: F.struct(x["at"].alias("at"), x["kind"].alias("kind"), x["put"].alias("put"))))
+    return rows.select("collation_id", "row_id", "base", "puts")
+
+
+def golden_pieces(rows: DataFrame, text: Callable[[Column], Column], put: Callable[[Column, Column], Column]) -> DataFrame:
+    """collation_id, row_id, piece of rows as golden_puts() gives them: text(stretch) and put(kind, put), in order."""
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     base = F.col("base")
 
     def step(s: Column, x: Column) -> Column:
         at = F.least(x["at"], F.length(base))
-        return F.struct(F.concat(s["out"], F.substring(base, s["at"] + 1, at - s["at"]), x["put"]).alias("out"), at.alias("at"))
+        return F.struct(F.concat(s["out"], text(F.substring(base, s["at"] + 1, at - s["at"])), put(x["kind"], x["put"])).alias("out"), at.alias("at"))
 
-    piece = F.aggregate("puts", start, step, lambda s: F.concat(s["out"], F.substring(base, s["at"] + 1, F.length(base))))
-    rows = rows.select("collation_id", "row_id", piece.alias("piece"))
+    piece = F.aggregate("puts", start, step, lambda s: F.concat(s["out"], text(F.substring(base, s["at"] + 1, F.length(base)))))
+    return rows.select("collation_id", "row_id", piece.alias("piece"))
+
+
+def golden(found: DataFrame, milestones: DataFrame | None = None) -> DataFrame:
+    """collation_id, golden: the base text with [^n] where notes stand, and milestones(collation_id, offset, tag) put back."""
+    rows = golden_pieces(golden_puts(found, milestones), lambda t: t, lambda kind, put: F.when(kind == 0, F.concat(F.lit("[^"), put, F.lit("]"))).otherwise(put))
     texts = rows.groupBy("collation_id").agg(F.array_sort(F.collect_list(F.struct("row_id", "piece"))).alias("r"))
     return texts.select("collation_id", F.array_join(F.transform("r", lambda x: x["piece"]), "").alias("golden"))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import io
+import random
 import zipfile
 from xml.etree import ElementTree
 
@@ -49,3 +50,30 @@ def test_stream_of_collations(spark, tmp_path):
     query = stream_notes(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/check")
     query.awaitTermination(120)
     assert {r.note for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {"W1 kyi] W2 ni", "W1 b] W2 c"}
+
+
+def test_documents_equal_those_made_by_hand(spark):
+    """Every document of many edited collations, byte by byte, with milestones at marks, in gaps and past the end."""
+    draw = random.Random(5)
+    rows, stones = [], []
+    for c in range(12):
+        base = [draw.choice(["ka/", "kha", "<ga>", "nga&", "ca\n", "།", "x\x01y", "_"]) for _ in range(draw.randint(1, 40))]
+        for w in range(draw.randint(2, 4)):
+            told = [x for x in base if w == 0 or draw.random() < 0.8]
+            told = [draw.choice(["ba", "ma "]) if w and draw.random() < 0.15 else x for x in told]
+            rows.append((c, w, " ".join(told)))
+        stones += [(c, o, f"[{c}.{o}]") for o in sorted(draw.sample(range(200), 8))]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    found = collation.apparatus(frame)
+    sigla = app.labels(frame)
+    held = spark.createDataFrame(stones, "collation_id long, offset int, tag string")
+    table, labels = found.toPandas(), {r.collation_id: list(r.labels) for r in sigla.collect()}
+    assert table["note"].notna().sum() > 50
+    for milestones in (None, held):
+        made = docx.reports(found, sigla, milestones).collect()
+        assert len(made) == table["collation_id"].nunique()
+        for r in made:
+            own = table[table["collation_id"] == r.collation_id]
+            placed = [(o, t) for c, o, t in stones if c == r.collation_id] if milestones is not None else []
+            assert bytes(r.report) == docx.report(own, labels[r.collation_id])
+            assert bytes(r.golden) == docx.golden(own, labels[r.collation_id], placed)
