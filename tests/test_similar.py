@@ -98,3 +98,23 @@ def test_no_pair_of_the_corpus_is_missed(spark):
     ).fetchall()
     assert len(pairs) > 500
     assert all(got.get(a) == got.get(b) is not None for a, b in pairs)
+
+
+@pytest.mark.parametrize(("hot", "sample"), [(0, 4000), (2, 0), (3, 4000), (1000, 0)])
+def test_pairs_and_chains_against_all_pairs(spark, monkeypatch, hot, sample):
+    """All of the links may come of pairs, all of chains, or some of each."""
+    monkeypatch.setattr(similar, "SAMPLE_ROWS", sample)
+    docs = spark.createDataFrame(rows(), "id long, text string").repartition(3)
+    for shingle, similarity in ((5, 0.8), (2, 0.5)):
+        got = {r.id: r.group for r in similar.similar_groups(docs, shingle, similarity, 3000, hot).collect()}
+        assert got == by_hand(rows(), shingle, similarity)
+
+
+def test_texts_that_share_a_few_rare_words_are_no_family(spark):
+    """Texts in a chain, each with a passage of the one before it, at no similarity: nothing to compare."""
+    texts = [(i, " ".join([f"s{i}{k}" for k in range(12)] + [f"u{i}x{k}" for k in range(80)] + [f"s{i + 1}{k}" for k in range(12)])) for i in range(200)]
+    docs = spark.createDataFrame(texts, "id long, text string")
+    own = docs.select("id", "text").mapInArrow(similar._signed(5, 0.8, spark.sparkContext.broadcast(similar._counts(docs, 5))), "id long, key long, size int, prefix array<long>")
+    links, _ = similar._links(own, 0.8, similar.HOT)
+    assert links.count() == 0
+    assert similar.similar_groups(docs).count() == 0
