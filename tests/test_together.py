@@ -48,3 +48,12 @@ def test_the_texts_of_a_collation_move_once(spark):
     plan = align(frame)._jdf.queryExecution().toString()
     physical = plan[plan.index("== Physical Plan ==") :]
     assert physical.count("Exchange hashpartitioning") == 1
+
+
+def test_weights_of_cells_are_told_without_a_sort(spark):
+    from palimpsest.plans import catalog
+
+    plan = catalog.queries()["weighted_mean"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan ==") :]
+    assert "Window" not in physical
+    assert "Sort [" not in physical
