@@ -178,3 +178,18 @@ def test_the_longest_words_of_a_list(spark):
     cells = witness_rows(long_rows(align(rows, cut))).select("collation_id", "witness_id", F.array_join(F.transform("cells", lambda c: c["text"]), "").alias("text"))
     got = {2 * r.collation_id + r.witness_id: r.text for r in cells.collect()}
     assert all(got.get(i, "") == (t or "") for i, t in enumerate(texts))
+
+
+def test_offsets_of_many_texts_come_in_small_batches():
+    import pyarrow as pa
+
+    from palimpsest.functions import tokens as tok
+
+    lists = pa.array([["ab", "c"], [], [""], ["def"]] * 100, pa.list_(pa.string()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), lists], ["doc_id", "tokens"])
+    parts = list(tok._placed(False)([batch]))
+    assert max(x.num_rows for x in parts) <= tok.AT_ONCE < 400
+    got = pa.Table.from_batches(parts).to_pydict()
+    assert got["doc_id"] == list(range(400))
+    assert got["ends"] == [[2, 3], [], [0], [3]] * 100
+    assert got["starts"] == [[0, 2], [], [0], [0]] * 100
