@@ -5,12 +5,19 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
-from palimpsest.functions.readings import comparison_key, display, note_text, syllables, trimmed
+from palimpsest.functions.readings import comparison_key, display, note_text, syllables
+from palimpsest.operators import ordered as streams
 from palimpsest.operators.align import reattach_achung, segments
-from palimpsest.options import COLORS, Options
+from palimpsest.operators.layout import each_row
+from palimpsest.options import A_CHUNG, COLORS, Options
+from palimpsest.shipping import ship
 
 
 def reading_rows(wide: DataFrame, o: Options) -> DataFrame:
@@ -21,10 +28,78 @@ def reading_rows(wide: DataFrame, o: Options) -> DataFrame:
     return rows.select("collation_id", "row_id", F.transform("r", lambda x: x["seg"]).alias("segs"))
 
 
+def _reattached(o: Options):
+    """reattach_achung() of all texts of collations' rows: arrays of arrays of cell texts, gaps empty."""
+    lone = re.compile("(?s)(|.*[" + re.escape(o.separators + o.shads) + "])([" + A_CHUNG + "]+)")
+
+    def moved(segs: list[str]) -> list[str]:
+        out, waiting, at = list(segs), "", -1
+        for i, cell in enumerate(segs):
+            if cell:
+                whole = waiting + cell
+                found = lone.fullmatch(whole)
+                out[i], waiting = found.groups() if found else (whole, "")
+                at = i
+        if waiting:
+            out[at] += waiting
+        return out
+
+    @F.arrow_udf(from_arrow_type(pa.list_(pa.list_(pa.string()))))
+    def texts(lists: pa.Array) -> pa.Array:
+        rows = lists.flatten()
+        cells = pc.fill_null(pc.struct_field(rows.flatten(), "text"), "")
+        if pc.any(pc.match_substring_regex(cells, "[" + A_CHUNG + "]$")).as_py():
+            own, at = cells.to_pylist(), 0
+            for n, width in zip(lists.value_lengths().to_pylist(), (len(x[0]) if len(x) else 0 for x in lists), strict=True):
+                for d in range(width):
+                    span = slice(at + d, at + n * width, width)
+                    own[span] = moved(own[span])
+                at += n * width
+            cells = pa.array(own, pa.string())
+        sizes = [pa.array(np.r_[0, np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False))], pa.int32()) for x in (rows, lists)]
+        return pa.ListArray.from_arrays(sizes[1], pa.ListArray.from_arrays(sizes[0], cells))
+
+    return texts
+
+
+def held_rows(held: DataFrame, o: Options) -> DataFrame:
+    """As reading_rows() of align.held(), in order, with its other columns in each collation's first row, but labels in all."""
+    moved = _reattached(o)("rows")
+    others = [c for c in held.columns if c not in ("collation_id", "of", "rows", "labels")]
+    rows = each_row(held, "of", "labels", *others, rows=moved)
+    first = [F.when(F.col("row_id") == 0, F.col(c)).alias(c) for c in others]
+    return rows.select("collation_id", "row_id", F.transform("of", lambda d: F.get("cells", d)).alias("segs"), "labels", *first)
+
+
+def _shared(readings: list[list[str]]) -> int:
+    """How many leading syllables all readings share."""
+    n = 0
+    while all(len(r) > n and r[n] == readings[0][n] for r in readings):
+        n += 1
+    return n
+
+
+@F.arrow_udf(from_arrow_type(pa.list_(pa.list_(pa.string()))))
+def _trimmed(lists: pa.Array) -> pa.Array:
+    """readings.trimmed() of each row's readings, where there are such."""
+    out: list[list[list[str]] | None] = []
+    for own in lists.to_pylist():
+        if own:
+            pre = _shared(own)
+            own = [r[pre:] for r in own]
+            suf = _shared([r[::-1] for r in own])
+            own = [r[: len(r) - suf] for r in own]
+        out.append(own)
+    return pa.array(out, pa.list_(pa.list_(pa.string())))
+
+
+def siglum(witnesses: DataFrame) -> Column:
+    return F.col("siglum") if "siglum" in witnesses.columns else F.concat(F.lit("W"), (F.col("witness_id") + 1).cast("string"))
+
+
 def labels(witnesses: DataFrame) -> DataFrame:
     """collation_id, labels: sigla by witness; W1, W2, ... without a column siglum."""
-    siglum = F.col("siglum") if "siglum" in witnesses.columns else F.concat(F.lit("W"), (F.col("witness_id") + 1).cast("string"))
-    rows = witnesses.groupBy("collation_id").agg(F.array_sort(F.collect_list(F.struct("witness_id", siglum.alias("s")))).alias("r"))
+    rows = witnesses.groupBy("collation_id").agg(F.array_sort(F.collect_list(F.struct("witness_id", siglum(witnesses).alias("s")))).alias("r"))
     return rows.select("collation_id", F.transform("r", lambda x: x["s"]).alias("labels"))
 
 
@@ -43,23 +118,25 @@ def anchor_cut(seg: Column, lemma_is_shad: Column, o: Options) -> Column:
     return F.when(cut == 0, blanks).otherwise(cut)
 
 
-def apparatus(rows: DataFrame, sigla: DataFrame, o: Options) -> DataFrame:
+def apparatus(rows: DataFrame, sigla: DataFrame | None, o: Options, ordered: bool = False) -> DataFrame:
     """rows with keys, differs, note_no, lemma, note, color, shaded and marked (by witness), base_start, base_end, cut.
 
-    Numbers run over the differing rows of a collation, which all have a note; null elsewhere.
+    Numbers run over the differing rows of a collation, which all have a note; null elsewhere.  Without sigla, rows have labels.
+    ordered: as operators.ordered says.
     """
-    rows = rows.join(sigla, "collation_id")
+    ship(rows.sparkSession)
+    rows = rows if sigla is None else rows.join(sigla, "collation_id")
     rows = rows.withColumn("keys", F.transform("segs", lambda x: comparison_key(x, o)))
     rows = rows.withColumn("differs", F.exists("keys", lambda k: k != F.get("keys", F.lit(0))))
+    base = F.get("segs", F.lit(0))
+    rows = rows.withColumn("labels", F.when(F.col("differs"), F.col("labels")))
+    rows = streams.running(rows, {"note_no": F.col("differs").cast("int"), "base_end": F.length(base)}, ordered)
     # most rows agree: only those that differ are split and trimmed
     rows = rows.withColumn("sylls", F.when(F.col("differs"), F.transform("segs", lambda x: syllables(x, o))))
-    rows = rows.withColumn("shown", F.when(F.col("differs"), F.transform(trimmed(F.col("sylls")), display)))
+    rows = rows.withColumn("shown", F.when(F.col("differs"), F.transform(_trimmed("sylls"), display)))
     note = F.when(F.col("differs"), note_text(F.col("labels"), F.col("keys"), F.col("shown"), o.positive))
-    order = Window.partitionBy("collation_id").orderBy("row_id")
-    number = F.when(F.col("differs"), F.sum(F.col("differs").cast("int")).over(order).cast("int"))
-    base = F.get("segs", F.lit(0))
-    end = F.sum(F.length(base)).over(order).cast("int")
-    rows = rows.withColumns({"note": note, "note_no": number, "lemma": F.when(F.col("differs"), F.get("shown", F.lit(0))), "base_end": end})
+    number = F.when(F.col("differs"), F.col("note_no"))
+    rows = rows.withColumns({"note": note, "note_no": number, "lemma": F.when(F.col("differs"), F.get("shown", F.lit(0)))})
     color = F.when(F.col("differs"), F.element_at(F.array(*map(F.lit, COLORS)), (F.col("note_no") - 1) % len(COLORS) + 1))
     base_key = F.get("keys", F.lit(0))
     apart = F.transform("keys", lambda k, i: F.when(i == 0, F.col("differs")).otherwise((k != base_key) | (base_key == "") & F.col("differs")))
@@ -123,6 +200,13 @@ def golden_pieces(rows: DataFrame, text: Callable[[Column], Column], put: Callab
     return rows.select("collation_id", "row_id", piece.alias("piece"))
 
 
+def golden_held(found: DataFrame) -> DataFrame:
+    """As golden(), of ordered rows with a column stones: the milestones (offset, tag) of a collation in its first row."""
+    mark = F.when(F.col("note_no").isNotNull(), F.concat(F.lit("[^"), F.col("note_no").cast("string"), F.lit("]")))
+    base = F.get("segs", F.lit(0))
+    return streams.marked(found.select("collation_id", "row_id", base.alias("base"), F.coalesce("cut", F.length(base)).alias("cut"), mark.alias("mark"), "stones"))
+
+
 def golden(found: DataFrame, milestones: DataFrame | None = None) -> DataFrame:
     """collation_id, golden: the base text with [^n] where notes stand, and milestones(collation_id, offset, tag) put back."""
     rows = golden_pieces(golden_puts(found, milestones), lambda t: t, lambda kind, put: F.when(kind == 0, F.concat(F.lit("[^"), put, F.lit("]"))).otherwise(put))

@@ -1,36 +1,35 @@
 """Serialised votes: plain text, csv entries, markdown and inline notes.
 
 weighted, everywhere, is long cells with weights or the rows of operators.weigh.weigh_rows(); rows that are dealt by collation
-already are not dealt again.
+already are not dealt again.  ordered, everywhere, is as operators.ordered says.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.operators.weigh import best, vote, weighed_cells
+from palimpsest.operators import cells
+from palimpsest.operators.ordered import joined, running
+from palimpsest.operators.weigh import vote, weighed_cells
+from palimpsest.shipping import ship
 
 
-def _in_rows(rows: DataFrame, piece: Column, name: str) -> DataFrame:
-    joined = rows.groupBy("collation_id").agg(F.array_sort(F.collect_list(F.struct("row_id", piece.alias("p")))).alias("r"))
-    return joined.select("collation_id", F.array_join(F.transform("r", lambda x: x["p"]), "").alias(name))
-
-
-def plain_text(weighted: DataFrame) -> DataFrame:
+def plain_text(weighted: DataFrame, ordered: bool = False) -> DataFrame:
     """collation_id, voted_text."""
-    return _in_rows(vote(weighted), F.col("voted"), "voted_text")
+    return joined(vote(weighted), {"voted_text": F.col("voted")}, ordered)
 
 
 def csv_entries(weighted: DataFrame) -> DataFrame:
     """collation_id, row_id, witness_id, entry: text_weight_, in brackets for the winner; a gap weighs 0."""
-    rows = weighed_cells(weighted).withColumn("top", -best(F.col("cells"))["n"])
+    ship(weighted.sparkSession)
+    rows = weighed_cells(weighted).withColumn("top", cells.best("cells")["top"])
 
     def entry(c: Column) -> Column:
         body = F.concat(F.coalesce(c["text"], F.lit("")), F.lit("_"), F.coalesce(c["weight"], F.lit(0)).cast("string"), F.lit("_"))
         return F.when(c["witness_id"] == F.col("top"), F.concat(F.lit("["), body, F.lit("]"))).otherwise(body)
 
-    return rows.select("collation_id", "row_id", F.inline(F.transform("cells", lambda c: F.struct(c["witness_id"].alias("witness_id"), entry(c).alias("entry")))))
+    return rows.select("collation_id", "row_id", F.inline_outer(F.transform("cells", lambda c: F.struct(c["witness_id"].alias("witness_id"), entry(c).alias("entry"))))).where("witness_id is not null")
 
 
 def csv_lines(weighted: DataFrame) -> DataFrame:
@@ -46,46 +45,37 @@ def voted_rows(weighted: DataFrame, versions: DataFrame | None = None, codes: di
     codes: version name -> code, of the versions to serialise (versions: collation_id, witness_id, name); without any,
     all witnesses, as V1, V2, ...
     """
+    ship(weighted.sparkSession)
     rows = weighed_cells(weighted)
     if codes:
         table = F.create_map(*(F.lit(x) for pair in codes.items() for x in pair))
         known = versions.select("collation_id", F.struct(F.col("witness_id").cast("int"), F.try_element_at(table, F.col("name"))).alias("c")).groupBy("collation_id").agg(F.map_from_entries(F.collect_list("c")).alias("codes"))
         rows = rows.join(known, "collation_id", "left")
-        code = lambda w: F.try_element_at("codes", w.cast("int"))
+        own = F.transform("cells", lambda c: F.try_element_at("codes", c["witness_id"].cast("int")))
+        found = cells.voted_by("cells", own)
     else:
-        code = lambda w: F.concat(F.lit("V"), (w + 1).cast("string"))
-    cell = F.transform("cells", lambda c: F.struct(c["witness_id"].alias("witness_id"), F.coalesce(c["text"], F.lit("")).alias("text"), code(c["witness_id"]).alias("code")))
-    rows = rows.select("collation_id", "row_id", cell.alias("c"), best(F.col("cells")).alias("best"))
-    differs = F.size(F.array_distinct(F.transform("c", lambda x: x["text"]))) > 1
-    shown = F.filter("c", lambda x: x["code"].isNotNull())
-    rows = rows.select("collation_id", "row_id", F.col("best.t").alias("voted"), differs.alias("differs"), shown.alias("c"))
-    groups = F.transform(F.array_distinct(F.transform("c", lambda x: x["text"])), lambda t: F.struct(t.alias("reading"), F.transform(F.filter("c", lambda x: x["text"] == t), lambda x: x["code"]).alias("codes")))
-    return rows.select("collation_id", "row_id", "voted", "differs", F.when(F.col("differs"), groups).alias("groups"))
-
-
-def _numbered(rows: DataFrame, counts: Column) -> DataFrame:
-    order = Window.partitionBy("collation_id").orderBy("row_id")
-    return rows.withColumn("n", F.when(counts, F.sum(counts.cast("int")).over(order).cast("int")))
+        found = cells.voted("cells")
+    return rows.select("collation_id", "row_id", found.alias("v")).select("collation_id", "row_id", "v.*")
 
 
-def _md_noted(rows: DataFrame) -> DataFrame:
+def _note(rows: DataFrame) -> DataFrame:
     parts = F.transform("groups", lambda g: F.concat(F.array_join(g["codes"], ","), F.lit(": "), g["reading"], F.lit(";")))
-    return _numbered(rows, F.col("differs")).withColumn("note", F.when(F.col("differs"), F.concat("voted", F.lit("]"), F.array_join(parts, " "))))
+    return rows.select("collation_id", "row_id", "voted", "differs", F.when(F.col("differs"), F.concat("voted", F.lit("]"), F.array_join(parts, " "))).alias("note"))
 
 
-def md_notes(rows: DataFrame) -> DataFrame:
+def md_notes(rows: DataFrame, ordered: bool = False) -> DataFrame:
     """collation_id, row_id, n, note: one for each differing row, agreeing versions included."""
-    return _md_noted(rows).where("differs").select("collation_id", "row_id", "n", "note")
+    noted = _note(rows.where("differs")).select("collation_id", "row_id", "note")
+    return running(noted, {"n": F.lit(1)}, ordered).select("collation_id", "row_id", "n", "note")
 
 
-def markdown(rows: DataFrame) -> DataFrame:
+def markdown(rows: DataFrame, ordered: bool = False) -> DataFrame:
     """collation_id, md: the voted text with note marks, a blank line, the notes."""
+    noted = running(_note(rows), {"n": F.col("differs").cast("int")}, ordered)
     number = F.col("n").cast("string")
     body = F.concat("voted", F.when(F.col("differs"), F.concat(F.lit("[^"), number, F.lit("]"))).otherwise(""))
     line = F.when(F.col("differs"), F.concat(F.lit("[^"), number, F.lit("]: "), "note", F.lit("\n"))).otherwise("")
-    joined = _md_noted(rows).groupBy("collation_id").agg(F.array_sort(F.collect_list(F.struct("row_id", body.alias("b"), line.alias("l")))).alias("r"))
-    put = [F.array_join(F.transform("r", lambda x: x["b"]), ""), F.lit("\n\n"), F.array_join(F.transform("r", lambda x: x["l"]), "")]
-    return joined.select("collation_id", F.concat(*put).alias("md"))
+    return joined(noted, {"b": body, "l": line}, ordered).select("collation_id", F.concat("b", F.lit("\n\n"), "l").alias("md"))
 
 
 def single_syllable(text: Column) -> Column:
@@ -93,16 +83,16 @@ def single_syllable(text: Column) -> Column:
     return F.size(F.filter(F.split(text, "་", -1), lambda x: x != "")) == 1
 
 
-def hfml_notes(rows: DataFrame) -> DataFrame:
+def hfml_notes(rows: DataFrame, ordered: bool = False) -> DataFrame:
     """rows with note (<CODEreading...>, without readings equal to the vote; null if none is left) and its number n."""
     others = F.filter("groups", lambda g: g["reading"] != F.col("voted"))
     note = F.when(F.col("differs") & (F.size(others) > 0), F.concat(F.lit("<"), F.array_join(F.transform(others, lambda g: F.concat(F.array_join(g["codes"], ""), g["reading"])), ""), F.lit(">")))
-    noted = rows.withColumn("note", note)
-    return _numbered(noted, F.col("note").isNotNull())
+    noted = running(rows.withColumn("note", note), {"n": F.col("note").isNotNull().cast("int")}, ordered)
+    return noted.withColumn("n", F.when(F.col("note").isNotNull(), F.col("n")))
 
 
-def hfml(rows: DataFrame) -> DataFrame:
+def hfml(rows: DataFrame, ordered: bool = False) -> DataFrame:
     """collation_id, hfml: the voted text with numbered inline notes; a reading of more syllables than one begins with a colon."""
-    noted = hfml_notes(rows)
+    noted = hfml_notes(rows, ordered)
     piece = F.when(F.col("note").isNull(), F.col("voted")).otherwise(F.concat(F.when(single_syllable(F.col("voted")), "").otherwise(":"), "voted", F.lit("("), F.col("n").cast("string"), F.lit(") "), "note"))
-    return _in_rows(noted, piece, "hfml")
+    return joined(noted, {"hfml": piece}, ordered)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.valid_syllable import valid_weight
+from palimpsest.operators import cells
+from palimpsest.shipping import ship
 
 ROW = ("collation_id", "row_id")
 
@@ -51,10 +53,10 @@ def combined(weighers: list[Weigher]) -> Column:
     return F.when(some & absolute.isNotNull(), F.floor(absolute * relative / 100).cast("int")).otherwise(absolute)
 
 
-def weigh(cells: DataFrame, weighers: list[Weigher], skip_identical_rows: bool = False) -> DataFrame:
+def weigh(long: DataFrame, weighers: list[Weigher], skip_identical_rows: bool = False) -> DataFrame:
     """Long cells with a column weight; null where nothing applies."""
     names = [f"_w{i}" for i in range(len(weighers))]
-    rows = cells.withColumns({n: w.weight for n, w in zip(names, weighers, strict=True)})
+    rows = long.withColumns({n: w.weight for n, w in zip(names, weighers, strict=True)})
     weight = combined([Weigher(F.col(n), w.share, w.relative) for n, w in zip(names, weighers, strict=True)])
     if skip_identical_rows:
         row = Window.partitionBy(*ROW)
@@ -65,13 +67,8 @@ def weigh(cells: DataFrame, weighers: list[Weigher], skip_identical_rows: bool =
 
 def weigh_rows(wide: DataFrame) -> DataFrame:
     """collation_id, row_id, cells (witness_id, text, weight) of wide rows (cells with text): weighed by count_weight(), within the row."""
-    texts = F.transform("cells", lambda c: F.coalesce(c["text"], F.lit("")))
-
-    def cell(c: Column, i: Column) -> Column:
-        same = F.size(F.filter(texts, lambda x: x == F.coalesce(c["text"], F.lit(""))))
-        return F.struct(i.alias("witness_id"), c["text"].alias("text"), F.floor(same.cast("double") / F.size("cells") * 100).cast("int").alias("weight"))
-
-    return wide.select(*ROW, F.transform("cells", cell).alias("cells"))
+    ship(wide.sparkSession)
+    return wide.select(*ROW, cells.by_count(F.transform("cells", lambda c: F.struct(c["text"].alias("text")))).alias("cells"))
 
 
 def weighed_cells(weighted: DataFrame) -> DataFrame:
@@ -81,11 +78,8 @@ def weighed_cells(weighted: DataFrame) -> DataFrame:
     return weighted.groupBy(*ROW).agg(F.array_sort(F.collect_list(F.struct("witness_id", "text", "weight"))).alias("cells"))
 
 
-def best(cells: Column) -> Column:
-    """(w, n, t): weight, negated witness and text of the winner: the greatest weight, the least witness at a tie."""
-    return F.array_max(F.transform(cells, lambda c: F.struct(F.coalesce(c["weight"], F.lit(0)).alias("w"), (-c["witness_id"]).alias("n"), F.coalesce(c["text"], F.lit("")).alias("t"))))
-
-
 def vote(weighted: DataFrame) -> DataFrame:
-    """collation_id, row_id, top (witness), voted, of long cells or weighed rows."""
-    return weighed_cells(weighted).withColumn("b", best(F.col("cells"))).select(*ROW, (-F.col("b.n")).alias("top"), F.col("b.t").alias("voted"))
+    """collation_id, row_id, top (witness), voted, of long cells or weighed rows: the greatest weight, the least witness at a tie."""
+    ship(weighted.sparkSession)
+    rows = weighed_cells(weighted)
+    return rows.select(*ROW, cells.best("cells").alias("b")).select(*ROW, F.col("b.top").alias("top"), F.col("b.text").alias("voted"))
