@@ -90,14 +90,14 @@ def collate_texts(spark: SparkSession, texts: dict[str, str], pattern: str = GEN
     return wide.select("row_id", *(F.get("cells", F.lit(i))["text"].alias(n) for i, n in enumerate(names))).orderBy("row_id")
 
 
-def merge_scans(witnesses: DataFrame, confidences: DataFrame, pattern: str = TIBETAN, norm=tibetan_norm, bucket: int = 64) -> tuple[DataFrame, DataFrame]:
+def merge_scans(witnesses: DataFrame, confidences: DataFrame, pattern: str = TIBETAN, norm=tibetan_norm) -> tuple[DataFrame, DataFrame]:
     """Base texts and annotation layers voted from scans of one text.
 
     confidences: collation_id, witness_id, start, confidence (0 to 1), of spans of each witness's text.  A reading weighs
     by count, scaled by the least confidence of its span; the voted text keeps that confidence.
     """
     cells = written(long_rows(align(witnesses, pattern, norm)), "scan-cells")
-    known = confidence_min(cells, confidences, bucket=bucket)
+    known = confidence_min(cells, confidences)
     weighted = weigh(known, [Weigher(count_weight()), Weigher(F.col("confidence"), relative=True)])
     best = F.max(F.struct(F.coalesce("weight", F.lit(0)).alias("w"), (-F.col("witness_id")).alias("n"), F.coalesce("text", F.lit("")).alias("t"), F.col("confidence").alias("c"))).alias("b")
     voted = weighted.groupBy("collation_id", "row_id").agg(best)
