@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
@@ -57,16 +58,42 @@ def _by_position(witnesses: pa.Array, lists: pa.Array) -> pa.Array:
     return pa.concat_arrays(out)
 
 
-def held_positions(witnesses: DataFrame, pattern: str) -> DataFrame:
+def held_positions(witnesses: DataFrame, pattern: str, each: tuple[str, ...] = ()) -> DataFrame:
     """collation_id, rows (arrays of cells with text) by token position, of witnesses(collation_id, witness_id, text); where a text has ended, null.
 
     The texts meet once, by collation; everything that follows by collation moves no row.  A witness that is not there has gaps.
+    each: columns of witnesses, of which all witnesses' values are kept, as arrays, in no order.
     """
     # the filter keeps all; without it the optimizer takes the function below for a part of the aggregation
     ship(witnesses.sparkSession)
-    met = witnesses.groupBy("collation_id").agg(F.collect_list(F.struct(F.col("witness_id").cast("int").alias("w"), F.col("text").alias("text"))).alias("w")).where(F.size("w") > 0)
+    met = witnesses.groupBy("collation_id").agg(F.collect_list(F.struct(F.col("witness_id").cast("int").alias("w"), F.col("text").alias("text"), *each)).alias("w")).where(F.size("w") > 0)
     tokens = F.transform(F.col("w.text"), lambda t: token_array(t, pattern))
-    return met.select("collation_id", _by_position("w.w", tokens).alias("rows"))
+    return met.select("collation_id", *(F.col("w")[c].alias(c) for c in each), _by_position("w.w", tokens).alias("rows"))
+
+
+@F.arrow_udf(from_arrow_type(pa.list_(pa.struct([("witness_id", pa.int32()), ("cells", pa.list_(pa.struct([("text", pa.string())])))]))))
+def _transposed(lists: pa.Array) -> pa.Array:
+    kind = pa.struct([("text", pa.string())])
+    out = [pa.array([], pa.list_(pa.struct([("witness_id", pa.int32()), ("cells", pa.list_(kind))])))]
+    for rows in (x.values for x in lists):
+        flat = rows.flatten()
+        width = len(flat) // len(rows) if len(rows) else 0
+        texts = pc.struct_field(flat, "text")
+        order = np.arange(len(flat)).reshape(-1, width).T.reshape(-1) if width else np.zeros(0, np.int64)
+        # places in order of witnesses, without the gaps
+        there = texts.is_valid().to_numpy(zero_copy_only=False)[order]
+        sizes = there.reshape(width, -1).sum(axis=1) if width else np.zeros(0, np.int64)
+        own = pa.StructArray.from_arrays([texts.take(pa.array(order[there]))], fields=kind.fields)
+        cells = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), own)
+        each = pa.StructArray.from_arrays([pa.array(np.arange(width), pa.int32()), cells], ["witness_id", "cells"])
+        out.append(pa.ListArray.from_arrays(pa.array([0, width], pa.int32()), each))
+    return pa.concat_arrays(out)
+
+
+def held_witnesses(held: DataFrame) -> DataFrame:
+    """collation_id, witness_id, cells (text): the rows of held_positions() transposed where they are, each witness's cells in row order, without gaps."""
+    ship(held.sparkSession)
+    return held.select("collation_id", F.inline_outer(_transposed("rows"))).where("witness_id is not null")
 
 
 def each_row(held: DataFrame, *names: str, rows: str | Column = "rows") -> DataFrame:
