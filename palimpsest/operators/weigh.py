@@ -65,10 +65,10 @@ def weigh(long: DataFrame, weighers: list[Weigher], skip_identical_rows: bool =
     return rows.withColumn("weight", weight).drop(*names)
 
 
-def weigh_rows(wide: DataFrame) -> DataFrame:
-    """collation_id, row_id, cells (witness_id, text, weight) of wide rows (cells with text): weighed by count_weight(), within the row."""
+def weigh_rows(wide: DataFrame, *keep: str) -> DataFrame:
+    """collation_id, row_id, columns to keep, cells (witness_id, text, weight) of wide rows (cells with text): weighed by count_weight(), within the row."""
     ship(wide.sparkSession)
-    return wide.select(*ROW, cells.by_count(F.transform("cells", lambda c: F.struct(c["text"].alias("text")))).alias("cells"))
+    return wide.select(*ROW, *keep, cells.by_count(F.transform("cells", lambda c: F.struct(c["text"].alias("text")))).alias("cells"))
 
 
 def weighed_cells(weighted: DataFrame) -> DataFrame:
@@ -78,8 +78,8 @@ def weighed_cells(weighted: DataFrame) -> DataFrame:
     return weighted.groupBy(*ROW).agg(F.array_sort(F.collect_list(F.struct("witness_id", "text", "weight"))).alias("cells"))
 
 
-def vote(weighted: DataFrame) -> DataFrame:
-    """collation_id, row_id, top (witness), voted, of long cells or weighed rows: the greatest weight, the least witness at a tie."""
+def vote(weighted: DataFrame, *keep: str) -> DataFrame:
+    """collation_id, row_id, columns to keep (of weighed rows), top (witness), voted, of long cells or weighed rows: the greatest weight, the least witness at a tie."""
     ship(weighted.sparkSession)
     rows = weighed_cells(weighted)
-    return rows.select(*ROW, cells.best("cells").alias("b")).select(*ROW, F.col("b.top").alias("top"), F.col("b.text").alias("voted"))
+    return rows.select(*ROW, *keep, cells.best("cells").alias("b")).select(*ROW, *keep, F.col("b.top").alias("top"), F.col("b.text").alias("voted"))
