@@ -22,9 +22,11 @@ Every step moves rows of windows that repeat, not the corpus; no group of unboun
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,45 +54,57 @@ def _rolled(hashes: np.ndarray, k: int) -> np.ndarray:
     return out * _MIX
 
 
-def _anchored(words: list[bytes], size: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, first window and number of windows of each stretch of windows that share an anchor."""
-    grams = _rolled(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), gram)
-    at = np.lib.stride_tricks.sliding_window_view(grams, size - gram + 1).argmin(1)
-    at += np.arange(len(at))
-    first = np.flatnonzero(np.diff(at, prepend=-1))
-    return grams[at[first]].view(np.int64), first.astype(np.int32), np.diff(first, append=len(at)).astype(np.int32)
+def _anchored(words: list[list[bytes]], size: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Text, anchor, first window and number of windows of each stretch of windows that share an anchor, of texts of size words at least.
+
+    All texts are hashed and rolled as one; grams and windows that reach from one into the next are left out.
+    """
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    begin = np.cumsum(lengths) - lengths
+    grams = _rolled(np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(words)), np.uint64, int(lengths.sum())), gram)
+    n = len(grams) - (size - gram)
+    least, at = grams[:n].copy(), np.arange(n)
+    for k in range(1, size - gram + 1):
+        less = np.flatnonzero(grams[k : k + n] < least)
+        least[less], at[less] = grams[less + k], less + k
+    of = np.repeat(np.arange(len(words)), lengths)[:n]
+    whole = np.arange(n) + size <= (begin + lengths)[of]
+    first = np.flatnonzero(whole & (np.diff(at, prepend=-1) != 0))
+    # a text's first window begins a stretch whatever the one before it has
+    first = np.union1d(first, begin)
+    # windows that reach over a text's end belong to none
+    upto = np.minimum(np.append(first[1:], n), (begin + lengths - size + 1)[of[first]])
+    return of[first], least[first].view(np.int64), (first - begin[of[first]]).astype(np.int32), (upto - first).astype(np.int32)
 
 
 def _anchors(size: int, gram: int, frequent: np.ndarray):
     """Rows a, o, th, s, n, route; route 1 for the frequent anchors (a sorted array)."""
     names = ["a", "o", "th", "s", "n", "route"]
 
+    def batched(words: list[list[bytes]], o: list[int], th: list[int]) -> pa.RecordBatch:
+        of, anchor, first, n = _anchored(words, size, gram)
+        route = np.zeros(len(anchor), np.int32)
+        if len(frequent):
+            at = np.minimum(np.searchsorted(frequent, anchor), len(frequent) - 1)
+            route[frequent[at] == anchor] = 1
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, np.array(o, np.int64)[of], np.array(th, np.int64)[of], first, n, route)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, own, hashes, held = [], [], [], 0
         for batch in batches:
-            out: list[list] = [[] for _ in names[:5]]
-            held = 0
-
-            def batched(out: list[list]) -> pa.RecordBatch:
-                columns = [np.concatenate(x) for x in out]
-                route = np.zeros(len(columns[0]), np.int32)
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, columns[0]), len(frequent) - 1)
-                    route[frequent[at] == columns[0]] = 1
-                return pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, route)], names)
-
             for o, th, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                words = text.encode().split() if text else []
-                if len(words) < size:
+                found = text.encode().split() if text else []
+                if len(found) < size:
                     continue
-                anchor, first, n = _anchored(words, size, gram)
-                for column, x in zip(out, (anchor, np.full(len(n), o), np.full(len(n), th), first, n), strict=True):
-                    column.append(x)
-                held += len(n)
+                words.append(found)
+                own.append(o)
+                hashes.append(th)
+                held += len(found)
                 if held > 200_000:
-                    yield batched(out)
-                    out, held = [[] for _ in names[:5]], 0
-            if held:
-                yield batched(out)
+                    yield batched(words, own, hashes)
+                    words, own, hashes, held = [], [], [], 0
+        if held:
+            yield batched(words, own, hashes)
 
     return run
 
@@ -109,7 +123,7 @@ def _frequent(own: DataFrame, size: int, hot: int) -> np.ndarray:
 
 
 def _repeated(hot: int):
-    """Rows sorted by route, anchor and document in; those of route 1 pass, of the others those whose anchor two documents hold.
+    """Rows sorted by anchor and document in; those of route 1 pass, of the others those whose anchor two documents hold.
 
     A run of more than `hot` rows is turned to route 1; no more than `hot` rows and a batch are held.
     """
@@ -230,28 +244,57 @@ class Automaton:
             p = self.link[p]
         return clone
 
-    def add(self, words: list[bytes], doc: int) -> None:
-        p = 0
+    def add(self, words: list[bytes], doc: int) -> list[int]:
+        """Take in a sequence; the states of its prefixes, which stay theirs whatever comes after."""
+        moves, link, length, first = self.next, self.link, self.length, self.first
+        p, states = 0, []
         for word in words:
-            q = self.next[p].get(word)
+            q = moves[p].get(word)
             if q is not None:
-                p = self._split(p, word, q)
+                p = q if length[q] == length[p] + 1 else self._split(p, word, q)
             else:
-                new = self._state(self.length[p] + 1, 0, {}, _LAST)
-                while p >= 0 and (q := self.next[p].get(word)) is None:
-                    self.next[p][word] = new
-                    p = self.link[p]
+                new = len(length)
+                moves.append({})
+                length.append(length[p] + 1)
+                link.append(0)
+                first.append(_LAST)
+                while p >= 0 and (q := moves[p].get(word)) is None:
+                    moves[p][word] = new
+                    p = link[p]
                 if p >= 0:
-                    self.link[new] = self._split(p, word, q)
+                    link[new] = q if length[q] == length[p] + 1 else self._split(p, word, q)
                 p = new
-            if doc < self.first[p]:
-                self.first[p] = doc
+            if doc < first[p]:
+                first[p] = doc
+            states.append(p)
+        return states
 
     def close(self) -> None:
-        """Hand the first documents down to the suffixes."""
-        for v in sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True):
-            if self.first[v] < self.first[self.link[v]]:
-                self.first[self.link[v]] = self.first[v]
+        """Hand the first documents down to the suffixes, longest states first."""
+        link, first = np.array(self.link), np.array(self.first, np.int64)
+        for level in reversed(self._levels()):
+            np.minimum.at(first, link[level], first[level])
+        self.first = first.tolist()
+
+    def _levels(self) -> list[np.ndarray]:
+        """The states but the first, by length."""
+        length = np.array(self.length)
+        order = np.argsort(length, kind="stable")[1:]
+        return np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(order) else []
+
+    def known(self, size: int) -> np.ndarray:
+        """Of each state, the first document of the last `size` words of its longest sequence.
+
+        The statistics of a sequence that was added are its own prefixes, cut to size: their states, from add(), tell where
+        its words match, and this what the match says.  Shorter states have the least number for none.
+        """
+        length, link, first = np.array(self.length), np.array(self.link), np.array(self.first, np.int64)
+        found = np.full(len(length), -1, np.int64)
+        for level in self._levels():
+            if length[level[0]] >= size:
+                up = link[level]
+                found[level] = np.where(length[up] >= size, found[up], first[level])
+        return found
 
     def statistics(self, words: list[bytes], size: int) -> Iterator[tuple[int, int]]:
         """For each word, the length of the longest known sequence that ends there, at most size, and its first document."""
@@ -272,15 +315,16 @@ def _judged(size: int):
     """Per distinct stretch, the first document of each of its windows; rows come by shard key."""
 
     def shard(rows: list[tuple]) -> Iterator[tuple]:
-        known = Automaton()
-        split = [seg.split() for _, _, seg, *_ in rows]
-        for words, (_, _, _, first, *_) in zip(split, rows, strict=True):
-            known.add(words, first)
-        known.close()
-        for words, (key, sh, _, _, last, _) in zip(split, rows, strict=True):
-            firsts = [first for matched, first in known.statistics(words, size) if matched >= size]
-            if last > min(firsts):
-                yield key, sh, firsts
+        automaton = Automaton()
+        ends = [automaton.add(seg.split(), first)[size - 1 :] for _, _, seg, first, _, _ in rows]
+        automaton.close()
+        counts = np.fromiter(map(len, ends), np.int64, len(ends))
+        upto = np.cumsum(counts)
+        firsts = automaton.known(size)[np.fromiter(chain.from_iterable(ends), np.int64, int(upto[-1]))]
+        least = np.minimum.reduceat(firsts, upto - counts)
+        later = np.fromiter((last for _, _, _, _, last, _ in rows), np.int64, len(rows)) > least
+        for i in np.flatnonzero(later).tolist():
+            yield rows[i][0], rows[i][1], firsts[upto[i] - counts[i] : upto[i]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, held, out = None, [], 0, []
@@ -315,19 +359,21 @@ def _removed(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, spans, kept = [], [], []
-            for text, marks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            marks = batch.column(2)
+            bounds = np.r_[0, np.cumsum(pc.fill_null(marks.value_lengths(), 0).to_numpy())]
+            first, mask = (marks.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("s", "mask"))
+            for i, text in enumerate(batch.column(1).to_pylist()):
                 words = text.encode().split() if text else []
                 n_words.append(len(words))
-                if not marks:
+                if bounds[i] == bounds[i + 1]:
                     spans.append([])
                     kept.append(b" ".join(words).decode())
                     continue
-                cover = np.zeros(len(words) + 1, np.int32)
-                for m in marks:
-                    for i in range(m["mask"].bit_length()):
-                        if m["mask"] >> i & 1:
-                            cover[m["s"] + i] += 1
-                            cover[m["s"] + i + size] -= 1
+                # the marked windows of each mask, bit by bit, of all marks at once
+                own = slice(bounds[i], bounds[i + 1])
+                mark, bit = np.nonzero(np.unpackbits(mask[own].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+                at = first[own][mark] + bit
+                cover = np.bincount(at, minlength=len(words) + 1) - np.bincount(at + size, minlength=len(words) + 1)
                 edges = np.flatnonzero(np.diff(np.r_[0, (np.cumsum(cover) > 0).astype(np.int8)]))
                 edges = [*edges, len(words)] if len(edges) % 2 else [*edges]
                 ends = [(int(a), int(b)) for a, b in zip(edges[::2], edges[1::2], strict=True)]
@@ -362,7 +408,8 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     own = docs.select(named(doc_id).alias("doc_id"), F.coalesce(named(doc_id).cast("long"), F.lit(_LAST)).alias("o"), th.alias("th"), named(text).alias("text"))
     anchors = own.select("o", "th", "text").mapInArrow(_anchors(min_words, GRAM, _frequent(own, min_words, hot)), _ANCHORS)
     dealt = anchors.repartition(F.when(F.col("route") == 1, F.xxhash64("o", "s")).otherwise(F.col("a")))
-    repeated = dealt.sortWithinPartitions("route", "a", "o").mapInArrow(_repeated(hot), _ANCHORS)
+    # anchors are told apart by the sort's first eight bytes; the route, first, would leave all to compare
+    repeated = dealt.sortWithinPartitions("a", "o").mapInArrow(_repeated(hot), _ANCHORS)
     marks = repeated.groupBy("o", "th").agg(F.collect_set(F.struct("s", "n", "a", "route")).alias("marks"))
     marks = materialize(marks, "marks", "zstd")
     cut = own.select("o", "th", "text").join(marks.hint("shuffle_hash"), ["o", "th"]).select("o", "th", "text", "marks")
