@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,13 +24,15 @@ def comparison_key(cell: Column, o: Options) -> Column:
 
 def syllables(cell: Column, o: Options) -> Column:
     """Display syllables; a bare a-chung joins the one before it, or the first."""
-    whole = F.translate(cell, o.shads, "") if o.ignore_shad else cell
-    parts = F.transform(F.split(F.coalesce(whole, F.lit("")), o.separator_regex, -1), lambda p: F.translate(p, o.ignored + _BREAK, ""))
-    parts = F.filter(parts, lambda p: p != "")
+    # what is ignored goes from the whole, but for what parts syllables, of which none is left in them
+    gone = (o.shads if o.ignore_shad else "") + "".join(c for c in o.ignored + _BREAK if c not in o.separators and not c.isspace())
+    parts = F.filter(F.split(F.translate(F.coalesce(cell, F.lit("")), gone, ""), o.separator_regex, -1), lambda p: p != "")
     # a part that is nothing but a-chungs loses the break before it, and the first part the break after it
     row = F.regexp_replace(F.array_join(parts, _BREAK), f"{_BREAK}([{A_CHUNG}]+)(?={_BREAK}|\\z)", "$1")
     row = F.regexp_replace(row, f"^([{A_CHUNG}]+){_BREAK}", "$1")
-    return F.when(row == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(row, _BREAK, -1))
+    joined = F.when(row == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(row, _BREAK, -1))
+    some = reduce(or_, (F.contains(cell, F.lit(c)) for c in A_CHUNG))
+    return F.when(some, joined).otherwise(parts)
 
 
 def common_prefix(readings: Column) -> Column:
@@ -46,7 +51,7 @@ def trimmed(readings: Column) -> Column:
 
 
 def display(reading: Column) -> Column:
-    tibetan = F.exists(reading, lambda s: s.rlike("[ༀ-࿿]"))
+    tibetan = F.array_join(reading, " ").rlike("[ༀ-࿿]")
     return F.when(F.size(reading) == 0, OMITTED).when(tibetan, F.array_join(reading, TSHEG)).otherwise(F.array_join(reading, " "))
 
 

@@ -10,12 +10,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type
 
 from palimpsest.functions.readings import comparison_key, display, note_text, syllables
+from palimpsest.operators import held
 from palimpsest.operators import ordered as streams
 from palimpsest.operators.align import reattach_achung, segments
-from palimpsest.operators.layout import each_row
 from palimpsest.options import A_CHUNG, COLORS, Options
 from palimpsest.shipping import ship
 
@@ -29,7 +30,7 @@ def reading_rows(wide: DataFrame, o: Options) -> DataFrame:
 
 
 def _reattached(o: Options):
-    """reattach_achung() of all texts of collations' rows: arrays of arrays of cell texts, gaps empty."""
+    """reattach_achung() of texts' cells, one text after the other; nothing where no cell ends so."""
     lone = re.compile("(?s)(|.*[" + re.escape(o.separators + o.shads) + "])([" + A_CHUNG + "]+)")
 
     def moved(segs: list[str]) -> list[str]:
@@ -44,31 +45,26 @@ def _reattached(o: Options):
             out[at] += waiting
         return out
 
-    @F.arrow_udf(from_arrow_type(pa.list_(pa.list_(pa.string()))))
-    def texts(lists: pa.Array) -> pa.Array:
-        rows = lists.flatten()
-        cells = pc.fill_null(pc.struct_field(rows.flatten(), "text"), "")
-        if pc.any(pc.match_substring_regex(cells, "[" + A_CHUNG + "]$")).as_py():
-            own, at = cells.to_pylist(), 0
-            for n, width in zip(lists.value_lengths().to_pylist(), (len(x[0]) if len(x) else 0 for x in lists), strict=True):
-                for d in range(width):
-                    span = slice(at + d, at + n * width, width)
-                    own[span] = moved(own[span])
-                at += n * width
-            cells = pa.array(own, pa.string())
-        sizes = [pa.array(np.r_[0, np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False))], pa.int32()) for x in (rows, lists)]
-        return pa.ListArray.from_arrays(sizes[1], pa.ListArray.from_arrays(sizes[0], cells))
+    def texts(cells: pa.StringArray, sizes: np.ndarray) -> pa.StringArray | None:
+        if not pc.any(pc.match_substring_regex(cells, "[" + A_CHUNG + "]$")).as_py():
+            return None
+        own, at = cells.to_pylist(), 0
+        for n in sizes.tolist():
+            own[at : at + n] = moved(own[at : at + n])
+            at += n
+        return pa.array(own, pa.string())
 
     return texts
 
 
-def held_rows(held: DataFrame, o: Options) -> DataFrame:
-    """As reading_rows() of align.held(), in order, with its other columns in each collation's first row, but labels in all."""
-    moved = _reattached(o)("rows")
-    others = [c for c in held.columns if c not in ("collation_id", "of", "rows", "labels")]
-    rows = each_row(held, "of", "labels", *others, rows=moved)
-    first = [F.when(F.col("row_id") == 0, F.col(c)).alias(c) for c in others]
-    return rows.select("collation_id", "row_id", F.transform("of", lambda d: F.get("cells", d)).alias("segs"), "labels", *first)
+def held_rows(met: DataFrame, o: Options) -> DataFrame:
+    """As reading_rows(), of align.met(), in order, with its other columns in each collation's first row, labels where texts are not alike, and where the base ends."""
+    ship(met.sparkSession)
+    others = [c for c in met.columns if c not in ("collation_id", "of", "tokens", "words", "norms", "labels")]
+    rows = met.select("collation_id", "of", "tokens", "words", "norms", "labels", *others)
+    row = [T.StructField("row_id", T.IntegerType()), T.StructField("segs", T.ArrayType(T.StringType())), T.StructField("alike", T.BooleanType()), T.StructField("base_end", T.IntegerType())]
+    kind = T.StructType([met.schema["collation_id"], *row, T.StructField("labels", met.schema["labels"].dataType), *(T.StructField(c, met.schema[c].dataType) for c in others)])
+    return rows.mapInArrow(held.read(kind.names, _reattached(o)), kind)
 
 
 def _shared(readings: list[list[str]]) -> int:
@@ -82,15 +78,39 @@ def _shared(readings: list[list[str]]) -> int:
 @F.arrow_udf(from_arrow_type(pa.list_(pa.list_(pa.string()))))
 def _trimmed(lists: pa.Array) -> pa.Array:
     """readings.trimmed() of each row's readings, where there are such."""
-    out: list[list[list[str]] | None] = []
-    for own in lists.to_pylist():
-        if own:
-            pre = _shared(own)
-            own = [r[pre:] for r in own]
-            suf = _shared([r[::-1] for r in own])
-            own = [r[: len(r) - suf] for r in own]
-        out.append(own)
-    return pa.array(out, pa.list_(pa.list_(pa.string())))
+    rows, at, readings = _held(lists)
+    sylls = readings.flatten()
+    ends = np.r_[0, np.cumsum(readings.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]
+    none = ends[1:] == ends[:-1]
+    some = np.ones(len(lists), bool)
+    some[rows[none]] = False
+    shared = np.zeros(len(lists), bool)
+    codes = sylls.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    if len(codes):
+        for end in (np.minimum(ends[:-1], len(codes) - 1), np.maximum(ends[1:] - 1, 0)):
+            own = codes[end]
+            apart = np.zeros(len(lists), bool)
+            apart[rows[own != own[at[rows]]]] = True
+            shared |= ~apart
+    # most readings have no syllable at either end that all share
+    which = np.flatnonzero(some & shared & (np.bincount(rows, minlength=len(lists)) > 0))
+    if not len(which):
+        return lists
+    out: list[list[list[str]]] = []
+    for own in lists.take(pa.array(which)).to_pylist():
+        pre = _shared(own)
+        own = [r[pre:] for r in own]
+        suf = _shared([r[::-1] for r in own])
+        out.append([r[: len(r) - suf] for r in own])
+    put = np.arange(len(lists))
+    put[which] = len(lists) + np.arange(len(which))
+    return pa.concat_arrays([lists, pa.array(out, lists.type)]).take(pa.array(put))
+
+
+def _held(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The row of each reading, the first reading of each row, and the readings."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.repeat(np.arange(len(lists)), sizes), np.cumsum(sizes) - sizes, lists.flatten()
 
 
 def siglum(witnesses: DataFrame) -> Column:
@@ -118,6 +138,33 @@ def anchor_cut(seg: Column, lemma_is_shad: Column, o: Options) -> Column:
     return F.when(cut == 0, blanks).otherwise(cut)
 
 
+def _alike(rows: DataFrame) -> Column:
+    """Rows of which it is known that all texts are equal: most, and those need no keys but one."""
+    return F.coalesce("alike", F.lit(False)) if "alike" in rows.columns else F.lit(False)
+
+
+def _differs(rows: DataFrame, o: Options) -> Column:
+    keys = F.transform("segs", lambda x: comparison_key(x, o))
+    return F.when(_alike(rows), False).otherwise(F.exists(keys, lambda k: k != comparison_key(F.get("segs", F.lit(0)), o)))
+
+
+def _shown(rows: DataFrame, o: Options) -> DataFrame:
+    """rows(segs, labels, differs) with keys, lemma and note."""
+    same = F.transform("segs", lambda _: comparison_key(F.get("segs", F.lit(0)), o))
+    rows = rows.withColumn("keys", F.when(_alike(rows), same).otherwise(F.transform("segs", lambda x: comparison_key(x, o))))
+    # most rows agree: only those that differ are split and trimmed
+    rows = rows.withColumn("sylls", F.when(F.col("differs"), F.transform("segs", lambda x: syllables(x, o))))
+    rows = rows.withColumn("shown", F.when(F.col("differs"), F.transform(_trimmed("sylls"), display)))
+    note = F.when(F.col("differs"), note_text(F.col("labels"), F.col("keys"), F.col("shown"), o.positive))
+    return rows.withColumns({"note": note, "lemma": F.when(F.col("differs"), F.get("shown", F.lit(0)))}).drop("sylls")
+
+
+def _cut(o: Options) -> Column:
+    base = F.get("segs", F.lit(0))
+    shad = F.coalesce(F.col("lemma").rlike(rf"(?U)^(?:\s|{_char_class(o.shads)})+$"), F.lit(False))
+    return F.when(F.col("differs") & (base != ""), anchor_cut(base, shad, o))
+
+
 def apparatus(rows: DataFrame, sigla: DataFrame | None, o: Options, ordered: bool = False) -> DataFrame:
     """rows with keys, differs, note_no, lemma, note, color, shaded and marked (by witness), base_start, base_end, cut.
 
@@ -126,25 +173,29 @@ def apparatus(rows: DataFrame, sigla: DataFrame | None, o: Options, ordered: boo
     """
     ship(rows.sparkSession)
     rows = rows if sigla is None else rows.join(sigla, "collation_id")
-    rows = rows.withColumn("keys", F.transform("segs", lambda x: comparison_key(x, o)))
-    rows = rows.withColumn("differs", F.exists("keys", lambda k: k != F.get("keys", F.lit(0))))
     base = F.get("segs", F.lit(0))
+    rows = rows.withColumn("differs", _differs(rows, o))
     rows = rows.withColumn("labels", F.when(F.col("differs"), F.col("labels")))
-    rows = streams.running(rows, {"note_no": F.col("differs").cast("int"), "base_end": F.length(base)}, ordered)
-    # most rows agree: only those that differ are split and trimmed
-    rows = rows.withColumn("sylls", F.when(F.col("differs"), F.transform("segs", lambda x: syllables(x, o))))
-    rows = rows.withColumn("shown", F.when(F.col("differs"), F.transform(_trimmed("sylls"), display)))
-    note = F.when(F.col("differs"), note_text(F.col("labels"), F.col("keys"), F.col("shown"), o.positive))
-    number = F.when(F.col("differs"), F.col("note_no"))
-    rows = rows.withColumns({"note": note, "note_no": number, "lemma": F.when(F.col("differs"), F.get("shown", F.lit(0)))})
+    # rows of held_rows() know where their base ends
+    sums = {"note_no": F.col("differs").cast("int")} | ({} if "base_end" in rows.columns else {"base_end": F.length(base)})
+    rows = _shown(streams.running(rows, sums, ordered), o)
+    rows = rows.withColumn("note_no", F.when(F.col("differs"), F.col("note_no")))
     color = F.when(F.col("differs"), F.element_at(F.array(*map(F.lit, COLORS)), (F.col("note_no") - 1) % len(COLORS) + 1))
     base_key = F.get("keys", F.lit(0))
     apart = F.transform("keys", lambda k, i: F.when(i == 0, F.col("differs")).otherwise((k != base_key) | (base_key == "") & F.col("differs")))
+    apart = F.when(_alike(rows), F.transform("segs", lambda _: F.lit(False))).otherwise(apart)
     rows = rows.withColumns({"color": color, "apart": apart, "base_start": F.col("base_end") - F.length(base)})
     shaded = F.zip_with("apart", "keys", lambda a, k: a & (k != ""))
     marked = F.zip_with("apart", "segs", lambda a, s: a & (s != ""))
-    shad = F.coalesce(F.col("lemma").rlike(rf"(?U)^(?:\s|{_char_class(o.shads)})+$"), F.lit(False))
-    return rows.withColumns({"shaded": shaded, "marked": marked, "cut": F.when(F.col("differs") & (base != ""), anchor_cut(base, shad, o))}).drop("apart", "sylls", "labels")
+    return rows.withColumns({"shaded": shaded, "marked": marked, "cut": _cut(o)}).drop("apart", "labels", "shown", "alike")
+
+
+def note_list(rows: DataFrame, sigla: DataFrame | None, o: Options, ordered: bool = False) -> DataFrame:
+    """notes() of apparatus(): rows that do not differ go before anything is numbered."""
+    ship(rows.sparkSession)
+    rows = rows if sigla is None else rows.join(sigla, "collation_id")
+    some = rows.where(_differs(rows, o)).select("collation_id", "row_id", "segs", "labels")
+    return notes(_shown(streams.running(some, {"note_no": F.lit(1)}, ordered).withColumn("differs", F.lit(True)), o))
 
 
 def notes(found: DataFrame) -> DataFrame:
@@ -200,11 +251,12 @@ def golden_pieces(rows: DataFrame, text: Callable[[Column], Column], put: Callab
     return rows.select("collation_id", "row_id", piece.alias("piece"))
 
 
-def golden_held(found: DataFrame) -> DataFrame:
-    """As golden(), of ordered rows with a column stones: the milestones (offset, tag) of a collation in its first row."""
-    mark = F.when(F.col("note_no").isNotNull(), F.concat(F.lit("[^"), F.col("note_no").cast("string"), F.lit("]")))
+def golden_held(rows: DataFrame, o: Options) -> DataFrame:
+    """As golden() of apparatus(), of held_rows() with a column stones: the milestones (offset, tag) of a collation in its first row."""
+    rows = _shown(rows.withColumn("differs", _differs(rows, o)), o)
     base = F.get("segs", F.lit(0))
-    return streams.marked(found.select("collation_id", "row_id", base.alias("base"), F.coalesce("cut", F.length(base)).alias("cut"), mark.alias("mark"), "stones"))
+    # marks are numbered as they go by
+    return streams.marked(rows.select("collation_id", "row_id", base.alias("base"), F.when(F.col("differs"), F.coalesce(_cut(o), F.length(base))).alias("cut"), "stones"))
 
 
 def golden(found: DataFrame, milestones: DataFrame | None = None) -> DataFrame:

@@ -37,8 +37,7 @@ def _offsets(sizes: np.ndarray) -> pa.Array:
     return pa.array(np.r_[0, np.cumsum(sizes)], pa.int32())
 
 
-@F.arrow_udf(from_arrow_type(pa.list_(_WEIGHED)))
-def by_count(lists: pa.Array) -> pa.Array:
+def counted(lists: pa.Array) -> pa.Array:
     """cells (witness_id, text, weight) of cells with text: percent of the row's cells that have this text, rounded down; a gap is an empty text."""
     sizes, rows, cells = _flat(lists)
     _, at, same = np.unique(_codes(rows, _texts(cells)), return_inverse=True, return_counts=True)
@@ -48,6 +47,12 @@ def by_count(lists: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(_offsets(sizes), pa.StructArray.from_arrays(own, fields=_WEIGHED.fields))
 
 
+@F.arrow_udf(from_arrow_type(pa.list_(_WEIGHED)))
+def by_count(lists: pa.Array) -> pa.Array:
+    """As counted()."""
+    return counted(lists)
+
+
 def _winner(sizes: np.ndarray, rows: np.ndarray, cells: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The winning cell of each row (-1: none): the greatest weight, the least witness at a tie; all weights and witnesses."""
     weights = pc.fill_null(_field(cells, "weight"), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -67,7 +72,8 @@ def best(lists: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(witnesses, pa.int32()).take(put), _texts(cells).take(put)], ["top", "text"])
 
 
-def _voted(lists: pa.Array, codes: pa.Array | None) -> pa.Array:
+def votes(lists: pa.Array, codes: pa.Array | None) -> pa.Array:
+    """voted, differs, groups, as voted() and voted_by() have them."""
     sizes, rows, cells = _flat(lists)
     texts = _texts(cells)
     at, _, witnesses = _winner(sizes, rows, cells)
@@ -95,16 +101,17 @@ def _voted(lists: pa.Array, codes: pa.Array | None) -> pa.Array:
     return pa.StructArray.from_arrays([texts.take(pa.array(at, mask=at < 0)), pa.array(differs), each], ["voted", "differs", "groups"])
 
 
-_VOTED = from_arrow_type(pa.struct([("voted", pa.string()), ("differs", pa.bool_()), ("groups", pa.list_(_GROUP))]))
+VOTED = pa.struct([("voted", pa.string()), ("differs", pa.bool_()), ("groups", pa.list_(_GROUP))])
+_VOTED = from_arrow_type(VOTED)
 
 
 @F.arrow_udf(_VOTED)
 def voted(lists: pa.Array) -> pa.Array:
     """The vote of weighed cells, if their texts differ, and then their readings in order of first witness with the witnesses V1, V2, ... that have each."""
-    return _voted(lists, None)
+    return votes(lists, None)
 
 
 @F.arrow_udf(_VOTED)
 def voted_by(lists: pa.Array, codes: pa.Array) -> pa.Array:
     """As voted(), with the codes of the cells; a cell without one is not shown."""
-    return _voted(lists, codes)
+    return votes(lists, codes)

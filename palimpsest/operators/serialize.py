@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators import cells
-from palimpsest.operators.ordered import joined, running
+from palimpsest.operators.ordered import joined, numbered, running
 from palimpsest.operators.weigh import vote, weighed_cells
 from palimpsest.shipping import ship
 
@@ -71,11 +71,13 @@ def md_notes(rows: DataFrame, ordered: bool = False) -> DataFrame:
 
 def markdown(rows: DataFrame, ordered: bool = False) -> DataFrame:
     """collation_id, md: the voted text with note marks, a blank line, the notes."""
-    noted = running(_note(rows), {"n": F.col("differs").cast("int")}, ordered)
-    number = F.col("n").cast("string")
-    body = F.concat("voted", F.when(F.col("differs"), F.concat(F.lit("[^"), number, F.lit("]"))).otherwise(""))
-    line = F.when(F.col("differs"), F.concat(F.lit("[^"), number, F.lit("]: "), "note", F.lit("\n"))).otherwise("")
-    return joined(noted, {"b": body, "l": line}, ordered).select("collation_id", F.concat("b", F.lit("\n\n"), "l").alias("md"))
+    def where(text: str | Column) -> Column:
+        return F.when(F.col("differs"), text)
+
+    body = F.concat("voted", F.coalesce(where("[^"), F.lit("")))
+    line = F.coalesce(where("[^"), F.lit(""))
+    texts = numbered(_note(rows), F.col("differs"), {"b": (body, where("]")), "l": (line, where(F.concat(F.lit("]: "), "note", F.lit("\n"))))}, ordered)
+    return texts.select("collation_id", F.concat("b", F.lit("\n\n"), "l").alias("md"))
 
 
 def single_syllable(text: Column) -> Column:
@@ -83,16 +85,20 @@ def single_syllable(text: Column) -> Column:
     return F.size(F.filter(F.split(text, "་", -1), lambda x: x != "")) == 1
 
 
+def _inline_note() -> Column:
+    others = F.filter("groups", lambda g: g["reading"] != F.col("voted"))
+    return F.when(F.col("differs") & (F.size(others) > 0), F.concat(F.lit("<"), F.array_join(F.transform(others, lambda g: F.concat(F.array_join(g["codes"], ""), g["reading"])), ""), F.lit(">")))
+
+
 def hfml_notes(rows: DataFrame, ordered: bool = False) -> DataFrame:
     """rows with note (<CODEreading...>, without readings equal to the vote; null if none is left) and its number n."""
-    others = F.filter("groups", lambda g: g["reading"] != F.col("voted"))
-    note = F.when(F.col("differs") & (F.size(others) > 0), F.concat(F.lit("<"), F.array_join(F.transform(others, lambda g: F.concat(F.array_join(g["codes"], ""), g["reading"])), ""), F.lit(">")))
-    noted = running(rows.withColumn("note", note), {"n": F.col("note").isNotNull().cast("int")}, ordered)
+    noted = running(rows.withColumn("note", _inline_note()), {"n": F.col("note").isNotNull().cast("int")}, ordered)
     return noted.withColumn("n", F.when(F.col("note").isNotNull(), F.col("n")))
 
 
 def hfml(rows: DataFrame, ordered: bool = False) -> DataFrame:
     """collation_id, hfml: the voted text with numbered inline notes; a reading of more syllables than one begins with a colon."""
-    noted = hfml_notes(rows, ordered)
-    piece = F.when(F.col("note").isNull(), F.col("voted")).otherwise(F.concat(F.when(single_syllable(F.col("voted")), "").otherwise(":"), "voted", F.lit("("), F.col("n").cast("string"), F.lit(") "), "note"))
-    return joined(noted, {"hfml": piece}, ordered)
+    noted = rows.select("collation_id", "row_id", "voted", _inline_note().alias("note"))
+    there = F.col("note").isNotNull()
+    piece = F.when(there, F.concat(F.when(single_syllable(F.col("voted")), "").otherwise(":"), "voted", F.lit("("))).otherwise(F.col("voted"))
+    return numbered(noted, there, {"hfml": (piece, F.concat(F.lit(") "), "note"))}, ordered)

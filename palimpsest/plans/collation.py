@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from palimpsest.functions import preprocess, tibetan
 from palimpsest.functions.tokens import GENERIC, TIBETAN, generic_norm
 from palimpsest.operators import apparatus as app
-from palimpsest.operators.align import align, expanded, held, parted
+from palimpsest.operators.align import align, expanded, met, parted, voted
 from palimpsest.operators.annotations import confidence_layer, confidence_min
 from palimpsest.operators.layout import long_rows
 from palimpsest.operators.ordered import in_order
+from palimpsest.operators.serialize import voted_rows
 from palimpsest.operators.weigh import Weigher, count_weight, weigh, weigh_rows
 from palimpsest.options import Options
 from palimpsest.tables import written
@@ -26,30 +27,37 @@ def prepare(witnesses: DataFrame, o: Options = Options()) -> tuple[DataFrame, Da
     return witnesses.withColumn("text", text), stones
 
 
-def _apparatus(witnesses: DataFrame, o: Options, together: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+def _readings(witnesses: DataFrame, o: Options, together: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """The rows of collations that fit a task, in order, with the stones of each in its first row, and those of larger ones."""
     cleaned, _ = prepare(witnesses, o)
     none = F.expr("cast(array() as array<struct<offset:int,tag:string>>)")
     stones = preprocess.milestones(F.col("text")) if o.strip_tags and o.keep_milestones else none
     siglum = app.siglum(witnesses)
     few, large = parted(witnesses.withColumns({"stones": F.when(F.col("witness_id") == 0, stones), "labels": siglum, "text": preprocess.strip_tags(F.col("text")) if o.strip_tags else F.col("text")}), together)
-    found = app.apparatus(app.held_rows(held(few, GENERIC, generic_norm, base=("stones",), each=("labels",)), o), None, o, ordered=True)
+    found = app.held_rows(met(few, GENERIC, generic_norm, base=("stones",), each=("labels",)), o)
     if large is None:
         return found, None
-    rows = app.reading_rows(align(cleaned.join(large.select("collation_id").distinct(), "collation_id", "left_semi"), GENERIC, generic_norm), o)
-    return found, app.apparatus(rows, app.labels(witnesses), o)
+    return found, app.reading_rows(align(cleaned.join(large.select("collation_id").distinct(), "collation_id", "left_semi"), GENERIC, generic_norm), o)
 
 
 def apparatus(witnesses: DataFrame, o: Options = Options(), together: int | None = None) -> DataFrame:  # noqa: B008
     """Every row of every collation with its note, as operators.apparatus.apparatus() describes."""
-    found, large = _apparatus(witnesses, o, together)
-    return found.drop("stones") if large is None else found.drop("stones").unionByName(large)
+    rows, large = _readings(witnesses, o, together)
+    found = app.apparatus(rows.drop("stones"), None, o, ordered=True)
+    return found if large is None else found.unionByName(app.apparatus(large, app.labels(witnesses), o))
+
+
+def note_list(witnesses: DataFrame, o: Options = Options(), together: int | None = None) -> DataFrame:  # noqa: B008
+    """The notes of apparatus()."""
+    rows, large = _readings(witnesses, o, together)
+    found = app.note_list(rows, None, o, ordered=True)
+    return found if large is None else found.unionByName(app.note_list(large, app.labels(witnesses), o))
 
 
 def golden_text(witnesses: DataFrame, o: Options = Options(), together: int | None = None) -> DataFrame:  # noqa: B008
-    found, large = _apparatus(witnesses, o, together)
-    texts = app.golden_held(found)
-    return texts if large is None else texts.unionByName(app.golden(large, prepare(witnesses, o)[1]))
+    rows, large = _readings(witnesses, o, together)
+    texts = app.golden_held(rows, o)
+    return texts if large is None else texts.unionByName(app.golden(app.apparatus(large, app.labels(witnesses), o), prepare(witnesses, o)[1]))
 
 
 def tibetan_norm(token):
@@ -78,10 +86,17 @@ def common_spelling(
 def spelling_rows(witnesses: DataFrame, together: int | None = None) -> DataFrame:
     """The matrix of common_spelling(bo=False) without patterns, weighed by count, as rows of operators.weigh.weigh_rows() in order."""
     few, large = parted(witnesses, together)
-    wide = expanded(held(few))
+    wide = expanded(met(few))
     return weigh_rows(wide if large is None else wide.unionByName(in_order(align(large, together=0))))
 
 
+def spelling_votes(witnesses: DataFrame, together: int | None = None) -> DataFrame:
+    """serialize.voted_rows() of spelling_rows(), in order; collations that fit a task are voted where their rows are told."""
+    few, large = parted(witnesses, together)
+    found = voted(met(few))
+    return found if large is None else found.unionByName(voted_rows(weigh_rows(in_order(align(large, together=0)))))
+
+
 def collate_texts(spark: SparkSession, texts: dict[str, str], pattern: str = GENERIC, norm=generic_norm) -> DataFrame:
     """Aligned rows of a few texts by name, a column each, before the merge (gaps null); the first text is the base."""
     names = list(texts)
