@@ -16,14 +16,14 @@ from pyspark.sql.pandas.types import from_arrow_type
 from palimpsest.functions.readings import comparison_key, display, note_text, syllables
 from palimpsest.operators import held
 from palimpsest.operators import ordered as streams
-from palimpsest.operators.align import reattach_achung, segments
+from palimpsest.operators.align import reattach_achung, witness_segments
 from palimpsest.options import A_CHUNG, COLORS, Options
 from palimpsest.shipping import ship
 
 
 def reading_rows(wide: DataFrame, o: Options) -> DataFrame:
     """collation_id, row_id, segs: the cell texts of each row by witness, lone a-chungs moved on."""
-    moved = segments(wide).withColumn("segs", reattach_achung(F.col("segs"), o))
+    moved = witness_segments(wide).withColumn("segs", reattach_achung(F.col("segs"), o))
     cells = moved.select("collation_id", "witness_id", F.posexplode("segs").alias("row_id", "seg"))
     rows = cells.groupBy("collation_id", "row_id").agg(F.array_sort(F.collect_list(F.struct("witness_id", F.coalesce("seg", F.lit("")).alias("seg")))).alias("r"))
     return rows.select("collation_id", "row_id", F.transform("r", lambda x: x["seg"]).alias("segs"))
