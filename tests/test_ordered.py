@@ -49,3 +49,13 @@ def test_a_matrix_by_position_deals_texts_and_not_tokens(spark):
     plan = catalog.queries()["count_weights"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     physical = plan[plan.index("== Physical Plan ==") :]
     assert "regexp_extract_all" not in physical[physical.index("Exchange hashpartitioning") :]
+
+
+def test_only_readings_go_to_functions_of_batches_without_a_bound(spark):
+    """A batch of a scalar function holds 10,000 rows whatever their size, so no row of a whole collation goes there."""
+    plan = collation.apparatus(frame(spark))._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan ==") :]
+    assert physical.count("ArrowEvalPython [_trimmed(") == physical.count("ArrowEvalPython [") == 1
+    assert physical.count("MapInArrow") == 2
+    votes = serialize.hfml(collation.spelling_votes(frame(spark)), ordered=True)._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" not in votes
